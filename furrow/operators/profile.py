@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.operators.stats import DISTINCT_PER_TASK, quantile_columns
+from furrow.operators.stats import SEARCH_FROM, quantile_columns
 
 
 def column_names(df: DataFrame) -> list[str]:
@@ -81,9 +81,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], distinct_per_task: int = DISTINCT_PER_TASK) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], search_from: int = SEARCH_FROM) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles as ``(column, metric, value)``."""
-    quartiles = quantile_columns(df, columns, (0.25, 0.5, 0.75), distinct_per_task)
+    quartiles = quantile_columns(df, columns, (0.25, 0.5, 0.75), search_from)
     figures, records = [], []
     for i, name in enumerate(columns):
         value = F.nanvl(F.col(name).cast("double"), F.lit(None))

@@ -13,6 +13,8 @@ from furrow.session import shared_dir
 
 # Spark's exact percentile keeps one entry per distinct value of a group in one task.
 DISTINCT_PER_TASK = 1_000_000
+# Beyond this many distinct values a search over the whole column is the faster way.
+SEARCH_FROM = 50_000
 ACCURACY = 10_000
 
 
@@ -25,89 +27,108 @@ def _fractions(probs: Sequence[float]) -> Column:
 
 
 def quantile_columns(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], distinct_per_task: int = DISTINCT_PER_TASK
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], search_from: int = SEARCH_FROM
 ) -> dict[str, Column]:
     """For each column an expression for use in ``df.agg``: array of exact quantiles.
 
     Quantiles interpolate between the two nearest values; missing cells do not count.
     """
-    spread = df.agg(*[F.approx_count_distinct(_present(c)).alias(c) for c in columns]).first()
-    result = {}
-    for c in columns:
-        if spread[c] <= distinct_per_task:
-            result[c] = F.percentile(_present(c), _fractions(probs))
-        else:
-            result[c] = F.first(_fractions(_search(df, c, probs, distinct_per_task)))
-    return result
+    known = df.agg(*[
+        F.struct(F.approx_count_distinct(_present(c)).alias("distinct"), F.count(_present(c)).alias("n")).alias(c)
+        for c in columns
+    ]).first()
+    wide = {c: known[c]["n"] for c in columns if known[c]["distinct"] > search_from}
+    found = _search(df, wide, probs, search_from) if wide else {}
+    return {
+        c: F.first(_fractions(found[c])) if c in found else F.percentile(_present(c), _fractions(probs))
+        for c in columns
+    }
 
 
-def _search(df: DataFrame, column: str, probs: Sequence[float], small: int) -> list[float]:
-    """Exact quantiles of a column too varied for one task.
+def _search(
+    df: DataFrame, totals: dict[str, int], probs: Sequence[float], small: int
+) -> dict[str, list[float]]:
+    """Exact quantiles of columns too varied for one task, given their number of values.
 
     Each wanted position in the sorted column is enclosed by two approximate percentiles, and
     counts say whether it is one of them or lies between. Every round leaves thousands of times
     fewer rows, without a shuffle of rows and with only these few numbers on the driver.
     """
-    values = df.select(_present(column).alias("v")).where("v IS NOT NULL")
-    v = F.col("v")
-    total = values.count()
-    places = [p * (total - 1) for p in probs]
-    found: dict[int, float] = {}
-    # Position -> open interval, how many rows lie at or below its start, how many inside.
-    gaps = {k: (None, None, 0, total) for place in places for k in (math.floor(place), math.ceil(place))}
-
-    def within(low: float | None, high: float | None) -> Column:
-        above = F.lit(True) if low is None else v > low
-        return above if high is None else above & (v < high)
-
-    while wide := {k: gap for k, gap in gaps.items() if gap[3] > small}:
-        step = 2.0 / ACCURACY
-        guess = values.agg(*[
+    values = df.select(*[_present(c).alias(f"v{i}") for i, c in enumerate(totals)])
+    places = {i: [p * (total - 1) for p in probs] for i, total in enumerate(totals.values())}
+    found: dict[tuple[int, int], float] = {}
+    # (column, position) -> open interval, how many rows lie at or below its start, how many inside.
+    gaps = {
+        (i, k): (None, None, 0, total)
+        for i, total in enumerate(totals.values())
+        for place in places[i]
+        for k in (math.floor(place), math.ceil(place))
+    }
+
+    def within(i: int, low: float | None, high: float | None) -> Column:
+        v = F.col(f"v{i}")
+        inside = v.isNotNull() if low is None else v > low
+        return inside if high is None else inside & (v < high)
+
+    step = 2.0 / ACCURACY
+    while wide := {key: gap for key, gap in gaps.items() if gap[3] > small}:
+        shared: dict[tuple, list] = {}
+        for (i, k), (low, high, below, inside) in wide.items():
+            share = (k - below) / inside
+            shared.setdefault((i, low, high), []).append(((i, k), share))
+        guesses = values.agg(*[
             F.percentile_approx(
-                F.when(within(low, high), v),
-                _fractions([max(0.0, (k - below) / inside - step), min(1.0, (k - below) / inside + step)]),
+                F.when(within(i, low, high), F.col(f"v{i}")),
+                _fractions([
+                    edge for _, share in wanted for edge in (max(0.0, share - step), min(1.0, share + step))
+                ]),
                 ACCURACY,
-            ).alias(str(k))
-            for k, (low, high, below, inside) in wide.items()
+            )
+            for (i, low, high), wanted in shared.items()
         ]).first()
-        count = values.agg(*[
+        edges = {}
+        for guess, wanted in zip(guesses, shared.values()):
+            for n, (key, _) in enumerate(wanted):
+                edges[key] = (guess[2 * n], guess[2 * n + 1])
+        counts = values.agg(*[
             F.array(
-                F.count_if(within(low, high) & (v < guess[str(k)][0])),
-                F.count_if(v == guess[str(k)][0]),
-                F.count_if(within(*guess[str(k)])),
-                F.count_if((v == guess[str(k)][1]) & (v > guess[str(k)][0])),
-            ).alias(str(k))
-            for k, (low, high, _, _) in wide.items()
+                F.count_if(within(i, *wide[i, k][:2]) & (F.col(f"v{i}") < left)),
+                F.count_if(F.col(f"v{i}") == left),
+                F.count_if(within(i, left, right)),
+                F.count_if((F.col(f"v{i}") == right) & (F.col(f"v{i}") > left)),
+            )
+            for (i, k), (left, right) in edges.items()
         ]).first()
-        for k, (low, high, below, inside) in wide.items():
-            left, right = guess[str(k)]
-            under, at_left, between, at_right = count[str(k)]
-            upto = below + under
+        for (key, (left, right)), (under, at_left, between, at_right) in zip(edges.items(), counts):
+            low, high, below, inside = gaps.pop(key)
+            k, upto = key[1], below + under
             if k < upto:
-                gaps[k] = (low, left, below, under)
+                gaps[key] = (low, left, below, under)
             elif k < upto + at_left:
-                found[k] = left
+                found[key] = left
             elif k < upto + at_left + between:
-                gaps[k] = (left, right, upto + at_left, between)
+                gaps[key] = (left, right, upto + at_left, between)
             elif k < upto + at_left + between + at_right:
-                found[k] = right
+                found[key] = right
             else:
                 passed = under + at_left + between + at_right
-                gaps[k] = (right, high, below + passed, inside - passed)
-        gaps = {k: gap for k, gap in gaps.items() if k not in found}
+                gaps[key] = (right, high, below + passed, inside - passed)
     if gaps:
         rest = values.agg(*[
-            F.element_at(F.array_sort(F.collect_list(F.when(within(low, high), v))), k - below + 1).alias(str(k))
-            for k, (low, high, below, _) in gaps.items()
+            F.element_at(
+                F.array_sort(F.collect_list(F.when(within(i, low, high), F.col(f"v{i}")))), k - below + 1
+            )
+            for (i, k), (low, high, below, _) in gaps.items()
         ]).first()
-        found |= {k: rest[str(k)] for k in gaps}
-    result = []
-    for place in places:
+        found |= dict(zip(gaps, rest))
+
+    def between_nearest(i: int, place: float) -> float:
         low, high = math.floor(place), math.ceil(place)
-        result.append(
-            found[low] if low == high else (high - place) * found[low] + (place - low) * found[high]
-        )
-    return result
+        if low == high:
+            return found[i, low]
+        return (high - place) * found[i, low] + (place - low) * found[i, high]
+
+    return {c: [between_nearest(i, place) for place in places[i]] for i, c in enumerate(totals)}
 
 
 def quantiles(
@@ -117,6 +138,7 @@ def quantiles(
     by: Sequence[str] = (),
     accuracy: int | None = None,
     distinct_per_task: int = DISTINCT_PER_TASK,
+    search_from: int = SEARCH_FROM,
     name: str = "quantiles",
 ) -> DataFrame:
     """Quantiles of a column, per group if ``by`` is given: key columns and an array.
@@ -128,7 +150,7 @@ def quantiles(
             F.percentile_approx(_present(column), _fractions(probs), accuracy).alias(name)
         )
     if not by:
-        return df.agg(quantile_columns(df, [column], probs, distinct_per_task)[column].alias(name))
+        return df.agg(quantile_columns(df, [column], probs, search_from)[column].alias(name))
     widest = df.groupBy(*by).agg(F.approx_count_distinct(_present(column)).alias("n")).agg(F.max("n"))
     if (widest.first()[0] or 0) <= distinct_per_task:
         return df.groupBy(*by).agg(F.percentile(_present(column), _fractions(probs)).alias(name))

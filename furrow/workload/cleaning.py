@@ -157,10 +157,17 @@ _YEARS = range(1995, 2002)
 def standardise_measures(spark, sf_dir):
     from furrow.sources.datasets import standardise_measures as standardise
 
-    year = F.year("l_shipdate")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("crop")).agg(
-        *[F.sum(F.when(year == y, F.col("l_quantity"))).alias(f"Quantity {y}") for y in _YEARS],
-        *[(F.sum(F.when(year == y, cents)) / F.lit(100.0)).alias(f"Price {y}") for y in _YEARS],
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("year", F.year("l_shipdate"))
+        .groupBy(F.col("l_suppkey").cast("string").alias("crop"))
+        .pivot("year", list(_YEARS))
+        .agg(F.sum("l_quantity").alias("q"), F.sum(cents).alias("p"))
+    )
+    wide = sums.select(
+        "crop",
+        *[F.col(f"{y}_q").alias(f"Quantity {y}") for y in _YEARS],
+        *[(F.col(f"{y}_p") / F.lit(100.0)).alias(f"Price {y}") for y in _YEARS],
     )
     return standardise(wide)

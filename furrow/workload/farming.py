@@ -69,13 +69,17 @@ def _costs(spark, sf_dir):
         F.sum("l_quantity").alias("q"), F.sum(cents).alias("a"), F.sum(taxed).alias("c")
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    places = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("s_suppkey").alias("l_suppkey"), "n_name", "r_name")
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")
     )
-    return sums.join(parts, "l_partkey").join(places, "l_suppkey").groupBy(
+    regions = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    placed = (
+        sums.join(parts, "l_partkey")
+        .join(suppliers, "l_suppkey")
+        .join(table(spark, sf_dir, "nation"), "n_nationkey")
+        .join(regions, "n_regionkey")
+    )
+    return placed.groupBy(
         F.col("p_type").alias("crop"), F.col("n_name").alias("state"), F.col("r_name").alias("region")
     ).agg(
         F.sum("q").alias("yield_quintal"),

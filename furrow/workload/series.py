@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators import models, stats, timeseries
 from furrow.plans import crop_index
-from furrow.session import scratch_path
+from furrow.session import scratch_path, shared_dir
 from furrow.streaming import market
 from furrow.workload.registry import YEARLY, query, table, yearly
 
@@ -104,8 +104,8 @@ def market_growth(spark, sf_dir):
   FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE bucket + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def market_stream(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    prices = market.read_stream(spark, path, spark.read.parquet(path).schema)
+    # A pattern, because a stream takes a plain path for a folder and the table may be one file.
+    prices = market.read_stream(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
     windows = market.price_windows(prices, ["event_type"], "ts", "value")
     target = scratch_path(spark, "market-stream")
     market.write_windows(windows, f"{target}/table", f"{target}/checkpoint").awaitTermination()
@@ -155,17 +155,18 @@ long AS (SELECT *, ("Index_Value" / nullif(lag("Index_Value") OVER w, 0) - 1) *
 
 
 def _raw(spark, sf_dir):
-    year, known = F.year("l_shipdate"), F.col("l_suppkey") % 11 != 5
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        *[F.sum(F.when(year == y, F.col("l_quantity"))).cast("long").cast("string").alias(str(y)) for y in _YEARS]
-    )
-    cells = {str(y): F.col(str(y)) for y in _YEARS}
+    """Stored once, as the file it stands for would be: several steps read it."""
+    shared_dir(spark)
+    known = F.col("l_suppkey") % 11 != 5
+    shipped = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    sums = shipped.groupBy("l_suppkey").pivot("year", list(_YEARS)).sum("l_quantity")
+    cells = {str(y): F.col(str(y)).cast("long").cast("string") for y in _YEARS}
     cells["1997"] = F.when(F.col("l_suppkey") % 7 == 0, F.lit("unknown")).otherwise(cells["1997"])
     return sums.select(
         F.when(known, F.concat(F.lit(" Supplier-"), F.col("l_suppkey"), F.lit("\t"))).alias("Crop"),
         *[F.when(known, cell).alias(name) for name, cell in cells.items()],
         F.col("l_suppkey"),
-    )
+    ).checkpoint()
 
 
 def _tables(spark, sf_dir):
