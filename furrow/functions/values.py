@@ -82,7 +82,7 @@ STATE_PATTERNS = {
     "Punjab": r"Punjab",
     "Rajasthan": r"Rajasthan",
     "Sikkim": r"Sikkim|North East(ern)? States?",
-    "Tamil Nadu": r"Tamil ?Nadu|South India",
+    "Tamil Nadu": r"Tamil ?[Nn]adu|South India",
     "Tripura": r"Tripura|North East(ern)? States?",
     "Uttar Pradesh": r"Uttar Pradesh|\bUP\b",
     "Uttarakhand": r"Uttarakhand",

@@ -224,7 +224,7 @@ def unmatched_keys(spark, sf_dir):
   SELECT n_name AS state, CASE WHEN c_acctbal >= 0 THEN c_acctbal / 100 END AS zn, (c_custkey * 7 % 101)::DOUBLE AS fe
   FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 0),
 health AS (
-  SELECT state, round(avg((coalesce(zn, 0) + fe) / ((zn IS NOT NULL)::INT + 1)), 4) AS soil_score, count(*) AS n_districts
+  SELECT state, round(avg((coalesce(zn, 0) + fe) / ((zn IS NOT NULL)::INT + 1)), 8) AS soil_score, count(*) AS n_districts
   FROM soil GROUP BY 1)
 SELECT state, crop, lower(crop) AS crop_key, yield_quintal, soil_score, n_districts
 FROM costs LEFT JOIN health USING (state)""")
@@ -245,7 +245,7 @@ def soil_crop_join(spark, sf_dir):
         .select(F.col("c_name").alias("district"), F.col("n_name").alias("state"))
     )
     costs = _costs(spark, sf_dir).select("crop", "state", "yield_quintal")
-    return farming.soil_by_crop(soil, districts, costs).withColumn("soil_score", F.round("soil_score", 4))
+    return farming.soil_by_crop(soil, districts, costs).withColumn("soil_score", F.round("soil_score", 8))
 
 
 @query(f"""WITH {_REGIONAL}, {_VARIETIES},

@@ -41,10 +41,10 @@ def _changes(spark, sf_dir):
 
 
 @query(f"""WITH {_CHANGES}
-SELECT event_id, round(change, 4) AS change, round(growth, 4) AS growth FROM changes""")
+SELECT event_id, round(change, 8) AS change, round(growth, 8) AS growth FROM changes""")
 def user_series(spark, sf_dir):
     return _changes(spark, sf_dir).select(
-        "event_id", F.round("change", 4).alias("change"), F.round("growth", 4).alias("growth")
+        "event_id", F.round("change", 8).alias("change"), F.round("growth", 8).alias("growth")
     )
 
 
@@ -61,13 +61,13 @@ _BUCKETS = """buckets AS (
   SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS bucket, min(value) AS min_price, max(value) AS max_price,
          avg(value) AS avg_price, count(value) AS n_prices
   FROM source GROUP BY 1, 2)
-SELECT event_type, bucket, min_price, max_price, round(avg_price, 4) AS avg_price, n_prices,
-       round((avg_price / nullif(lag(avg_price) OVER (PARTITION BY event_type ORDER BY bucket), 0) - 1) * 100, 4) AS change
+SELECT event_type, bucket, min_price, max_price, round(avg_price, 8) AS avg_price, n_prices,
+       round((avg_price / nullif(lag(avg_price) OVER (PARTITION BY event_type ORDER BY bucket), 0) - 1) * 100, 8) AS change
 FROM buckets"""
 
 
 def _rounded(buckets):
-    figures = {c: F.round(c, 4) for c in ("avg_price", "change")}
+    figures = {c: F.round(c, 8) for c in ("avg_price", "change")}
     return buckets.withColumns({**figures, "bucket": F.col("bucket").cast("timestamp_ntz")})
 
 
@@ -89,18 +89,18 @@ _PERIODS = {"day": 1, "week": 7, "fortnight": 14}
 @query("SELECT event_type, " + ", ".join(
     f"""round((avg(value) FILTER (ts > TIMESTAMP '{_AS_OF}' - INTERVAL {d} DAY AND ts <= TIMESTAMP '{_AS_OF}')
         / nullif(avg(value) FILTER (ts > TIMESTAMP '{_AS_OF}' - INTERVAL {2 * d} DAY
-                                    AND ts <= TIMESTAMP '{_AS_OF}' - INTERVAL {d} DAY), 0) - 1) * 100, 4) AS {name}_growth"""
+                                    AND ts <= TIMESTAMP '{_AS_OF}' - INTERVAL {d} DAY), 0) - 1) * 100, 8) AS {name}_growth"""
     for name, d in _PERIODS.items()) + " FROM events GROUP BY 1")
 def market_growth(spark, sf_dir):
     growth = timeseries.period_growth(
         table(spark, sf_dir, "events"), ["event_type"], "ts", "value", F.lit(_AS_OF).cast("timestamp"), _PERIODS
     )
-    return growth.select("event_type", *[F.round(f"{p}_growth", 4).alias(f"{p}_growth") for p in _PERIODS])
+    return growth.select("event_type", *[F.round(f"{p}_growth", 8).alias(f"{p}_growth") for p in _PERIODS])
 
 
 @query("""WITH w AS (
   SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, event_type, min(value) AS min_price, max(value) AS max_price,
-         round(avg(value), 4) AS avg_price, count(value) AS n_prices
+         round(avg(value), 8) AS avg_price, count(value) AS n_prices
   FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE bucket + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def market_stream(spark, sf_dir):
@@ -110,7 +110,7 @@ def market_stream(spark, sf_dir):
     target = scratch_path(spark, "market-stream")
     market.write_windows(windows, f"{target}/table", f"{target}/checkpoint").awaitTermination()
     closed = spark.read.schema(windows.schema).parquet(f"{target}/table")
-    return closed.withColumns({"avg_price": F.round("avg_price", 4), "bucket": F.col("bucket").cast("timestamp_ntz")})
+    return closed.withColumns({"avg_price": F.round("avg_price", 8), "bucket": F.col("bucket").cast("timestamp_ntz")})
 
 
 @query(f"""WITH {YEARLY}, scaled AS (SELECT priority, (year - 1995)::DOUBLE AS t, total / 1000000 AS y FROM yearly)
@@ -173,17 +173,17 @@ def _tables(spark, sf_dir):
     return crop_index.crop_index(_raw(spark, sf_dir), ["l_suppkey"])
 
 
-@query(f"""WITH {_RAW} SELECT "Crop", {", ".join(f'round("Year_{y}", 4) AS "Year_{y}"' for y in _YEARS)} FROM wide""")
+@query(f"""WITH {_RAW} SELECT "Crop", {", ".join(f'round("Year_{y}", 8) AS "Year_{y}"' for y in _YEARS)} FROM wide""")
 def crop_index_wide(spark, sf_dir):
     wide = _tables(spark, sf_dir)["wide"]
-    return wide.withColumns({f"Year_{y}": F.round(f"Year_{y}", 4) for y in _YEARS})
+    return wide.withColumns({f"Year_{y}": F.round(f"Year_{y}", 8) for y in _YEARS})
 
 
 @query(f"""WITH {_LONG} SELECT "Crop", "Year", {", ".join(
-    f'round("{c}", 4) AS "{c}"' for c in ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth"))} FROM long""")
+    f'round("{c}", 8) AS "{c}"' for c in ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth"))} FROM long""")
 def crop_index_long(spark, sf_dir):
     long = _tables(spark, sf_dir)["long"]
-    return long.withColumns({c: F.round(c, 4) for c in ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth")})
+    return long.withColumns({c: F.round(c, 8) for c in ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth")})
 
 
 @query(f"""WITH {_LONG} SELECT "Crop", round_even(avg("Index_Value"), 2) AS "Mean_Index",
