@@ -7,15 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from furrow.functions.values import MISSING_TOKENS, STATE_PATTERNS
+from furrow.functions.values import MISSING_TOKENS, STATE_PATTERNS, WHITE_SPACE
 
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 
 
 def strip(text: Column) -> Column:
     """Text without white space at both ends: tabs, line ends and no-break spaces too."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def has_text(text: Column) -> Column:

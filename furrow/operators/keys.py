@@ -22,7 +22,7 @@ def with_key(
         return df.withColumn(name, normal_key(F.col(column), aliases))
     table = aliases.select(
         normal_key(F.col("alias")).alias("__alias"), normal_key(F.col("key")).alias("__key")
-    ).dropDuplicates(["__alias"])
+    ).groupBy("__alias").agg(F.min("__key").alias("__key"))
     return (
         df.withColumn("__plain", normal_key(F.col(column)))
         .join(table, F.col("__plain") == F.col("__alias"), "left")

@@ -20,6 +20,7 @@ from furrow.session import shared_dir
 ROWS_PER_TASK = 5_000_000
 MAX_PARTS = 50_000  # range partitions are cut from a sample of at most a million rows
 
+GROUP = "__group"
 PART = "__part"
 NEW_PART = "__new_part"
 
@@ -105,20 +106,20 @@ def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return condition
 
 
-def _local(value: Along, window) -> Column:
+def _local(kind: str, column: Column, window) -> Column:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    column = F.col(value.column)
     return {
         "last_known": lambda: F.last(column, ignorenulls=True).over(upto),
         "previous": lambda: F.lag(column).over(window),
         "first": lambda: F.first(column).over(upto),
         "running_sum": lambda: F.sum(column).over(upto),
-    }[value.kind]()
+    }[kind]()
 
 
 def _plain(df: DataFrame, keys, order_by, values) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order_by)
-    return df.select("*", *[_local(value, window).alias(name) for name, value in values.items()])
+    added = [_local(value.kind, F.col(value.column), window).alias(name) for name, value in values.items()]
+    return df.select("*", *added)
 
 
 def _by_range(df: DataFrame, keys, order_by, values, parts: int) -> DataFrame:
@@ -133,20 +134,29 @@ def _by_range(df: DataFrame, keys, order_by, values, parts: int) -> DataFrame:
 
 
 def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> DataFrame:
+    # The keys as one struct: it equals another with the same gaps, so the join below can use
+    # the partitioning of the window.
+    rows = df.select(F.struct(*keys).alias(GROUP) if keys else F.lit(True).alias(GROUP),
+                     *[c for c in df.columns if c not in keys])
+    group = [GROUP] if keys else []
     position = F.struct(*order_by)
+
+    def at(name: str):
+        return F.col(f"{GROUP}.{name}") if name in keys else F.col(name)
+
     sums = []
     for name, value in values.items():
-        column = F.col(value.column)
+        column = at(value.column)
         sums.append({
             "last_known": lambda: F.max_by(column, F.when(column.isNotNull(), position)),
             "previous": lambda: F.max_by(F.struct(column.alias("v")), position),
             "first": lambda: F.min_by(F.struct(column.alias("v")), position),
             "running_sum": lambda: F.sum(column),
         }[value.kind]().alias(name))
-    per_part = df.groupBy(*keys, PART).agg(*sums)
+    per_part = rows.groupBy(*group, PART).agg(*sums)
 
     # One row per part of a group; a group has at most as many parts as there are ranges.
-    order = Window.partitionBy(*keys).orderBy(PART)
+    order = Window.partitionBy(*group).orderBy(PART)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name, value in values.items():
@@ -158,12 +168,7 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
             "running_sum": lambda: F.sum(column).over(before),
         }[value.kind]().alias(f"__carry_{name}"))
     carry = (
-        per_part.select(
-            *[F.col(k).alias(f"__carry_key_{k}") for k in keys],
-            F.col(PART).alias("__carry_part"),
-            F.row_number().over(order).alias("__part_no"),
-            *carried,
-        )
+        per_part.select(*group, PART, F.row_number().over(order).alias("__part_no"), *carried)
         .where("__part_no > 1")
         .drop("__part_no")
     )
@@ -171,14 +176,13 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
         # Each range adds at most one part that continues a group of the range before.
         carry = F.broadcast(carry)
 
-    window = Window.partitionBy(*keys, PART).orderBy(*order_by)
-    local = df.select(
+    window = Window.partitionBy(*group, PART).orderBy(*order_by)
+    local = rows.select(
         "*",
         (F.row_number().over(window) == 1).alias(NEW_PART),
-        *[_local(value, window).alias(f"__local_{name}") for name, value in values.items()],
+        *[_local(value.kind, at(value.column), window).alias(f"__local_{name}") for name, value in values.items()],
     )
-    match = _same([F.col(k) for k in keys], [F.col(f"__carry_key_{k}") for k in keys])
-    joined = local.join(carry, match & (F.col(PART) == F.col("__carry_part")), "left")
+    joined = local.join(carry, [*group, PART], "left")
     final = []
     for name, value in values.items():
         here, there = F.col(f"__local_{name}"), F.col(f"__carry_{name}")
@@ -188,5 +192,5 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
             "first": lambda: F.coalesce(there, F.struct(here.alias("v")))["v"],
             "running_sum": lambda: F.coalesce(here + there, here, there),
         }[value.kind]().alias(name))
-    kept = [F.col(c) for c in df.columns if c != PART]
+    kept = [at(c).alias(c) for c in df.columns if c != PART]
     return joined.select(*kept, *final)

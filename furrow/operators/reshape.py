@@ -38,8 +38,11 @@ def split_measure(df: DataFrame, column: str = "variable") -> DataFrame:
 
 
 def spread(df: DataFrame, ids: Sequence[str], names: str, values: str, wanted: Sequence[str]) -> DataFrame:
-    """One column per wanted name; the list saves Spark a job to find the names."""
-    return df.groupBy(*ids).pivot(names, list(wanted)).agg(F.first(values, ignorenulls=True))
+    """One column per wanted name; the list saves Spark a job to find the names.
+
+    Of several values for one cell the greatest is taken, so that a repeated task gives the same.
+    """
+    return df.groupBy(*ids).pivot(names, list(wanted)).agg(F.max(values))
 
 
 def sort_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -37,11 +37,10 @@ def clean_wide(raw: DataFrame, order_by: Sequence[str] = (), trim_first: bool =
     return clean.strip_text(df, [KEY])
 
 
-def to_long(wide: DataFrame, bounded: bool = True) -> DataFrame:
+def to_long(wide: DataFrame, bounded: bool = False) -> DataFrame:
     """One row per crop and year with the change to the year before and the growth since the first.
 
-    A crop has one row per year column, so its series fits a task; ``bounded=False`` counts
-    first, for tables where one name stands on very many rows.
+    ``bounded=True`` promises that no name stands on very many rows and saves counting them.
     """
     long = reshape.remove_text(reshape.melt(wide, [KEY], None, PERIOD, INDEX), PERIOD, PREFIX)
     return timeseries.series_metrics(long, [KEY], [PERIOD], INDEX, CHANGE, GROWTH, bounded=bounded)
@@ -51,10 +50,12 @@ def summarise(long: DataFrame) -> DataFrame:
     return stats.group_summary(long, KEY, INDEX, CHANGE)
 
 
-def crop_index(raw: DataFrame, order_by: Sequence[str] = (), **options) -> dict[str, DataFrame]:
+def crop_index(
+    raw: DataFrame, order_by: Sequence[str] = (), bounded: bool = False, **options
+) -> dict[str, DataFrame]:
     """The three tables, not yet computed."""
     wide = clean_wide(raw, order_by, **options)
-    long = to_long(wide)
+    long = to_long(wide, bounded)
     return {"wide": wide, "long": long, "summary": summarise(long)}
 
 

@@ -71,7 +71,7 @@ SELECT event_id, last_value(v IGNORE NULLS) OVER (
   ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM gaps""")
 def forward_fill_global(spark, sf_dir):
     events = gaps(spark, sf_dir).select("event_id", "v")
-    return clean.forward_fill(events, ["v"], ["event_id"], width=100_000)
+    return clean.forward_fill(events, ["v"], ["event_id"], width=1_000_000)
 
 
 @query(f"WITH {GAPS} SELECT event_id, round(coalesce(v, avg(v) OVER ()), 4) AS v FROM gaps")

@@ -170,7 +170,8 @@ def _raw(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    return crop_index.crop_index(_raw(spark, sf_dir), ["l_suppkey"])
+    # One raw row per supplier, so a series has seven rows.
+    return crop_index.crop_index(_raw(spark, sf_dir), ["l_suppkey"], bounded=True)
 
 
 @query(f"""WITH {_RAW} SELECT "Crop", {", ".join(f'round("Year_{y}", 8) AS "Year_{y}"' for y in _YEARS)} FROM wide""")

@@ -24,7 +24,7 @@ def json_unwrap(spark, sf_dir):
     inner = F.to_json(F.struct(cells.alias("cells")))
     # Error events hold a document that breaks off.
     text = F.when(F.col("event_type") == "error", F.left(inner, F.length(inner) - 3)).otherwise(inner)
-    pieces = F.array(F.left(text, F.lit(25)), F.substring(text, 26, 1_000_000))
+    pieces = F.array(F.left(text, F.lit(25)), F.substr(text, F.lit(26)))
     outer = F.to_json(F.struct(F.array(F.struct(pieces.alias("source"))).alias("cells")))
     return documents.unwrap_json(
         table(spark, sf_dir, "events").select("event_id", outer.alias("document")), "document", ["event_id"]
