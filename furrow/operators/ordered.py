@@ -79,30 +79,37 @@ def along(
     if bounded:
         return _plain(df, keys, order_by, values)
 
+    small, large, large_rows = by_size(df, keys, rows_per_task)
+    if large is None:
+        return _plain(small, keys, order_by, values)
+    parts = min(max(2, math.ceil(2 * large_rows / rows_per_task)), MAX_PARTS)
+    cut = _by_range(large, keys, order_by, values, parts)
+    return cut if small is None else _plain(small, keys, order_by, values).unionByName(cut)
+
+
+def by_size(
+    df: DataFrame, keys: Sequence[str], rows_per_task: int
+) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Rows of the small groups, rows of the large groups and their number; None where there are none."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     is_large = F.col("__n") > rows_per_task
     large_rows = sizes.agg(F.sum(F.when(is_large, F.col("__n")))).first()[0]
     if not large_rows:
-        return _plain(df, keys, order_by, values)
-
-    parts = min(max(2, math.ceil(2 * large_rows / rows_per_task)), MAX_PARTS)
+        return df, None, 0
     if not keys:
-        return _by_range(df, keys, order_by, values, parts)
+        return None, df, large_rows
     # At most (all rows / rows_per_task) groups are large, so their list can be broadcast.
     shared_dir(df.sparkSession)
     large = sizes.where(is_large).select(*[F.col(k).alias(f"__large_{k}") for k in keys]).checkpoint()
-    match = _same([F.col(k) for k in keys], [F.col(f"__large_{k}") for k in keys])
-    small_groups = df.join(F.broadcast(large), match, "left_anti")
-    large_groups = df.join(F.broadcast(large), match, "left_semi")
-    return _plain(small_groups, keys, order_by, values).unionByName(
-        _by_range(large_groups, keys, order_by, values, parts)
-    )
+    match = same(keys, large.columns)
+    return df.join(F.broadcast(large), match, "left_anti"), df.join(F.broadcast(large), match, "left_semi"), large_rows
 
 
-def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
+def same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Condition that the columns are equal one by one, a missing value equal to a missing one."""
     condition = F.lit(True)
     for a, b in zip(left, right):
-        condition = condition & a.eqNullSafe(b)
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
     return condition
 
 

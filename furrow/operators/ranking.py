@@ -29,21 +29,25 @@ def ranks(
     group nor a frequent value needs one task.
     """
     names = {k: v for k, v in {"rank": rank, "dense_rank": dense_rank, "percent_rank": percent_rank}.items() if v}
-    score = F.col(value)
-    if not bounded:
-        sizes = df.groupBy(*by).agg(F.count(score).alias("n"))
-        bounded = (sizes.agg(F.max("n")).first()[0] or 0) <= rows_per_task
-    if bounded:
+    small, large, _ = (df, None, 0) if bounded else ordered.by_size(df, by, rows_per_task)
+    ranked = []
+    if small is not None:
+        score = F.col(value)
         order = score.desc() if descending else score.asc()
         window = Window.partitionBy(*by, score.isNull()).orderBy(order)
         kinds = {"rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank}
-        return df.select(
+        ranked.append(small.select(
             "*", *[F.when(score.isNotNull(), kinds[k]().over(window)).alias(v) for k, v in names.items()]
-        )
+        ))
+    if large is not None:
+        ranked.append(_by_counts(large, list(by), value, descending, names, rows_per_task))
+    return ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
 
+
+def _by_counts(df, by, value, descending, names, rows_per_task) -> DataFrame:
     shared_dir(df.sparkSession)
     counts = (
-        df.where(score.isNotNull())
+        df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__one", F.lit(1).cast("long"))
@@ -59,7 +63,12 @@ def ranks(
     totals = counts.groupBy(*[F.col(k).alias(f"__total_{k}") for k in by]).agg(
         F.sum("__n").alias("__rows"), F.sum("__one").alias("__values")
     )
-    placed = placed.join(totals, _same(by, [f"__total_{k}" for k in by]))
+    if by:
+        # One row per large group, of which there are few: their sums are small to send along.
+        placed = placed.join(F.broadcast(totals), ordered.same(by, [f"__total_{k}" for k in by]))
+    else:
+        total = totals.select(F.struct("__rows", "__values")).scalar()
+        placed = placed.withColumn("__total", total).select("*", "__total.*")
     place = F.col("__rows") - F.col("__upto") + 1 if descending else F.col("__upto") - F.col("__n") + 1
     dense = F.col("__values") - F.col("__seq") + 1 if descending else F.col("__seq")
     share = F.when(F.col("__rows") > 1, (place - 1) / (F.col("__rows") - 1)).otherwise(F.lit(0.0))
@@ -69,17 +78,10 @@ def ranks(
         *[kinds[k].alias(v) for k, v in names.items()],
     )
     # One row per value on the right; a frequent value on the left is split by adaptive execution.
-    match = _same([*by, value], [f"__placed_{k}" for k in [*by, value]])
+    match = ordered.same([*by, value], [f"__placed_{k}" for k in [*by, value]])
     return df.join(placed, match, "left").select(*df.columns, *names.values())
 
 
-def _same(left: Sequence[str], right: Sequence[str]) -> Column:
-    match = F.lit(True)
-    for a, b in zip(left, right):
-        match = match & F.col(a).eqNullSafe(F.col(b))
-    return match
-
-
 def best(df: DataFrame, order_by: Sequence[Column], n: int) -> DataFrame:
     """The first rows of the whole table."""
     return df.orderBy(*order_by).limit(n)

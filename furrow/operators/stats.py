@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from furrow.operators import ordered
 from furrow.session import shared_dir
 
-# Spark's exact percentile keeps one entry per distinct value of a group in one task.
-DISTINCT_PER_TASK = 1_000_000
+# Spark's exact percentile keeps one entry per distinct value of a group in one task, so groups
+# beyond this many rows are not left to it.
+ROWS_PER_TASK = 1_000_000
 # Beyond this many distinct values a search over the whole column is the faster way.
 SEARCH_FROM = 50_000
 ACCURACY = 10_000
@@ -137,7 +138,7 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int | None = None,
-    distinct_per_task: int = DISTINCT_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
     search_from: int = SEARCH_FROM,
     name: str = "quantiles",
 ) -> DataFrame:
@@ -151,20 +152,22 @@ def quantiles(
         )
     if not by:
         return df.agg(quantile_columns(df, [column], probs, search_from)[column].alias(name))
-    widest = df.groupBy(*by).agg(F.approx_count_distinct(_present(column)).alias("n")).agg(F.max("n"))
-    if (widest.first()[0] or 0) <= distinct_per_task:
-        return df.groupBy(*by).agg(F.percentile(_present(column), _fractions(probs)).alias(name))
-    return _by_counts(df, column, probs, list(by), name, distinct_per_task)
+    values = df.select(*by, _present(column).alias("__v"))
+    small, large, _ = ordered.by_size(values, by, rows_per_task)
+    cut = []
+    if small is not None:
+        cut.append(small.groupBy(*by).agg(F.percentile("__v", _fractions(probs)).alias(name)))
+    if large is not None:
+        cut.append(_by_counts(large, probs, list(by), name, rows_per_task))
+    return cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1])
 
 
-def _by_counts(df, column, probs, by, name, rows_per_task) -> DataFrame:
+def _by_counts(values: DataFrame, probs, by, name, rows_per_task) -> DataFrame:
     """Exact quantiles of large groups: count each value, then add the counts up in order."""
-    shared_dir(df.sparkSession)
+    shared_dir(values.sparkSession)
     counts = (
-        df.select(*by, _present(column).alias("__v"))
-        .where("__v IS NOT NULL")
-        .groupBy(*by, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        values.groupBy(*by, "__v")
+        .agg(F.count("__v").alias("__n"))
         .checkpoint()
     )
     upto = ordered.along(
@@ -173,10 +176,8 @@ def _by_counts(df, column, probs, by, name, rows_per_task) -> DataFrame:
     totals = counts.groupBy(*[F.col(k).alias(f"__total_{k}") for k in by]).agg(
         F.sum("__n").alias("__total")
     )
-    match = F.lit(True)
-    for k in by:
-        match = match & F.col(k).eqNullSafe(F.col(f"__total_{k}"))
-    joined = upto.join(totals, match)
+    # One row per large group, of which there are few: their sums are small to send along.
+    joined = upto.join(F.broadcast(totals), ordered.same(by, [f"__total_{k}" for k in by]))
     ends, result = [], []
     for i, p in enumerate(probs):
         place = (F.col("__total") - 1) * F.lit(float(p))
@@ -223,10 +224,8 @@ def iqr_outliers(df: DataFrame, column: str, by: Sequence[str] = (), **options)
     named = bounds.select(
         *[F.col(k).alias(f"__bound_{k}") for k in by], F.col("lower").alias("__lower"), F.col("upper").alias("__upper")
     )
-    match = outside(value, F.col("__lower"), F.col("__upper"))
-    for k in by:
-        match = match & F.col(k).eqNullSafe(F.col(f"__bound_{k}"))
-    return df.join(named, match).select(*df.columns)
+    match = ordered.same(by, [f"__bound_{k}" for k in by])
+    return df.join(named, match & outside(value, F.col("__lower"), F.col("__upper"))).select(*df.columns)
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

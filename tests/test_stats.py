@@ -53,13 +53,13 @@ def test_small_quantile_by_hand(spark):
     assert stats.quantiles(frame(spark, range(1, 5)), "v", (0.5,), accuracy=1000).first()[0] == [2.0]
 
 
-@pytest.mark.parametrize("distinct_per_task", [1, 50, 1_000_000])
-def test_quantiles_by_group(spark, distinct_per_task):
+@pytest.mark.parametrize("rows_per_task", [1, 50, 1_000_000])
+def test_quantiles_by_group(spark, rows_per_task):
     rng = random.Random(5)
     groups = {"hot": [rng.gauss(0, 1) for _ in range(900)], "b": [1.0, 2.0], None: [4.0], "empty": [None]}
     rows = [(k, v) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
-    got = stats.quantiles(df, "v", PROBS, ["k"], distinct_per_task=distinct_per_task)
+    got = stats.quantiles(df, "v", PROBS, ["k"], rows_per_task=rows_per_task)
     result = {r.k: r.quantiles for r in got.collect()}
     for key, values in groups.items():
         if key != "empty":
@@ -79,7 +79,7 @@ def test_outliers_of_a_group(spark):
     rows = [("a", float(i)) for i in range(10)] + [("a", 100.0)] + [("b", 100.0 + i) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, v double")
     assert [tuple(r) for r in stats.iqr_outliers(df, "v", ["k"]).collect()] == [("a", 100.0)]
-    assert [tuple(r) for r in stats.iqr_outliers(df, "v", ["k"], distinct_per_task=2).collect()] == [("a", 100.0)]
+    assert [tuple(r) for r in stats.iqr_outliers(df, "v", ["k"], rows_per_task=2).collect()] == [("a", 100.0)]
 
 
 def test_summary_rounds_half_to_even_and_drops_missing_keys(spark):
