@@ -75,17 +75,23 @@ def scored_crops(crops: DataFrame, cost: str | None = None) -> DataFrame:
 
 
 def best_crops(crops: DataFrame, n: int, cost: str | None = None) -> DataFrame:
-    """The n best crops of each combination of season, water and investment."""
+    """The n best crops of each combination of season, water and investment.
+
+    Only the n best of the crops with the same needs can be among them, so the rest goes before
+    a crop is repeated for each combination it suits.
+    """
+    scored = scored_crops(crops, cost).where(F.col("score").isNotNull())
+    order = [F.desc("score"), F.asc("name")]
+    needs = ["seasons", "waters", "investments"]
     cases = (
-        scored_crops(crops, cost)
-        .where(F.col("score").isNotNull())
+        best_per_group(scored, needs, order, n)
         .withColumn("season", F.explode("seasons"))
         .withColumn("water", F.explode("waters"))
         .withColumn("investment", F.explode("investments"))
         .where(F.col("season").isin(*SEASONS))
-        .drop("seasons", "waters", "investments")
+        .drop(*needs, "place")
     )
-    return best_per_group(cases, CASE, [F.desc("score"), F.asc("name")], n)
+    return best_per_group(cases, CASE, order, n)
 
 
 def recommend(requests: DataFrame, crops: DataFrame, n: int = 3, cost: str | None = None) -> DataFrame:

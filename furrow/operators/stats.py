@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.numbers import round_half_even
 from furrow.operators import ordered
 from furrow.session import shared_dir
 
@@ -255,5 +256,5 @@ def group_summary(
         "Std_YoY_Change": F.stddev_samp(change),
     }
     return df.dropna(subset=[key]).groupBy(key).agg(
-        *[F.bround(figure, digits).alias(name) for name, figure in figures.items()]
+        *[round_half_even(figure, digits).alias(name) for name, figure in figures.items()]
     )

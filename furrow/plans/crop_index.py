@@ -31,7 +31,10 @@ def clean_wide(raw: DataFrame, order_by: Sequence[str] = (), trim_first: bool =
     years = [f"{PREFIX}{c}" for c in values[1:]]
     df = clean.to_numeric(df, years)
     if order_by:
-        df = clean.forward_fill(df, [KEY], order_by, **options).drop(*order_by)
+        # Without a missing key there is nothing to fill, and no need to bring rows into order.
+        if not df.where(F.col(KEY).isNull()).isEmpty():
+            df = clean.forward_fill(df, [KEY], order_by, **options)
+        df = df.drop(*order_by)
     df = clean.mean_fill(df, years)
     df = clean.drop_duplicate_rows(df, trim_first)
     return clean.strip_text(df, [KEY])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions import text as X
+from furrow.functions.numbers import round_half_even
 from furrow.operators import clean, reshape
 from furrow.sources.files import read_csv
 
@@ -59,7 +60,7 @@ def standardise_measures(wide: DataFrame, id_column: str = "crop", digits: int =
     columns = [c for c in wide.columns if c != id_column]
     measures = list(dict.fromkeys(c.strip().rsplit(" ", 1)[0] for c in columns))
     long = reshape.split_measure(reshape.melt(clean.to_numeric(wide, columns), [id_column], columns))
-    long = long.withColumn("value", F.bround("value", digits))
+    long = long.withColumn("value", round_half_even(F.col("value"), digits))
     return reshape.spread(long, [id_column, "period"], "measure", "value", measures).select(
         id_column, F.col("period").alias("year"), *[F.col(m).alias(m.lower()) for m in measures]
     )

@@ -2,11 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import labels as L
 from furrow.functions import text as X
+from furrow.functions.numbers import round_half_even
 from furrow.operators import clean, profile, reshape, timeseries
 
 
@@ -154,6 +156,13 @@ def test_small_labels(spark):
     assert (one(spark, L.short_time(moment)), one(spark, L.short_date(moment))) == ("03:04", "2024-01-02")
 
 
+def test_rounding_is_that_of_numpy(spark):
+    values = [109.125, 108.125, 1.015, 2.675, -0.125, 98.09999999999999, 1e12 + 0.125, 0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.x for r in df.select(round_half_even(F.col("v"), 2).alias("x")).collect()]
+    assert got == [None if v is None else float(np.round(v, 2)) for v in values]
+
+
 def test_search(spark):
     df = spark.createDataFrame([("Wheat", None), ("rice", "near WHEAT"), (None, None)], "a string, b string")
     assert df.where(X.search([F.col("a"), F.col("b")], "wheat")).count() == 2
