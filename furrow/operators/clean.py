@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions import text as X
 from furrow.functions.values import MISSING_TOKENS
 from furrow.operators import ordered
-
-FRACTIONS = (T.DoubleType, T.FloatType)
-
-
-def _columns_of(df: DataFrame, *kinds: type) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+from furrow.operators.columns import FRACTIONS, is_missing, named, number, of_type
 
 
 def _chosen(df: DataFrame, columns: Sequence[str] | str) -> list[str]:
@@ -25,14 +22,14 @@ def _chosen(df: DataFrame, columns: Sequence[str] | str) -> list[str]:
 
 def blank_to_null(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
     """NULL for text cells that stand for a missing value, and for NaN."""
-    changes = {c: X.missing_to_null(F.col(c), tokens) for c in _columns_of(df, T.StringType)}
-    changes |= {c: F.nanvl(F.col(c), F.lit(None)) for c in _columns_of(df, *FRACTIONS)}
+    changes = {c: X.missing_to_null(named(c), tokens) for c in of_type(df, T.StringType)}
+    changes |= {c: F.nanvl(named(c), F.lit(None)) for c in of_type(df, *FRACTIONS)}
     return df.withColumns(changes) if changes else df
 
 
 def drop_blank_rows(df: DataFrame, columns: Sequence[str] | str = "*") -> DataFrame:
     """Drop rows in which every one of the columns is missing."""
-    return df.dropna(how="all", subset=_chosen(df, columns))
+    return df.where(reduce(or_, [~is_missing(df, c) for c in _chosen(df, columns)]))
 
 
 def rename_by_position(df: DataFrame, first: str = "Crop", prefix: str = "Year_") -> DataFrame:
@@ -47,16 +44,8 @@ def trim_headers(df: DataFrame) -> DataFrame:
 
 def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as double; what is not a number becomes NULL."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def number(name: str) -> Column:
-        column = F.col(name)
-        if isinstance(kinds[name], T.StringType):
-            return X.to_number(column)
-        double = column.cast("double")
-        return F.nanvl(double, F.lit(None)) if isinstance(kinds[name], FRACTIONS) else double
-
-    return df.withColumns({c: number(c) for c in columns})
+    texts = of_type(df, T.StringType)
+    return df.withColumns({c: X.to_number(named(c)) if c in texts else number(c) for c in columns})
 
 
 def forward_fill(
@@ -77,15 +66,15 @@ def forward_fill(
         df, partition_by, order_by, {f"__fill_{c}": ordered.last_known(c) for c in names}, **options
     )
     return filled.select(
-        *[F.col(f"__fill_{c}").alias(c) if c in names else F.col(c) for c in df.columns]
+        *[named(f"__fill_{c}").alias(c) if c in names else named(c) for c in df.columns]
     )
 
 
 def mean_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace missing cells by the mean of their column; a column without values stays missing."""
-    present = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
-    means = df.agg(F.struct(*[F.avg(v).alias(c) for c, v in present.items()]).alias("m")).scalar()
-    filled = {c: F.coalesce(v, F.col("__means")[c]) for c, v in present.items()}
+    places = {c: f"m{i}" for i, c in enumerate(columns)}
+    means = df.agg(F.struct(*[F.avg(number(c)).alias(place) for c, place in places.items()]).alias("m")).scalar()
+    filled = {c: F.coalesce(number(c), F.col("__means")[place]) for c, place in places.items()}
     return df.withColumn("__means", means).withColumns(filled).drop("__means")
 
 
@@ -99,10 +88,10 @@ def drop_duplicate_rows(df: DataFrame, trim_first: bool = False) -> DataFrame:
 
 def strip_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns without white space at both ends."""
-    names = _columns_of(df, T.StringType) if columns is None else columns
-    return df.withColumns({c: X.strip(F.col(c)) for c in names}) if names else df
+    names = of_type(df, T.StringType) if columns is None else columns
+    return df.withColumns({c: X.strip(named(c)) for c in names}) if names else df
 
 
 def keep_with_text(df: DataFrame, column: str) -> DataFrame:
     """Rows whose text is not blank."""
-    return df.where(X.has_text(F.col(column)))
+    return df.where(X.has_text(named(column)))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.columns import named
 from furrow.session import shared_dir
 
 ROWS_PER_TASK = 5_000_000
@@ -65,7 +66,7 @@ def along(
 ) -> DataFrame:
     """Add one column per entry of ``values``.
 
-    ``order_by`` must order the rows of a group without ties. ``bounded=True`` promises that
+    ``order_by`` names columns, ascending, that must order the rows of a group without ties. ``bounded=True`` promises that
     no group exceeds ``rows_per_task`` and saves the count. ``width`` is for a single whole-number
     order column without repeats: stretches of that length hold at most ``width`` rows, so
     they serve as parts and neither a count nor a range partitioning is needed.
@@ -74,7 +75,7 @@ def along(
         raise ValueError("an order is required: rows have none of their own")
     keys, order_by = list(keys), list(order_by)
     if width:
-        part = F.expr(f"`{order_by[0]}` div {int(width)}")
+        part = F.call_function("div", named(order_by[0]), F.lit(int(width)))
         return _across_parts(df.withColumn(PART, part), keys, order_by, values, small_carry=False)
     if bounded:
         return _plain(df, keys, order_by, values)
@@ -91,7 +92,7 @@ def by_size(
     df: DataFrame, keys: Sequence[str], rows_per_task: int
 ) -> tuple[DataFrame | None, DataFrame | None, int]:
     """Rows of the small groups, rows of the large groups and their number; None where there are none."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*map(named, keys)).agg(F.count(F.lit(1)).alias("__n"))
     is_large = F.col("__n") > rows_per_task
     large_rows = sizes.agg(F.sum(F.when(is_large, F.col("__n")))).first()[0]
     if not large_rows:
@@ -100,7 +101,7 @@ def by_size(
         return None, df, large_rows
     # At most (all rows / rows_per_task) groups are large, so their list can be broadcast.
     shared_dir(df.sparkSession)
-    large = sizes.where(is_large).select(*[F.col(k).alias(f"__large_{k}") for k in keys]).checkpoint()
+    large = sizes.where(is_large).select(*[named(k).alias(f"__large_{k}") for k in keys]).checkpoint()
     match = same(keys, large.columns)
     return df.join(F.broadcast(large), match, "left_anti"), df.join(F.broadcast(large), match, "left_semi"), large_rows
 
@@ -109,7 +110,7 @@ def same(left: Sequence[str], right: Sequence[str]) -> Column:
     """Condition that the columns are equal one by one, a missing value equal to a missing one."""
     condition = F.lit(True)
     for a, b in zip(left, right):
-        condition = condition & F.col(a).eqNullSafe(F.col(b))
+        condition = condition & named(a).eqNullSafe(named(b))
     return condition
 
 
@@ -124,8 +125,8 @@ def _local(kind: str, column: Column, window) -> Column:
 
 
 def _plain(df: DataFrame, keys, order_by, values) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order_by)
-    added = [_local(value.kind, F.col(value.column), window).alias(name) for name, value in values.items()]
+    window = Window.partitionBy(*map(named, keys)).orderBy(*map(named, order_by))
+    added = [_local(value.kind, named(value.column), window).alias(name) for name, value in values.items()]
     return df.select("*", *added)
 
 
@@ -133,7 +134,7 @@ def _by_range(df: DataFrame, keys, order_by, values, parts: int) -> DataFrame:
     # The checkpoint fixes which row is in which part: both readers below must agree on it.
     shared_dir(df.sparkSession)
     ranged = (
-        df.repartitionByRange(parts, *keys, *order_by)
+        df.repartitionByRange(parts, *map(named, [*keys, *order_by]))
         .withColumn(PART, F.spark_partition_id())
         .checkpoint()
     )
@@ -143,13 +144,15 @@ def _by_range(df: DataFrame, keys, order_by, values, parts: int) -> DataFrame:
 def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> DataFrame:
     # The keys as one struct: it equals another with the same gaps, so the join below can use
     # the partitioning of the window.
-    rows = df.select(F.struct(*keys).alias(GROUP) if keys else F.lit(True).alias(GROUP),
-                     *[c for c in df.columns if c not in keys])
     group = [GROUP] if keys else []
-    position = F.struct(*order_by)
+    rows = df.select(
+        *[F.struct(*map(named, keys)).alias(GROUP) for _ in group],
+        *[named(c) for c in df.columns if c not in keys],
+    )
+    position = F.struct(*map(named, order_by))
 
-    def at(name: str):
-        return F.col(f"{GROUP}.{name}") if name in keys else F.col(name)
+    def at(name: str) -> Column:
+        return F.col(GROUP)[name] if name in keys else named(name)
 
     sums = []
     for name, value in values.items():
@@ -167,7 +170,7 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name, value in values.items():
-        column = F.col(name)
+        column = named(name)
         carried.append({
             "last_known": lambda: F.last(column, ignorenulls=True).over(before),
             "previous": lambda: F.lag(column).over(order),
@@ -183,7 +186,7 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
         # Each range adds at most one part that continues a group of the range before.
         carry = F.broadcast(carry)
 
-    window = Window.partitionBy(*group, PART).orderBy(*order_by)
+    window = Window.partitionBy(*group, PART).orderBy(*map(named, order_by))
     local = rows.select(
         "*",
         (F.row_number().over(window) == 1).alias(NEW_PART),
@@ -192,7 +195,7 @@ def _across_parts(df: DataFrame, keys, order_by, values, small_carry: bool) -> D
     joined = local.join(carry, [*group, PART], "left")
     final = []
     for name, value in values.items():
-        here, there = F.col(f"__local_{name}"), F.col(f"__carry_{name}")
+        here, there = named(f"__local_{name}"), named(f"__carry_{name}")
         final.append({
             "last_known": lambda: F.coalesce(here, there),
             "previous": lambda: F.when(F.col(NEW_PART), there["v"]).otherwise(here),

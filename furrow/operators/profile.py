@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from furrow.operators.columns import is_missing, named, number
 from furrow.operators.stats import SEARCH_FROM, quantile_columns
 
 
@@ -19,13 +19,6 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
 
 
-def _missing(df: DataFrame, column: str) -> Column:
-    value = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
-
-
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
@@ -41,8 +34,8 @@ def columns_report(df: DataFrame, columns: Sequence[str] | None = None, approxim
     figures = [F.count(F.lit(1)).alias("__rows")]
     records = []
     for i, name in enumerate(names):
-        gone = _missing(df, name)
-        known = F.when(~gone, F.col(name))
+        gone = is_missing(df, name)
+        known = F.when(~gone, named(name))
         distinct = F.approx_count_distinct(known) if approximate else F.count_distinct(known)
         figures += [F.count_if(gone).alias(f"__missing{i}"), distinct.alias(f"__distinct{i}")]
         records.append(F.struct(
@@ -57,27 +50,27 @@ def columns_report(df: DataFrame, columns: Sequence[str] | None = None, approxim
 
 def missing_total(df: DataFrame) -> DataFrame:
     """Missing cells of the whole table."""
-    counts = [F.count_if(_missing(df, c)) for c in df.columns]
+    counts = [F.count_if(is_missing(df, c)) for c in df.columns]
     return df.agg(sum(counts[1:], counts[0]).alias("n_missing"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct()
+    return df.select(named(column)).distinct()
 
 
 def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(count(F.col(column)).alias("n_distinct"))
+    return df.agg(count(named(column)).alias("n_distinct"))
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:
     """Least and greatest value; text compares by its characters."""
-    return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+    return df.agg(F.min(named(column)).alias("first"), F.max(named(column)).alias("last"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    groups = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
@@ -86,7 +79,7 @@ def describe(df: DataFrame, columns: Sequence[str], search_from: int = SEARCH_FR
     quartiles = quantile_columns(df, columns, (0.25, 0.5, 0.75), search_from)
     figures, records = [], []
     for i, name in enumerate(columns):
-        value = F.nanvl(F.col(name).cast("double"), F.lit(None))
+        value = number(name)
         figures += [
             F.count(value).cast("double").alias(f"__count{i}"),
             F.avg(value).alias(f"__mean{i}"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators import ordered
+from furrow.operators.columns import named
 
 
 def melt(
@@ -19,7 +20,7 @@ def melt(
 ) -> DataFrame:
     """One row per id and value column; missing cells keep their row."""
     columns = [c for c in df.columns if c not in ids] if values is None else list(values)
-    return df.unpivot(list(ids), columns, variable, value)
+    return df.unpivot([named(c) for c in ids], [named(c) for c in columns], variable, value)
 
 
 def remove_text(df: DataFrame, column: str, part: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.numbers import round_half_even
 from furrow.operators import ordered
+from furrow.operators.columns import number
 from furrow.session import shared_dir
 
 # Spark's exact percentile keeps one entry per distinct value of a group in one task, so groups
@@ -20,10 +21,6 @@ SEARCH_FROM = 50_000
 ACCURACY = 10_000
 
 
-def _present(column: str) -> Column:
-    return F.nanvl(F.col(column).cast("double"), F.lit(None))
-
-
 def _fractions(probs: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(p)) for p in probs])
 
@@ -36,13 +33,13 @@ def quantile_columns(
     Quantiles interpolate between the two nearest values; missing cells do not count.
     """
     known = df.agg(*[
-        F.struct(F.approx_count_distinct(_present(c)).alias("distinct"), F.count(_present(c)).alias("n")).alias(c)
+        F.struct(F.approx_count_distinct(number(c)).alias("distinct"), F.count(number(c)).alias("n"))
         for c in columns
     ]).first()
-    wide = {c: known[c]["n"] for c in columns if known[c]["distinct"] > search_from}
+    wide = {c: sizes["n"] for c, sizes in zip(columns, known) if sizes["distinct"] > search_from}
     found = _search(df, wide, probs, search_from) if wide else {}
     return {
-        c: F.first(_fractions(found[c])) if c in found else F.percentile(_present(c), _fractions(probs))
+        c: F.first(_fractions(found[c])) if c in found else F.percentile(number(c), _fractions(probs))
         for c in columns
     }
 
@@ -56,7 +53,7 @@ def _search(
     counts say whether it is one of them or lies between. Every round leaves thousands of times
     fewer rows, without a shuffle of rows and with only these few numbers on the driver.
     """
-    values = df.select(*[_present(c).alias(f"v{i}") for i, c in enumerate(totals)])
+    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(totals)])
     places = {i: [p * (total - 1) for p in probs] for i, total in enumerate(totals.values())}
     found: dict[tuple[int, int], float] = {}
     # (column, position) -> open interval, how many rows lie at or below its start, how many inside.
@@ -149,11 +146,11 @@ def quantiles(
     """
     if accuracy:
         return df.groupBy(*by).agg(
-            F.percentile_approx(_present(column), _fractions(probs), accuracy).alias(name)
+            F.percentile_approx(number(column), _fractions(probs), accuracy).alias(name)
         )
     if not by:
         return df.agg(quantile_columns(df, [column], probs, search_from)[column].alias(name))
-    values = df.select(*by, _present(column).alias("__v"))
+    values = df.select(*by, number(column).alias("__v"))
     small, large, _ = ordered.by_size(values, by, rows_per_task)
     cut = []
     if small is not None:
@@ -218,7 +215,7 @@ def outside(value: Column, lower: Column, upper: Column) -> Column:
 def iqr_outliers(df: DataFrame, column: str, by: Sequence[str] = (), **options) -> DataFrame:
     """Rows whose value lies outside the limits of the whole table, or of their group."""
     bounds = iqr_bounds(df, column, by, **options)
-    value = _present(column)
+    value = number(column)
     if not by:
         limits = bounds.select(F.struct("lower", "upper")).scalar()
         return df.where(outside(value, limits["lower"], limits["upper"]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators import clean, profile, reshape, stats, timeseries
+from furrow.operators.columns import named
 from furrow.sources.files import write_tables
 
 KEY, PERIOD, INDEX = "Crop", "Year", "Index_Value"
@@ -26,7 +27,7 @@ def clean_wide(raw: DataFrame, order_by: Sequence[str] = (), trim_first: bool =
     values = [c for c in raw.columns if c not in order_by]
     df = clean.drop_blank_rows(clean.blank_to_null(raw), values)
     df = df.select(
-        F.col(values[0]).alias(KEY), *[F.col(c).alias(f"{PREFIX}{c}") for c in values[1:]], *order_by
+        named(values[0]).alias(KEY), *[named(c).alias(f"{PREFIX}{c}") for c in values[1:]], *order_by
     )
     years = [f"{PREFIX}{c}" for c in values[1:]]
     df = clean.to_numeric(df, years)

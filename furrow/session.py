@@ -16,6 +16,8 @@ def get_spark(app_name: str = "furrow", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a frequent key even where the next step then needs a shuffle of its own.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )

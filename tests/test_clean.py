@@ -51,6 +51,23 @@ def test_headers(spark):
     assert clean.rename_by_position(clean.trim_headers(df)).columns == ["Crop", "Year_2004-05"]
 
 
+def test_raw_headers(spark):
+    """Names with dots, back-ticks and spaces, as raw files have them."""
+    names = ["Crop", "Cost (`/Hectare) A2+FL", "Zn %", "a.b"]
+    df = spark.createDataFrame([(" x ", "1", "2", ""), ("", "", "", ""), ("y", "3", "NA", "5")], "a string, b string, c string, d string").toDF(*names)
+    rows = clean.strip_text(clean.drop_blank_rows(clean.blank_to_null(df)))
+    rows = clean.mean_fill(clean.to_numeric(rows, names[1:]), names[1:])
+    assert sorted(map(tuple, rows.collect())) == [("x", 1.0, 2.0, 5.0), ("y", 3.0, 2.0, 5.0)]
+    assert {r.column: r.n_distinct for r in profile.columns_report(rows).collect()} == dict(zip(names, (2, 2, 1, 1)))
+    assert {r.column for r in profile.describe(rows, names[1:], search_from=0).collect()} == set(names[1:])
+    assert profile.duplicate_count(rows).first()[0] == 0 and profile.missing_total(rows).first()[0] == 0
+    assert profile.distinct_values(rows, "a.b").first()[0] == 5.0
+    long = reshape.melt(rows, ["Crop"])
+    assert {r.variable for r in long.collect()} == set(names[1:])
+    filled = clean.forward_fill(df.withColumn("n", F.monotonically_increasing_id()), "*", ["n"], bounded=True)
+    assert filled.columns == [*names, "n"]
+
+
 def test_mean_fill(spark):
     df = spark.createDataFrame(
         [(1.0, None, 3), (1.0, None, 3), (None, None, None), (float("nan"), None, 6)], "a double, b double, c int"
