@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+from furrow.operators import ordered, profile, ranking, stats
 from tests.compare import both, connect
 
 SF_DIR = os.environ.get("FURROW_TEST_DATA", "/root/testdata/sf0.001")
@@ -30,6 +31,33 @@ def test_matches_sql(spark, connection, name):
     assert ours == theirs
 
 
+def limit(function, name: str, value: int, monkeypatch) -> None:
+    """Another default for one argument of a function."""
+    if name in (function.__kwdefaults__ or {}):
+        monkeypatch.setitem(function.__kwdefaults__, name, value)
+        return
+    code = function.__code__
+    names = code.co_varnames[: code.co_argcount][-len(function.__defaults__):]
+    defaults = tuple(value if n == name else d for n, d in zip(names, function.__defaults__))
+    monkeypatch.setattr(function, "__defaults__", defaults)
+
+
+@needs_data
+@pytest.mark.parametrize("name", [
+    "forward_fill", "forward_fill_all", "user_series", "group_summary", "row_index", "soil_rank",
+    "quantiles_by_group", "outliers_by_group", "outliers_iqr", "profile_describe",
+])
+def test_matches_sql_when_groups_are_large(spark, connection, monkeypatch, name):
+    """The same queries with limits so low that groups are cut and columns searched."""
+    limit(ordered.along, "rows_per_task", 40, monkeypatch)
+    limit(ranking.ranks, "rows_per_task", 40, monkeypatch)
+    limit(stats.quantiles, "rows_per_task", 60, monkeypatch)
+    limit(stats.quantiles, "search_from", 30, monkeypatch)
+    limit(profile.describe, "search_from", 30, monkeypatch)
+    ours, theirs = both(spark, connection, QUERIES[name], ORACLES[name], SF_DIR)
+    assert ours == theirs
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
