@@ -38,22 +38,20 @@ def quantile_columns(
     ]).first()
     wide = {c: sizes["n"] for c, sizes in zip(columns, known) if sizes["distinct"] > search_from}
     found = _search(df, wide, probs, search_from) if wide else {}
-    return {
-        c: F.first(_fractions(found[c])) if c in found else F.percentile(number(c), _fractions(probs))
-        for c in columns
-    }
+    return {c: found[c] if c in found else F.percentile(number(c), _fractions(probs)) for c in columns}
 
 
 def _search(
     df: DataFrame, totals: dict[str, int], probs: Sequence[float], small: int
-) -> dict[str, list[float]]:
+) -> dict[str, Column]:
     """Exact quantiles of columns too varied for one task, given their number of values.
 
     Each wanted position in the sorted column is enclosed by two approximate percentiles, and
     counts say whether it is one of them or lies between. Every round leaves thousands of times
-    fewer rows, without a shuffle of rows and with only these few numbers on the driver.
+    fewer rows, without a shuffle of rows and with only these few numbers on the driver. At most
+    ``small`` rows per position are left to the expressions returned, which end the search.
     """
-    values = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(totals)])
+    values = [number(c) for c in totals]
     places = {i: [p * (total - 1) for p in probs] for i, total in enumerate(totals.values())}
     found: dict[tuple[int, int], float] = {}
     # (column, position) -> open interval, how many rows lie at or below its start, how many inside.
@@ -65,9 +63,8 @@ def _search(
     }
 
     def within(i: int, low: float | None, high: float | None) -> Column:
-        v = F.col(f"v{i}")
-        inside = v.isNotNull() if low is None else v > low
-        return inside if high is None else inside & (v < high)
+        inside = values[i].isNotNull() if low is None else values[i] > low
+        return inside if high is None else inside & (values[i] < high)
 
     step = 2.0 / ACCURACY
     while wide := {key: gap for key, gap in gaps.items() if gap[3] > small}:
@@ -75,9 +72,9 @@ def _search(
         for (i, k), (low, high, below, inside) in wide.items():
             share = (k - below) / inside
             shared.setdefault((i, low, high), []).append(((i, k), share))
-        guesses = values.agg(*[
+        guesses = df.agg(*[
             F.percentile_approx(
-                F.when(within(i, low, high), F.col(f"v{i}")),
+                F.when(within(i, low, high), values[i]),
                 _fractions([
                     edge for _, share in wanted for edge in (max(0.0, share - step), min(1.0, share + step))
                 ]),
@@ -89,12 +86,12 @@ def _search(
         for guess, wanted in zip(guesses, shared.values()):
             for n, (key, _) in enumerate(wanted):
                 edges[key] = (guess[2 * n], guess[2 * n + 1])
-        counts = values.agg(*[
+        counts = df.agg(*[
             F.array(
-                F.count_if(within(i, *wide[i, k][:2]) & (F.col(f"v{i}") < left)),
-                F.count_if(F.col(f"v{i}") == left),
+                F.count_if(within(i, *wide[i, k][:2]) & (values[i] < left)),
+                F.count_if(values[i] == left),
                 F.count_if(within(i, left, right)),
-                F.count_if((F.col(f"v{i}") == right) & (F.col(f"v{i}") > left)),
+                F.count_if((values[i] == right) & (values[i] > left)),
             )
             for (i, k), (left, right) in edges.items()
         ]).first()
@@ -112,22 +109,21 @@ def _search(
             else:
                 passed = under + at_left + between + at_right
                 gaps[key] = (right, high, below + passed, inside - passed)
-    if gaps:
-        rest = values.agg(*[
-            F.element_at(
-                F.array_sort(F.collect_list(F.when(within(i, low, high), F.col(f"v{i}")))), k - below + 1
-            )
-            for (i, k), (low, high, below, _) in gaps.items()
-        ]).first()
-        found |= dict(zip(gaps, rest))
 
-    def between_nearest(i: int, place: float) -> float:
+    def value_at(key: tuple[int, int]) -> Column:
+        if key in found:
+            return F.lit(found[key])
+        low, high, below, _ = gaps[key]
+        rest = F.collect_list(F.when(within(key[0], low, high), values[key[0]]))
+        return F.element_at(F.array_sort(rest), key[1] - below + 1)
+
+    def between_nearest(i: int, place: float) -> Column:
         low, high = math.floor(place), math.ceil(place)
         if low == high:
-            return found[i, low]
-        return (high - place) * found[i, low] + (place - low) * found[i, high]
+            return value_at((i, low))
+        return (high - place) * value_at((i, low)) + (place - low) * value_at((i, high))
 
-    return {c: [between_nearest(i, place) for place in places[i]] for i, c in enumerate(totals)}
+    return {c: F.array(*[between_nearest(i, place) for place in places[i]]) for i, c in enumerate(totals)}
 
 
 def quantiles(

@@ -64,8 +64,9 @@ def price_buckets(
     )
     if not change:
         return buckets
-    # One row per calendar bucket: a key has no more rows than the calendar has buckets.
-    return pct_change(buckets, keys, ["bucket"], "avg_price", "change", bounded=True)
+    # One row per bucket: by the hour or longer, the calendar bounds the rows of a key.
+    is_coarse = unit.lower() in ("hour", "day", "week", "month", "quarter", "year")
+    return pct_change(buckets, keys, ["bucket"], "avg_price", "change", bounded=is_coarse)
 
 
 def price_figures(price: str) -> list[Column]:
