@@ -191,14 +191,15 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """The rows with each span replaced by its kind in angle brackets; spans that overlap become one.
+    """The rows with each span replaced by its kind in angle brackets; spans that overlap become one, of the first's kind
+    (of the longest, where several begin together).
 
     A null text stays null. ``n_chars``, where the column exists, is set to the new length of changed texts.
     """
     found = df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
     found = find(found, "text", "spans").select(
         "row", "text",
-        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"),
+        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"),
     )
 
     def step(state: Column, s: Column) -> Column:
