@@ -82,6 +82,16 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key long, start int, n int, anchor long, path long")
 
 
+def _again(pieces: DataFrame) -> DataFrame:
+    """(anchor, branches): anchors that occur more than once, and whether their paths differ.
+
+    Stored, so that the join with them reads both sides from a shuffle and can split a frequent anchor.
+    """
+    anchors = pieces.groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("low"), F.max("path").alias("high"))
+    again = anchors.where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("branches"))
+    return stored(pieces.sparkSession, again, "passages-anchors")
+
+
 def _kept(words: list[bytes], spans: Iterable[tuple[int, int]]) -> tuple[list[bytes], int]:
     """The words outside the spans, and the number of words inside."""
     edges = np.zeros(len(words) + 1, np.int64)
@@ -103,9 +113,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     rows = with_text(docs, "text", "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
     pieces = _cut(rows, width)
-    anchors = pieces.groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("low"), F.max("path").alias("high"))
-    again = anchors.where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("branches"))
-    hits = stored(spark, pieces.join(again, "anchor"), "passages-hits")
+    hits = stored(spark, pieces.join(_again(pieces), "anchor"), "passages-hits")
     plain = hits.where(~F.col("branches")).select("key", "start", "n", F.lit(True).alias("whole"), F.lit(False).alias("apart"))
     mixed = hits.where("branches")
     known = mixed.groupBy("anchor", "path").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("one"))

@@ -82,7 +82,7 @@ def window_hashes(hashes: np.ndarray, width: int, base: np.uint64 = BASES[0]) ->
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: executors can be lost afterwards."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
