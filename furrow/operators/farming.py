@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from furrow.operators import keys, ranking
+from furrow.operators.columns import named
 from furrow.sources.datasets import NUTRIENTS
 
 
@@ -117,10 +119,28 @@ def violations(df: DataFrame, checks: Sequence[Check], keep: Sequence[str]) -> D
     return df.select(*keep, F.inline(F.array_compact(F.array(*found))))
 
 
-def crop_performance(left: DataFrame, right: DataFrame, left_crop: str = "crop", right_crop: str = "crop", aliases=keys.CROP_ALIASES) -> DataFrame:
-    """Left join of two tables on the normal crop name."""
-    other = keys.with_key(right, right_crop, aliases=aliases).drop(right_crop)
-    return keys.join_on_key(keys.with_key(left, left_crop, aliases=aliases), other, "crop_key")
+def crop_performance(
+    left: DataFrame,
+    right: DataFrame,
+    left_crop: str = "crop",
+    right_crop: str = "crop",
+    aliases=keys.CROP_ALIASES,
+    figures: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Every row of the left table once, with figures of the right rows of the same normal crop name.
+
+    ``figures`` names aggregates of the right table, by default the mean of each of its numeric columns; they bring it
+    to one row per crop, so that repeated names on either side do not multiply rows. A figure whose name the left table
+    has already gets ``other_`` in front.
+    """
+    other = keys.with_key(right, right_crop, aliases=aliases)
+    if figures is None:
+        numeric = [f.name for f in right.schema if isinstance(f.dataType, NumericType)]
+        figures = {c: F.avg(named(c)) for c in numeric}
+    taken = {c.lower() for c in [*left.columns, "crop_key"]}
+    renamed = {(f"other_{name}" if name.lower() in taken else name): figure for name, figure in figures.items()}
+    per_crop = other.groupBy("crop_key").agg(F.count(F.lit(1)).alias("__rows"), *[f.alias(n) for n, f in renamed.items()])
+    return keys.join_on_key(keys.with_key(left, left_crop, aliases=aliases), per_crop.drop("__rows"), "crop_key")
 
 
 def yield_by_geography(costs: DataFrame, varieties: DataFrame, aliases=keys.CROP_ALIASES) -> DataFrame:

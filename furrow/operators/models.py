@@ -12,6 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most different values of a category: they are collected, and each is a coefficient.
+MOST_CATEGORIES = 10_000
+
+
+def _check_categories(df: DataFrame, columns: Sequence[str]) -> None:
+    """More values than MOST_CATEGORIES (within the 5 % of the estimate) are an error; none is cut off."""
+    if columns:
+        counts = df.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+        for column, n in zip(columns, counts):
+            if n > MOST_CATEGORIES:
+                raise ValueError(f"about {n} categories in {column}; at most {MOST_CATEGORIES} are fitted")
+
+
 def _features(categories: Sequence[str], numbers: Sequence[str]) -> list:
     stages: list = []
     vectors = list(numbers)
@@ -34,12 +47,14 @@ def split_rows(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed
 
 def yield_regression(df: DataFrame, label: str, categories: Sequence[str] = (), numbers: Sequence[str] = ()) -> PipelineModel:
     """Linear regression of a yield on crop, region and costs."""
+    _check_categories(df, categories)
     model = LinearRegression(featuresCol="__features", labelCol=label, predictionCol="prediction")
     return Pipeline(stages=[*_features(categories, numbers), model]).fit(df)
 
 
 def crop_classifier(df: DataFrame, label: str, categories: Sequence[str] = (), numbers: Sequence[str] = (), seed: int = 42) -> PipelineModel:
     """Random forest for a crop label the user brings."""
+    _check_categories(df, [label, *categories])
     target = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="error", stringOrderType="alphabetAsc")
     model = RandomForestClassifier(featuresCol="__features", labelCol="__label", predictionCol="prediction", seed=seed)
     return Pipeline(stages=[target, *_features(categories, numbers), model]).fit(df)

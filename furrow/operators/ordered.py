@@ -69,14 +69,17 @@ def along(
     ``order_by`` names columns, ascending, that must order the rows of a group without ties. ``bounded=True`` promises that
     no group exceeds ``rows_per_task`` and saves the count. ``width`` is for a single whole-number
     order column without repeats: stretches of that length hold at most ``width`` rows, so
-    they serve as parts and neither a count nor a range partitioning is needed.
+    they serve as parts, if there are no more than ``MAX_PARTS`` of them, and no range partitioning is needed.
     """
     if not order_by:
         raise ValueError("an order is required: rows have none of their own")
     keys, order_by = list(keys), list(order_by)
     if width:
         part = F.call_function("div", named(order_by[0]), F.lit(int(width)))
-        return _across_parts(df.withColumn(PART, part), keys, order_by, values, small_carry=False)
+        stretches = df.withColumn(PART, part)
+        # Sparse order columns can have as many stretches as rows; then ranges of the rows serve as parts.
+        if stretches.select(*map(named, keys), PART).distinct().count() <= MAX_PARTS:
+            return _across_parts(stretches, keys, order_by, values, small_carry=False)
     if bounded:
         return _plain(df, keys, order_by, values)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators import ordered
+from furrow.operators.columns import named
 from furrow.session import shared_dir
 
 
@@ -87,7 +88,21 @@ def best(df: DataFrame, order_by: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+#: Spark drops the surplus of each task before the shuffle up to this limit (spark.sql.optimizer.windowGroupLimitThreshold).
+SURPLUS_LIMIT = 1000
+
+
 def best_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], n: int, place: str = "place") -> DataFrame:
-    """The first rows of each group with their place; every task drops its own surplus first."""
+    """The first rows of each group with their place; every task drops its own surplus first.
+
+    Beyond Spark's own limit the surplus is dropped in two steps: the first n of each of the pieces that a group is dealt
+    into by a hash of the row, then the first n of those. A piece, and what the pieces leave, is what one task holds.
+    """
     window = Window.partitionBy(*by).orderBy(*order_by)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", str(SURPLUS_LIMIT)))
+    if n > limit:
+        pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.withColumn("__piece", F.pmod(F.xxhash64(*map(named, df.columns)), F.lit(pieces)))
+        first = Window.partitionBy(*by, "__piece").orderBy(*order_by)
+        df = dealt.withColumn(place, F.row_number().over(first)).where(F.col(place) <= n).drop("__piece", place)
     return df.withColumn(place, F.row_number().over(window)).where(F.col(place) <= n)

@@ -88,7 +88,6 @@ def best_crops(crops: DataFrame, n: int, cost: str | None = None) -> DataFrame:
         .withColumn("season", F.explode("seasons"))
         .withColumn("water", F.explode("waters"))
         .withColumn("investment", F.explode("investments"))
-        .where(F.col("season").isin(*SEASONS))
         .drop(*needs, "place")
     )
     return best_per_group(cases, CASE, order, n)
@@ -110,6 +109,6 @@ def recommend(requests: DataFrame, crops: DataFrame, n: int = 3, cost: str | Non
     match = F.lit(True)
     for c in CASE:
         match = match & (F.col(f"__{c}") == F.col(f"__a_{c}"))
-    # 27 combinations of n crops each: small whatever the tables hold.
-    joined = cased.join(F.broadcast(answers), match, "left")
+    # n crops for each combination of 3 levels of water and of investment and the seasons that crops name.
+    joined = cased.join(answers, match, "left")
     return joined.select(*requests.columns, "name", "profit_low", "profit_high", "score", "place")

@@ -41,9 +41,11 @@ def split_measure(df: DataFrame, column: str = "variable") -> DataFrame:
 def spread(df: DataFrame, ids: Sequence[str], names: str, values: str, wanted: Sequence[str]) -> DataFrame:
     """One column per wanted name; the list saves Spark a job to find the names.
 
-    Of several values for one cell the greatest is taken, so that a repeated task gives the same.
+    A cell with more than one row fails the job: which value is meant is for the caller to say, by another id column.
     """
-    return df.groupBy(*ids).pivot(names, list(wanted)).agg(F.max(values))
+    repeated = F.raise_error(F.concat(F.lit("several rows for one cell of "), F.max(named(names).cast("string"))))
+    cell = F.when(F.count(F.lit(1)) <= 1, F.max(values)).otherwise(repeated.cast(df.schema[values].dataType))
+    return df.groupBy(*ids).pivot(names, list(wanted)).agg(cell)
 
 
 def sort_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

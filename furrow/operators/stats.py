@@ -18,6 +18,8 @@ from furrow.session import shared_dir
 ROWS_PER_TASK = 1_000_000
 # Beyond this many distinct values a search over the whole column is the faster way.
 SEARCH_FROM = 50_000
+# Columns searched together: each keeps up to SEARCH_FROM values per position in one task.
+COLUMNS_PER_PASS = 16
 ACCURACY = 10_000
 
 
@@ -36,20 +38,28 @@ def quantile_columns(
         F.struct(F.approx_count_distinct(number(c)).alias("distinct"), F.count(number(c)).alias("n"))
         for c in columns
     ]).first()
-    wide = {c: sizes["n"] for c, sizes in zip(columns, known) if sizes["distinct"] > search_from}
-    found = _search(df, wide, probs, search_from) if wide else {}
+    wide = [c for c, sizes in zip(columns, known) if sizes["distinct"] > search_from]
+    found: dict[str, Column] = {}
+    for at in range(0, len(wide), COLUMNS_PER_PASS):
+        some = wide[at : at + COLUMNS_PER_PASS]
+        # The search compares values seen in one job with those of the next, so they are computed once and stored.
+        shared_dir(df.sparkSession)
+        stored = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(some)]).checkpoint()
+        totals = stored.agg(*[F.count(c) for c in stored.columns]).first()
+        values = _search(stored, dict(zip(stored.columns, totals)), probs, search_from)
+        found |= {c: F.array(*map(F.lit, row)) for c, row in zip(some, values)}
     return {c: found[c] if c in found else F.percentile(number(c), _fractions(probs)) for c in columns}
 
 
 def _search(
     df: DataFrame, totals: dict[str, int], probs: Sequence[float], small: int
-) -> dict[str, Column]:
+) -> list[list[float]]:
     """Exact quantiles of columns too varied for one task, given their number of values.
 
     Each wanted position in the sorted column is enclosed by two approximate percentiles, and
     counts say whether it is one of them or lies between. Every round leaves thousands of times
-    fewer rows, without a shuffle of rows and with only these few numbers on the driver. At most
-    ``small`` rows per position are left to the expressions returned, which end the search.
+    fewer rows, without a shuffle of rows and with only these few numbers on the driver. The last
+    ``small`` rows at most around a position are sorted in one task.
     """
     values = [number(c) for c in totals]
     places = {i: [p * (total - 1) for p in probs] for i, total in enumerate(totals.values())}
@@ -110,20 +120,32 @@ def _search(
                 passed = under + at_left + between + at_right
                 gaps[key] = (right, high, below + passed, inside - passed)
 
-    def value_at(key: tuple[int, int]) -> Column:
-        if key in found:
-            return F.lit(found[key])
-        low, high, below, _ = gaps[key]
-        rest = F.collect_list(F.when(within(key[0], low, high), values[key[0]]))
-        return F.element_at(F.array_sort(rest), key[1] - below + 1)
+    if gaps:
+        # Positions in one gap share its rows.
+        shared = {}
+        for (i, k), (low, high, below, _) in gaps.items():
+            shared.setdefault((i, low, high, below), []).append(k)
+        last = df.agg(*[
+            F.transform(
+                F.array(*[F.lit(k - below + 1) for k in wanted]),
+                _element_of(F.array_sort(F.collect_list(F.when(within(i, low, high), values[i])))),
+            )
+            for (i, low, high, below), wanted in shared.items()
+        ]).first()
+        for row, ((i, *_), wanted) in zip(last, shared.items()):
+            found.update({(i, k): value for k, value in zip(wanted, row)})
 
-    def between_nearest(i: int, place: float) -> Column:
+    def between_nearest(i: int, place: float) -> float:
         low, high = math.floor(place), math.ceil(place)
         if low == high:
-            return value_at((i, low))
-        return (high - place) * value_at((i, low)) + (place - low) * value_at((i, high))
+            return found[i, low]
+        return (high - place) * found[i, low] + (place - low) * found[i, high]
+
+    return [[between_nearest(i, place) for place in places[i]] for i in range(len(totals))]
+
 
-    return {c: F.array(*[between_nearest(i, place) for place in places[i]]) for i, c in enumerate(totals)}
+def _element_of(values: Column):
+    return lambda place: F.element_at(values, place)
 
 
 def quantiles(

@@ -12,17 +12,23 @@ from pyspark.sql.types import StructType
 from furrow.operators.timeseries import price_figures
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, format: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_batch).load(path)
-    )
+def read_stream(
+    spark: SparkSession, path: str, schema: StructType, format: str = "parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """The files as a stream. Without a limit all files that are there form one batch, so their order is no matter.
+
+    With a limit the watermark moves on between batches, and rows of a later file that lie behind it are dropped;
+    :func:`finish` tells.
+    """
+    reader = spark.readStream.schema(schema).format(format)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
 def price_windows(
     prices: DataFrame, keys: Sequence[str], moment: str, price: str, length: str = "1 day", lateness: str = "1 hour"
 ) -> DataFrame:
     """Price figures per key and window. A window is given out once the watermark has passed
-    its end; rows later than that are left out."""
+    its end; rows that come later are dropped, and counted by :func:`finish`."""
     return (
         prices.withColumn(moment, F.col(moment).cast("timestamp"))
         .withWatermark(moment, lateness)
@@ -42,3 +48,13 @@ def write_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQu
         .trigger(availableNow=True)
         .start()
     )
+
+
+def finish(query: StreamingQuery) -> None:
+    """Wait for a query over what is there now; rows dropped behind the watermark are an error, not a silent loss."""
+    query.awaitTermination()
+    dropped = sum(
+        state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]
+    )
+    if dropped:
+        raise RuntimeError(f"{dropped} groups of late rows were dropped: allow more lateness, or more files in a batch")

@@ -71,7 +71,7 @@ SELECT event_id, last_value(v IGNORE NULLS) OVER (
   ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM gaps""")
 def forward_fill_global(spark, sf_dir):
     events = gaps(spark, sf_dir).select("event_id", "v")
-    return clean.forward_fill(events, ["v"], ["event_id"], width=1_000_000)
+    return clean.forward_fill(events, ["v"], ["event_id"], width=500)
 
 
 @query(f"WITH {GAPS} SELECT event_id, round(coalesce(v, avg(v) OVER ()), 4) AS v FROM gaps")
@@ -123,12 +123,16 @@ def row_index(spark, sf_dir):
     return reshape.row_index(orders, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 1, 2""")
+@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n,
+  row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) - 1 AS position FROM orders GROUP BY 1, 2""")
 def sort_rows(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return reshape.sort_rows(counts, ["o_orderpriority", "o_orderstatus"])
+    ordered = reshape.sort_rows(counts, ["o_orderpriority", "o_orderstatus"])
+    # Ids ascend with the sorted partitions and inside them, so numbering by id gives each row its place in the sort.
+    placed = ordered.withColumn("__id", F.monotonically_increasing_id())
+    return reshape.row_index(placed, ["__id"], "position").drop("__id")
 
 
 @query(r"""WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)

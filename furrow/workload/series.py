@@ -104,11 +104,13 @@ def market_growth(spark, sf_dir):
   FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE bucket + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def market_stream(spark, sf_dir):
-    # A pattern, because a stream takes a plain path for a folder and the table may be one file.
-    prices = market.read_stream(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
-    windows = market.price_windows(prices, ["event_type"], "ts", "value")
+    # All events in several files, each with rows of every day, as feeds of several markets would write them.
     target = scratch_path(spark, "market-stream")
-    market.write_windows(windows, f"{target}/table", f"{target}/checkpoint").awaitTermination()
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    events.repartition(4, "event_id").write.parquet(f"{target}/events")
+    prices = market.read_stream(spark, f"{target}/events", events.schema)
+    windows = market.price_windows(prices, ["event_type"], "ts", "value")
+    market.finish(market.write_windows(windows, f"{target}/table", f"{target}/checkpoint"))
     closed = spark.read.schema(windows.schema).parquet(f"{target}/table")
     return closed.withColumns({"avg_price": F.round("avg_price", 8), "bucket": F.col("bucket").cast("timestamp_ntz")})
 
@@ -200,3 +202,78 @@ def crop_index_summary(spark, sf_dir):
 def crop_index_report(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     return crop_index.report(tables["wide"], tables["long"])
+
+
+@query("""WITH g AS (SELECT l_returnflag, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY 1),
+line AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / sum((l_quantity - mx) ** 2) AS b FROM lineitem JOIN g USING (l_returnflag))
+SELECT DISTINCT l_returnflag, l_quantity, round(my + b * (l_quantity - mx), 1) AS prediction FROM lineitem JOIN g USING (l_returnflag), line""")
+def yield_model_categories(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    model = models.yield_regression(rows, "l_extendedprice", ["l_returnflag"], ["l_quantity"])
+    fitted = models.predict(model, rows.select("l_returnflag", "l_quantity").distinct())
+    return fitted.select("l_returnflag", "l_quantity", F.round("prediction", 1).alias("prediction"))
+
+
+@query("""SELECT DISTINCT l_linenumber, l_returnflag, CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+FROM lineitem""")
+def crop_classifier(spark, sf_dir):
+    # A label that one of the features decides, so that every sound classifier gives it back.
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag")
+    labelled = rows.withColumn("label", F.when(F.col("l_linenumber") > 3, "late").otherwise("early"))
+    model = models.crop_classifier(labelled, "label", ["l_returnflag"], ["l_linenumber"])
+    return models.predict(model, rows.distinct().withColumn("label", F.lit("early"))).drop("label")
+
+
+_FIGURES = ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth")
+_METRICS = dict(zip("abcdefgh", ("count", "mean", "std", "min", "25%", "50%", "75%", "max")))
+_DESCRIBED = ", ".join(
+    f"""d{i} AS (SELECT count("{c}")::DOUBLE AS a, avg("{c}") AS b, stddev_samp("{c}") AS c, min("{c}") AS d,
+        quantile_cont("{c}", 0.25) AS e, quantile_cont("{c}", 0.5) AS f, quantile_cont("{c}", 0.75) AS g, max("{c}") AS h FROM long)"""
+    for i, c in enumerate(_FIGURES)
+)
+_RECORDS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{m}' AS metric, round({k}, 4) AS value FROM d{i}"""
+    for i, c in enumerate(_FIGURES) for k, m in _METRICS.items()
+)
+
+
+@query(f"WITH {_LONG}, {_DESCRIBED} {_RECORDS}")
+def crop_index_describe(spark, sf_dir):
+    found = crop_index.describe(_tables(spark, sf_dir)["long"])
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {_LONG}, q AS (SELECT quantile_cont("YoY_Pct_Change", 0.25) AS a, quantile_cont("YoY_Pct_Change", 0.75) AS b FROM long)
+SELECT "Crop", "Year", round("YoY_Pct_Change", 6) AS "YoY_Pct_Change" FROM long, q
+WHERE "YoY_Pct_Change" < a - 1.5 * (b - a) OR "YoY_Pct_Change" > b + 1.5 * (b - a)""")
+def crop_index_outliers(spark, sf_dir):
+    found = crop_index.outliers(_tables(spark, sf_dir)["long"])
+    return found.select("Crop", "Year", F.round("YoY_Pct_Change", 6).alias("YoY_Pct_Change"))
+
+
+_TIED = f"""raw AS (
+  SELECT l_suppkey, 'Supplier-' || (l_suppkey % 20) AS crop, {", ".join(
+      f"sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity END)::DOUBLE AS y{y}" for y in _YEARS)}
+  FROM lineitem GROUP BY 1),
+wide AS (SELECT l_suppkey, crop AS "Crop", {", ".join(f'coalesce(y{y}, avg(y{y}) OVER ()) AS "Year_{y}"' for y in _YEARS)} FROM raw),
+melted AS ({" UNION ALL ".join(
+    f'''SELECT l_suppkey, "Crop", '{y}' AS "Year", "Year_{y}" AS "Index_Value" FROM wide''' for y in _YEARS)})"""
+
+
+@query(f"""WITH {_TIED} SELECT "Crop", "Year", round("Index_Value", 8) AS "Index_Value",
+       round(("Index_Value" / nullif(lag("Index_Value") OVER w, 0) - 1) * 100, 8) AS "YoY_Pct_Change",
+       round("Index_Value" / nullif(first_value("Index_Value") OVER w, 0) * 100, 8) AS "Cumulative_Growth"
+FROM melted WINDOW w AS (PARTITION BY "Crop" ORDER BY "Year", l_suppkey)""")
+def crop_index_ties(spark, sf_dir):
+    """Names that differ in padding alone become one name with several rows a year."""
+    shared_dir(spark)
+    shipped = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    sums = shipped.groupBy("l_suppkey").pivot("year", list(_YEARS)).sum("l_quantity")
+    padding = F.repeat(F.lit(" "), (F.col("l_suppkey") % 3).cast("int"))
+    raw = sums.select(
+        F.concat(F.lit("Supplier-"), F.col("l_suppkey") % 20, padding).alias("Crop"),
+        *[F.col(str(y)).cast("long").cast("string").alias(str(y)) for y in _YEARS],
+        "l_suppkey",
+    ).checkpoint()
+    long = crop_index.crop_index(raw, ["l_suppkey"])["long"]
+    return long.withColumns({c: F.round(c, 8) for c in ("Index_Value", "YoY_Pct_Change", "Cumulative_Growth")})

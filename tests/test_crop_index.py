@@ -90,3 +90,34 @@ def test_run_writes_three_tables(spark, tmp_path):
     assert [back[n].count() for n in ("wide", "long", "summary")] == [12, 96, 12]
     text = files.read_csv(spark, f"{tmp_path}/out/summary_csv")
     assert sorted(r.Crop for r in text.collect()) == [r[0] for r in SUMMARY_ROWS]
+
+
+def test_repeated_names_follow_the_file(spark):
+    """Rows whose names become one by trimming or filling: the first of equal rows comes first, then file order."""
+    raw = [(3, "Rice ", "30"), (1, "Rice", "10"), (2, "Oat", "5"), (4, None, "40"), (5, "Rice", "10"), (6, "Oat ", "8")]
+    want = [("Oat", 5.0, None), ("Oat", 8.0, 60.0), ("Rice", 10.0, None), ("Rice", 30.0, 200.0), ("Rice", 40.0, 33.333)]
+    for n in (1, 2, 3, 7):
+        df = spark.createDataFrame(raw, "n int, Crop string, `2001` string").repartition(n)
+        long = crop_index.crop_index(df, ["n"])["long"]
+        got = sorted((r.Crop, r.Index_Value, r.YoY_Pct_Change and round(r.YoY_Pct_Change, 3)) for r in long.collect())
+        assert got == want
+
+
+def test_without_an_order_the_values_decide(spark):
+    raw = [("Rice ", "30", "1"), ("Rice", "10", "2"), ("Rice  ", "20", "3")]
+    results = set()
+    for n in (1, 2, 3, 5):
+        df = spark.createDataFrame(raw, "Crop string, `2001` string, `2002` string").repartition(n)
+        results.add(str(sorted(map(str, crop_index.crop_index(df)["long"].collect()))))
+    assert len(results) == 1
+
+
+def test_run_writes_statistics_too(spark, tmp_path):
+    path = write_quoted(tmp_path / "index.csv", INDEX_HEADER, INDEX_ROWS)
+    crop_index.run(datasets.read_index_wide(spark, path), f"{tmp_path}/out", files.FILE_ORDER)
+    back = files.read_tables(spark, f"{tmp_path}/out", ["long", "describe", "crop_stats", "outliers", "report"])
+    assert [back[n].count() for n in ("describe", "crop_stats", "report")] == [24, 12, 1]
+    assert back["report"].first().asDict()["n_records"] == 96
+    rows = [(r.Crop, r.Year) for r in back["long"].collect()]
+    assert rows == sorted(rows)
+    assert back["outliers"].count() == crop_index.outliers(back["long"]).count()

@@ -33,16 +33,16 @@ def test_soil_score(spark):
     scored = farming.soil_rank(farming.soil_score(soil))
     got = {r.district: r for r in scored.collect()}
     assert got["Half"].soil_score == 30.0 and got["Half"].n_known == 3 and got["Half"].deficient == ["zn", "cu"]
-    assert got["Senapati"].soil_score is None and got["Senapati"].percentile is None
-    assert got["Kurnool"].deficient == ["fe"]
-    assert [got[d].percentile for d in ("Half", "Anantapur", "Kurnool")] == [0.0, 0.5, 1.0]
+    assert got["Unknown"].soil_score is None and got["Unknown"].percentile is None
+    assert got["Lower"].deficient == ["fe"]
+    assert [got[d].percentile for d in ("Half", "Upper", "Lower")] == [0.0, 0.5, 1.0]
 
 
 def test_ranking_and_efficiency(costs):
     ranked = {(r.crop, r.state): r.region_rank for r in farming.regional_ranking(costs, "crop", "yield_quintal").collect()}
     assert ranked["PADDY", "Punjab"] == 1 and ranked["PADDY", "Orissa"] == 2
     ratios = {(r.crop, r.state): r for r in farming.yield_efficiency(costs).collect()}
-    assert ratios["MAIZE", "Karnataka"].efficiency_a2fl == pytest.approx(31.10 / 13792.85 * 1000)
+    assert ratios["MAIZE", "Karnataka"].efficiency_a2fl == pytest.approx(31.25 / 14000 * 1000)
     assert ratios["MAIZE", "Karnataka"].efficiency_rank == 1
     sides = farming.best_and_worst(costs, "crop", "state", "yield_quintal", 1).where("crop = 'PADDY'")
     assert sorted((r.side, r.state) for r in sides.collect()) == [("high", "Punjab"), ("low", "Orissa")]
@@ -50,8 +50,8 @@ def test_ranking_and_efficiency(costs):
 
 def test_varieties_by_state(varieties):
     got = {(r.state, r.crop): (r.n_varieties, r.min_days, r.max_days) for r in farming.variety_by_state(varieties).collect()}
-    assert got["Orissa", "Paddy"] == (2, 145, 150)
-    assert got["Kerala", "Horse Gram"] == (1, 110, 110)
+    assert got["Orissa", "Paddy"] == (2, 130, 140)
+    assert got["Kerala", "Horse Gram"] == (1, 105, 105)
     assert ("Goa", "Paddy") not in got
 
 
@@ -106,11 +106,11 @@ def test_checks(spark, costs):
 CROPS = "name string, profit string, season string, water string, risk string"
 
 
-def test_recommend_shipped_crops(spark):
+def test_recommend_rows_in_the_form_of_cards(spark):
     crops = spark.createDataFrame([
-        ("Basmati Rice", "₹42,000 - ₹48,000", "Kharif", "High", "Medium"),
-        ("Organic Turmeric", "₹65,000 - ₹75,000", "Both", "Medium", "Low"),
-        ("Soybean", "₹32,000 - ₹38,000", "Kharif", "Medium", "Low"),
+        ("Long Rice", "₹41,000 - ₹49,000", "Kharif", "High", "Medium"),
+        ("Root Spice", "₹60,000 - ₹70,000", "Both", "Medium", "Low"),
+        ("Oil Bean", "₹30,000 - ₹36,000", "Kharif", "Medium", "Low"),
     ], CROPS)
     requests = spark.createDataFrame(
         [(1, "kharif", "high", "low"), (2, "rabi", "medium", "low"), (3, "kharif", "low", "high")],
@@ -118,7 +118,7 @@ def test_recommend_shipped_crops(spark):
     )
     got = sorted((r.id, r.place or 0, r.name) for r in recommend.recommend(requests, crops, 3).collect())
     assert got == [
-        (1, 1, "Organic Turmeric"), (1, 2, "Basmati Rice"), (1, 3, "Soybean"), (2, 1, "Organic Turmeric"), (3, 0, None)
+        (1, 1, "Root Spice"), (1, 2, "Long Rice"), (1, 3, "Oil Bean"), (2, 1, "Root Spice"), (3, 0, None)
     ]
 
 
@@ -155,3 +155,36 @@ def test_models(spark):
     assert all(r.prediction == pytest.approx(r.y, abs=1e-3) for r in models.predict(model, df).collect())
     forest = models.crop_classifier(df, "size", numbers=["cost"])
     assert set(models.predict(forest, df).columns) == {*df.columns, "prediction"}
+
+
+def test_performance_keeps_the_rows_of_the_left(spark):
+    left = spark.createDataFrame([(1, "Rice"), (2, " PADDY"), (3, "oat"), (4, None)], "yield int, crop string")
+    right = spark.createDataFrame([("rice", 2.0, "x"), ("Paddy ", 4.0, "y"), ("RICE", None, "z")], "crop string, yield double, note string")
+    got = sorted(tuple(r) for r in farming.crop_performance(left, right).select("yield", "other_yield").collect())
+    assert got == [(1, 3.0), (2, 3.0), (3, None), (4, None)]
+    top = farming.crop_performance(left, right, figures={"most": F.max("yield"), "rows": F.count(F.lit(1))})
+    assert sorted(str(tuple(r)) for r in top.select("yield", "most", "rows").collect()) == [
+        "(1, 4.0, 3)", "(2, 4.0, 3)", "(3, None, None)", "(4, None, None)"
+    ]
+
+
+def test_recommend_keeps_seasons_of_its_own(spark):
+    crops = spark.createDataFrame([("Winter Oat", "₹10,000 - ₹20,000", "Winter", "Low", "Low")], CROPS)
+    asked = spark.createDataFrame(
+        [(1, "winter", "high", "low"), (2, "rabi", "high", "low")],
+        "id int, season string, waterAvailability string, investmentCapacity string",
+    )
+    assert sorted((r.id, r.name or "") for r in recommend.recommend(asked, crops, 3).collect()) == [(1, "Winter Oat"), (2, "")]
+
+
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(models, "MOST_CATEGORIES", 20)
+    rows = spark.range(200).select(F.col("id").cast("double").alias("y"), F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError, match="categories"):
+        models.yield_regression(rows, "y", categories=["c"])
+
+
+def test_split_does_not_depend_on_partitions(spark):
+    rows = spark.range(1000)
+    one, two = (models.split_rows(rows.repartition(n), ["id"]) for n in (1, 7))
+    assert [sorted(r.id for r in x.collect()) for x in one] == [sorted(r.id for r in x.collect()) for x in two]

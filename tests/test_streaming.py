@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from furrow.operators import timeseries
 from furrow.streaming import market
 
@@ -43,3 +45,28 @@ def test_resumes_from_checkpoint(spark, tmp_path):
     assert work() == [1]
     add(2)
     assert work() == [1, 2]
+
+
+def _feeds(spark, path, n):
+    """Files whose rows are out of time order: the first file holds the latest rows."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(hours=6 * i), "a", float(i)) for i in range(4 * n)]
+    for k in range(n):
+        part = spark.createDataFrame(rows[4 * (n - 1 - k) : 4 * (n - k)], "ts timestamp, crop string, price double")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return part.schema
+
+
+def test_files_out_of_time_order_lose_nothing(spark, tmp_path):
+    schema = _feeds(spark, f"{tmp_path}/in", 4)
+    windows = market.price_windows(market.read_stream(spark, f"{tmp_path}/in", schema), ["crop"], "ts", "price")
+    market.finish(market.write_windows(windows, f"{tmp_path}/out", f"{tmp_path}/state"))
+    assert spark.read.parquet(f"{tmp_path}/out").selectExpr("sum(n_prices)").first()[0] == 12  # the last day is open
+
+
+def test_rows_behind_the_watermark_are_told(spark, tmp_path):
+    schema = _feeds(spark, f"{tmp_path}/in", 4)
+    prices = market.read_stream(spark, f"{tmp_path}/in", schema, files_per_batch=1)
+    windows = market.price_windows(prices, ["crop"], "ts", "price")
+    with pytest.raises(RuntimeError, match="late rows"):
+        market.finish(market.write_windows(windows, f"{tmp_path}/out", f"{tmp_path}/state"))
