@@ -245,7 +245,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per row doc_id, class_id (the least doc_id of the class, null if none has one) and class_size."""
     found = stored(docs.sparkSession, classes(docs).select("doc_id", "root"), "near-classes")
-    sizes = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Stored, so that the join reads both sides from a shuffle and can split a large class.
+    sizes = stored(docs.sparkSession, found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "near-sizes")
     return found.join(sizes, "root").select("doc_id", "class_id", "class_size")
 
 

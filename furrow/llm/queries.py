@@ -15,9 +15,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(function=None, *, sql: str | None = None):
+    """Register a function ``(spark, sf_dir) -> DataFrame`` under its own name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add(function) if function else add
 
 
 @query
@@ -37,7 +44,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+# Windows of 35 words as text; a word goes if a window over it occurs twice.
+_PASSAGES = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, s, array_to_string(w[s : s + 34], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+twice AS (SELECT t FROM windows GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT r, list_distinct(flatten(list(range(s, s + 35)))) AS g FROM windows JOIN twice USING (t) GROUP BY 1),
+kept AS (SELECT doc_id, len(w) AS n, CASE WHEN g IS NULL THEN w ELSE
+    list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END AS k FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
+
+
+@query(sql=_PASSAGES)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,7 +66,15 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
-@query
+# Base32 by fives of bits of the hexadecimal digest.
+_ARCHIVED = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT page_id, first, strlen(h) AS n, sha1(h) || '0' AS x FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(x, i * 5 // 4 + 1, 2) AS INTEGER) >> CAST(3 - (i * 5) % 4 AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+
+@query(sql=_ARCHIVED)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
