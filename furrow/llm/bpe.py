@@ -13,7 +13,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -184,11 +186,18 @@ def decode(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = vocabulary(_local(path)).names
+        table = np.array([names.get(i) for i in range(max(names) + 1)], dtype=object)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = part.column("ids").to_pylist()
-                out = [" ".join([names[i] for i in row or () if i in names]) for row in rows]
+                ids_, sizes = part.column("ids"), pc.fill_null(pc.list_value_length(part.column("ids")), 0)
+                flat = pc.fill_null(ids_.flatten(), -1).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), sizes.to_numpy(zero_copy_only=False))
+                known = (flat >= 0) & (flat < len(table))
+                known[known] = table[flat[known]] != None  # noqa: E711
+                words = table[flat[known]].tolist()
+                ends = np.cumsum(np.bincount(owner[known], minlength=part.num_rows)).tolist()
+                out = [" ".join(words[a:b]) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = df.schema[doc_id].dataType.simpleString()
