@@ -27,9 +27,9 @@ FOLDS, HELD_OUT = 7, 2
 END = "\n"
 #: Most words whose counts every task holds, bits of the filter, hash functions, and share of bits it may have set.
 VOCABULARY, BITS, PROBES, LOAD = 200_000, 1 << 28, 3, 0.25
-#: Ranges of hashes; each has its own part of the filter.
-SEGMENTS = 256
-SEGMENT_BITS = BITS // SEGMENTS
+#: Pairs are counted by range of their hash, and each range has its own part of the filter. There are as many ranges, a
+#: power of two between these, as leave each about so many tokens of the corpus.
+LEAST_RANGES, MOST_RANGES, RANGE_TOKENS = 1 << 8, 1 << 20, 2_000_000
 #: Pairs seen less often are pruned; weight of the pair's share of its first word, against the word probability.
 LEAST, SHARE = 2, 0.15
 #: Pairs a task gathers before it sends them on.
@@ -134,15 +134,25 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, LEAST * 2.0 ** (level - 1) * 1.5 - 0.5, 0.0)
 
 
-def pair_levels(docs: DataFrame, table) -> DataFrame:
-    """(segment, hashes, levels, histogram): packed arrays of all pairs counted at least LEAST times."""
+def ranges(tokens_: int) -> int:
+    """Number of ranges for a corpus of so many tokens."""
+    return min(max(LEAST_RANGES, 1 << max(0, -(-tokens_ // RANGE_TOKENS) - 1).bit_length()), MOST_RANGES)
+
+
+def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The range, out of ``n``, from the upper bits of a hash."""
+    return (hashes >> np.uint64(65 - n.bit_length())).astype(np.int64)
+
+
+def pair_levels(docs: DataFrame, table, n_ranges: int) -> DataFrame:
+    """(segment, hashes, levels, histogram): packed arrays of all pairs counted at least LEAST times, by range."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def packed() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values >> np.uint64(56), np.arange(SEGMENTS + 1, dtype=np.uint64))
+            cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
             rows = [(s, values[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
@@ -177,10 +187,10 @@ def pair_levels(docs: DataFrame, table) -> DataFrame:
     return blocks.groupBy("segment").applyInArrow(add, "segment int, hashes binary, levels binary, histogram array<bigint>")
 
 
-def bits_of(hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
-    """Bit of a hash at a level, inside its segment."""
+def bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+    """Bit of a hash at a level, inside the ``size`` bits of its range."""
     salt = np.uint64((level * 64 + probe + 1) * int(BASES[1]) % 2**64)
-    return (mix(hashes + salt) % np.uint64(SEGMENT_BITS)).astype(np.int64)
+    return (mix(hashes + salt) % np.uint64(size)).astype(np.int64)
 
 
 def fill(part: np.ndarray, hashes: np.ndarray, level: np.ndarray) -> None:
@@ -188,13 +198,14 @@ def fill(part: np.ndarray, hashes: np.ndarray, level: np.ndarray) -> None:
     for step in range(1, int(level.max(initial=0)) + 1):
         has = level >= step
         for probe in range(PROBES):
-            bit = bits_of(hashes[has], step, probe)
+            bit = bits_of(hashes[has], step, probe, 8 * len(part))
             np.bitwise_or.at(part, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
 
 
 @dataclass
 class Filter:
     bits: np.ndarray
+    ranges: int
     first: int  # levels of pairs below this one were pruned
 
     def level(self, hashes: np.ndarray, top: int = MOST_LEVELS) -> np.ndarray:
@@ -202,10 +213,11 @@ class Filter:
         out = np.zeros(len(hashes), np.int64)
         at = np.flatnonzero(hashes)
         h = hashes[at]
-        start = (h >> np.uint64(56)).astype(np.int64) * SEGMENT_BITS
+        size = 8 * len(self.bits) // self.ranges
+        start = range_of(h, self.ranges) * size
         for step in range(1, top):
             for probe in range(PROBES):
-                bit = start + bits_of(h, step, probe)
+                bit = start + bits_of(h, step, probe, size)
                 found = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 at, h, start = at[found], h[found], start[found]
             if not len(at):
@@ -214,10 +226,12 @@ class Filter:
         return out
 
 
-def build(pairs: DataFrame) -> Filter:
-    """Each segment's bits are set by the task that holds its pairs; only the bits, BITS / 8 bytes, reach the driver."""
-    rows = [r["histogram"] for r in pairs.select("histogram").collect()]
-    histogram = np.sum(rows, axis=0) if rows else np.zeros(MOST_LEVELS)
+def build(pairs: DataFrame, n_ranges: int) -> Filter:
+    """Each range's bits are set by the task that holds its pairs; only the bits, BITS / 8 bytes, reach the driver."""
+    each = pairs.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    histogram = np.zeros(MOST_LEVELS)
+    histogram[[r["level"] for r in each]] = [r["n"] for r in each]
+    size = BITS // 8 // n_ranges
     room = -np.log(1 - LOAD) * BITS / PROBES
     keys = histogram * np.arange(MOST_LEVELS)
     first = next((t for t in range(1, MOST_LEVELS) if keys[t:].sum() <= room), MOST_LEVELS)
@@ -227,15 +241,14 @@ def build(pairs: DataFrame) -> Filter:
             for r in range(batch.num_rows):
                 level = np.frombuffer(batch.column("levels")[r].as_py(), np.uint8).astype(np.int64)
                 hashes = np.frombuffer(batch.column("hashes")[r].as_py(), np.uint64)
-                part = np.zeros(SEGMENT_BITS // 8, np.uint8)
+                part = np.zeros(size, np.uint8)
                 fill(part, hashes[level >= first], level[level >= first])
                 yield pa.RecordBatch.from_arrays([batch.column("segment").slice(r, 1), pa.array([part.tobytes()], pa.binary())], ["segment", "bits"])
 
     bits = np.zeros(BITS // 8, np.uint8)
-    size = SEGMENT_BITS // 8
     for row in pairs.select("segment", "hashes", "levels").mapInArrow(run, "segment int, bits binary").toLocalIterator():
         bits[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits, first)
+    return Filter(bits, n_ranges, first)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -251,7 +264,8 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(spark, word_counts(training), "lm-words")
     words = frequent(counts)
     table = spark.sparkContext.broadcast(words)
-    model = spark.sparkContext.broadcast(build(stored(spark, pair_levels(training, table), "lm-pairs")))
+    n = ranges(words.total)
+    model = spark.sparkContext.broadcast(build(stored(spark, pair_levels(training, table, n), "lm-pairs"), n))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, filter_ = table.value, model.value

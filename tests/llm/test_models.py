@@ -144,16 +144,21 @@ def test_model_beats_single_words_where_pairs_tell(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
 
 
+def test_number_of_ranges():
+    assert [language_model.ranges(n) for n in (0, 10**6, 512 * 10**6, 512 * 10**6 + 1, 10**15)] == [256, 256, 256, 512, 1 << 20]
+
+
 def test_filter_levels():
     import numpy as np
 
     hashes = language_model.mix(np.arange(1, 2001, dtype=np.uint64)) | np.uint64(1)
     level = np.arange(2000) % 5 + 1
     bits = np.zeros(language_model.BITS // 8, np.uint8)
-    size = language_model.SEGMENT_BITS // 8
-    for s in range(language_model.SEGMENTS):
-        mine = (hashes >> np.uint64(56)) == s
+    n = language_model.ranges(600_000_000)
+    size = len(bits) // n
+    for s in range(n):
+        mine = language_model.range_of(hashes, n) == s
         language_model.fill(bits[s * size : (s + 1) * size], hashes[mine], level[mine])
-    found = language_model.Filter(bits, 1)
+    found = language_model.Filter(bits, n, 1)
     assert (found.level(hashes) >= level).all() and (found.level(hashes) == level).mean() > 0.99
     assert (found.level(language_model.mix(hashes)) > 0).mean() < 0.01
