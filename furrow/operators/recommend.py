@@ -1,7 +1,7 @@
 """Crop recommendation by rules. The rules and the score are our own definition.
 
-Answers depend only on the season, water and investment of a request, so the best crops are
-ranked once per combination of the three (27 in all) and requests look their combination up.
+Answers depend only on the season, water and investment of a request, and on its region and soil where the crops have
+columns for them, so the best crops are ranked once per combination and requests look their combination up.
 Requests and crops are never paired one by one.
 """
 
@@ -14,13 +14,19 @@ from furrow.functions import text as X
 from furrow.functions.values import (
     INVESTMENT_BOUNDS,
     INVESTMENT_LEVELS,
+    REGIONS,
     RISK_WEIGHTS,
     SEASONS,
+    SOIL_TYPES,
     WATER_LEVELS,
 )
 from furrow.operators.ranking import best_per_group
 
 CASE = ["season", "water", "investment"]
+#: Optional columns of crops, the column of requests that each belongs to, and its options.
+PLACES = {"region": ("region", REGIONS), "soil": ("soilType", SOIL_TYPES)}
+#: Stands for a request that does not say.
+ANY = ""
 
 
 def _texts(values) -> Column:
@@ -43,6 +49,12 @@ def _levels_from(level: Column, levels) -> Column:
     return choice
 
 
+def _places(text: Column, options) -> Column:
+    """Options named by a crop, comma-separated; all where it names none. A request that does not say finds every crop."""
+    named = F.filter(F.transform(F.split(F.lower(text), ","), X.strip), lambda x: x != "")
+    return F.concat(F.when(F.size(F.coalesce(named, F.array())) > 0, named).otherwise(_texts(options)), _texts([ANY]))
+
+
 def investment_level(cost: Column) -> Column:
     """The lowest investment level whose upper bound covers a cost."""
     level = F.when(cost.isNull(), F.lit(None).cast("string"))
@@ -71,6 +83,7 @@ def scored_crops(crops: DataFrame, cost: str | None = None) -> DataFrame:
         _seasons(F.col("season")).alias("seasons"),
         _levels_from(F.col("water"), WATER_LEVELS).alias("waters"),
         _levels_from(needed, INVESTMENT_LEVELS).alias("investments"),
+        *[_places(F.col(c), options).alias(f"{c}s") for c, (_, options) in PLACES.items() if c in crops.columns],
     )
 
 
@@ -82,33 +95,34 @@ def best_crops(crops: DataFrame, n: int, cost: str | None = None) -> DataFrame:
     """
     scored = scored_crops(crops, cost).where(F.col("score").isNotNull())
     order = [F.desc("score"), F.asc("name")]
-    needs = ["seasons", "waters", "investments"]
-    cases = (
-        best_per_group(scored, needs, order, n)
-        .withColumn("season", F.explode("seasons"))
-        .withColumn("water", F.explode("waters"))
-        .withColumn("investment", F.explode("investments"))
-        .drop(*needs, "place")
-    )
-    return best_per_group(cases, CASE, order, n)
+    case = [*CASE, *[c for c in PLACES if c in crops.columns]]
+    cases = best_per_group(scored, [f"{c}s" for c in case], order, n).drop("place")
+    for c in case:
+        cases = cases.withColumn(c, F.explode(f"{c}s")).drop(f"{c}s")
+    return best_per_group(cases, case, order, n)
 
 
 def recommend(requests: DataFrame, crops: DataFrame, n: int = 3, cost: str | None = None) -> DataFrame:
-    """The n best crops for each request ``(season, waterAvailability, investmentCapacity, ...)``."""
+    """The n best crops for each request ``(season, waterAvailability, investmentCapacity, region, soilType)``.
+
+    Region and soil count where the crops have columns ``region`` and ``soil``; a request without them finds all crops.
+    """
     answers = best_crops(crops, n, cost)
-    cased = requests.select(
-        "*",
-        F.lower(X.strip(F.col("season"))).alias("__season"),
-        F.lower(X.strip(F.col("waterAvailability"))).alias("__water"),
-        F.lower(X.strip(F.col("investmentCapacity"))).alias("__investment"),
-    )
+    asked = dict(zip(CASE, ("season", "waterAvailability", "investmentCapacity")))
+    asked |= {c: column for c, (column, _) in PLACES.items() if c in crops.columns}
+    keys = {
+        c: F.lower(X.strip(F.col(column))) if column in requests.columns else F.lit(ANY) for c, column in asked.items()
+    }
+    cased = requests.select("*", *[
+        (F.coalesce(key, F.lit(ANY)) if c in PLACES else key).alias(f"__{c}") for c, key in keys.items()
+    ])
     answers = answers.select(
-        *[F.col(c).alias(f"__a_{c}") for c in CASE],
+        *[F.col(c).alias(f"__a_{c}") for c in asked],
         "name", "profit_low", "profit_high", "score", "place",
     )
     match = F.lit(True)
-    for c in CASE:
+    for c in asked:
         match = match & (F.col(f"__{c}") == F.col(f"__a_{c}"))
-    # n crops for each combination of 3 levels of water and of investment and the seasons that crops name.
+    # n crops for each combination of levels, seasons, regions and soils that crops name.
     joined = cased.join(answers, match, "left")
     return joined.select(*requests.columns, "name", "profit_low", "profit_high", "score", "place")

@@ -297,22 +297,26 @@ _WATERS = ", ".join(f"('{w}', {i})" for i, w in enumerate(WATER_LEVELS))
            ELSE 'kharif' END AS season, p_size % 3 AS water,
          CASE WHEN p_size * 1500 <= 20000 THEN 0 WHEN p_size * 1500 <= 50000 THEN 1 ELSE 2 END AS investment,
          floor(p_retailprice) * 50 AS low, floor(p_retailprice) * 50 + p_size * 100 AS high,
-         CASE p_partkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS weight
+         CASE p_partkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS weight,
+         CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'north' WHEN 2 THEN 'south' ELSE 'east' END AS region
   FROM part),
 cases AS (
   SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in SEASONS)}) s(season), (VALUES {_WATERS}) w(water, water_no),
-                (VALUES {_WATERS}) i(investment, investment_no)),
+                (VALUES {_WATERS}) i(investment, investment_no),
+                (VALUES ('north'), ('south'), ('west')) r(region)),
 ranked AS (
-  SELECT k.season, k.water, k.investment, c.name, c.low, c.high, (c.low + c.high) / 2 * c.weight AS score,
-         row_number() OVER (PARTITION BY k.season, k.water, k.investment ORDER BY (c.low + c.high) / 2 * c.weight DESC, c.name) AS place
-  FROM cases k JOIN crops c ON (c.season = 'both' OR c.season = k.season) AND c.water <= k.water_no AND c.investment <= k.investment_no),
+  SELECT k.season, k.water, k.investment, k.region, c.name, c.low, c.high, (c.low + c.high) / 2 * c.weight AS score,
+         row_number() OVER (PARTITION BY k.season, k.water, k.investment, k.region ORDER BY (c.low + c.high) / 2 * c.weight DESC, c.name) AS place
+  FROM cases k JOIN crops c ON (c.season = 'both' OR c.season = k.season) AND c.water <= k.water_no AND c.investment <= k.investment_no
+    AND (c.region IS NULL OR c.region = k.region)),
 requests AS (
   SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'kharif' WHEN 1 THEN 'rabi' ELSE 'zaid' END AS season,
          CASE c_nationkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS water,
-         CASE WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'high' END AS investment
+         CASE WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'high' END AS investment,
+         CASE c_nationkey % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END AS region
   FROM customer)
 SELECT c_custkey, name, low AS profit_low, high AS profit_high, round(score, 4) AS score, CAST(place AS INTEGER) AS place
-FROM requests JOIN ranked USING (season, water, investment) WHERE place <= 3""")
+FROM requests JOIN ranked USING (season, water, investment, region) WHERE place <= 3""")
 def recommend(spark, sf_dir):
     low = F.floor("p_retailprice") * 50
     profit = F.concat(
@@ -328,6 +332,7 @@ def recommend(spark, sf_dir):
         pick(("Low", "Medium", "High"), F.col("p_size")).alias("water"),
         pick(("Low", "Medium", "High"), F.col("p_partkey")).alias("risk"),
         (F.col("p_size") * 1500).alias("cost"),
+        F.element_at(F.array(F.lit(None).cast("string"), F.lit("North"), F.lit("South"), F.lit("East")), (F.col("p_size") % 4 + 1).cast("int")).alias("region"),
     )
     balance = F.col("c_acctbal")
     requests = table(spark, sf_dir, "customer").select(
@@ -335,6 +340,7 @@ def recommend(spark, sf_dir):
         pick(SEASONS, F.col("c_custkey")).alias("season"),
         pick(WATER_LEVELS, F.col("c_nationkey")).alias("waterAvailability"),
         F.when(balance < 1000, "low").when(balance < 5000, "medium").otherwise("high").alias("investmentCapacity"),
+        pick(("north", "south", "west"), F.col("c_nationkey")).alias("region"),
     )
     answers = R.recommend(requests, crops, 3, "cost")
     return answers.select("c_custkey", "name", "profit_low", "profit_high", F.round("score", 4).alias("score"), "place")

@@ -193,3 +193,12 @@ def test_money_and_days(spark):
     for text, expected in days.items():
         got = one(spark, X.duration_days(F.lit(text)))
         assert (tuple(got) if got else None) == expected
+
+
+def test_spread_tells_of_two_rows_for_one_cell(spark):
+    rows = [("Rice", "area", 5.0), ("Rice", "yield", None), ("Oat", "area", 2.0)]
+    table = spark.createDataFrame(rows, "crop string, measure string, v double")
+    got = reshape.spread(table, ["crop"], "measure", "v", ["area", "yield"])
+    assert sorted(map(tuple, got.collect())) == [("Oat", 2.0, None), ("Rice", 5.0, None)]
+    with pytest.raises(Exception, match="several rows for one cell of area"):
+        reshape.spread(table.union(table.limit(1)), ["crop"], "measure", "v", ["area", "yield"]).collect()

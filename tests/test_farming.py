@@ -188,3 +188,18 @@ def test_split_does_not_depend_on_partitions(spark):
     rows = spark.range(1000)
     one, two = (models.split_rows(rows.repartition(n), ["id"]) for n in (1, 7))
     assert [sorted(r.id for r in x.collect()) for x in one] == [sorted(r.id for r in x.collect()) for x in two]
+
+
+def test_recommend_by_region_and_soil(spark):
+    crops = [("A", "₹90,000 - ₹90,000", "Both", "Low", "Low", "North, East", "clay"), ("B", "₹50,000 - ₹50,000", "Both", "Low", "Low", None, " "),
+             ("C", "₹70,000 - ₹70,000", "Both", "Low", "Low", "south", None)]
+    asked = [(1, "north", "clay"), (2, "South ", "red"), (3, "north", "red"), (4, None, None), (5, "west", None)]
+    result = recommend.recommend(
+        spark.createDataFrame([(i, "kharif", "low", "low", *x) for i, *x in asked],
+                              "id int, season string, waterAvailability string, investmentCapacity string, region string, soilType string"),
+        spark.createDataFrame(crops, CROPS + ", region string, soil string"), 2,
+    )
+    got = {}
+    for r in sorted(result.collect(), key=lambda r: (r.id, r.place)):
+        got.setdefault(r.id, []).append(r.name)
+    assert got == {1: ["A", "B"], 2: ["C", "B"], 3: ["B"], 4: ["A", "C"], 5: ["B"]}

@@ -103,3 +103,13 @@ def test_row_index(rows, rows_per_task):
     numbered = reshape.row_index(rows, ["t", "id"], rows_per_task=rows_per_task).collect()
     in_order = sorted(numbered, key=lambda r: (r.t, r.id))
     assert [r["index"] for r in in_order] == list(range(3000))
+
+
+def test_sparse_order_with_width_is_cut_by_rows(spark, monkeypatch):
+    """As many stretches as rows: ranges of the rows serve as parts, and the result is the same."""
+    rows = spark.range(300).select((F.col("id") * 10**9).alias("at"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    monkeypatch.setattr(ordered, "MAX_PARTS", 50)
+    got = ordered.along(rows, [], ["at"], {"known": ordered.last_known("v")}, width=100, rows_per_task=40)
+    assert all(r.known == r.at // 10**9 // 7 * 7 for r in got.collect())
+    plan = ordered.along(rows, [], ["at"], {"known": ordered.last_known("v")}, width=100, rows_per_task=40)
+    assert "div" not in plan._jdf.queryExecution().executedPlan().toString()

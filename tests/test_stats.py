@@ -133,3 +133,15 @@ def test_quantiles_of_sums_that_change_with_every_run(spark):
     for _ in range(5):
         mixed = rows.repartition(5, F.hash(F.current_timestamp(), "v")).groupBy("k").agg(F.sum("v").alias("v"))
         assert stats.quantiles(mixed, "v", (0.25, 0.75), search_from=1).first()[0] == pytest.approx(exact)
+
+
+def test_best_beyond_the_limit_of_the_engine(spark):
+    """Above Spark's own threshold the surplus of a group goes in two steps, with the same rows left."""
+    rows = spark.range(6000).select((F.col("id") % 2).alias("k"), F.hash("id").alias("v"), "id")
+    got = ranking.best_per_group(rows, ["k"], [F.desc("v"), F.asc("id")], 1001)
+    assert got.columns == ["k", "v", "id", "place"]
+    window = Window.partitionBy("k").orderBy(F.desc("v"), F.asc("id"))
+    want = rows.withColumn("place", F.row_number().over(window)).where("place <= 1001")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "__piece" in plan
