@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .text import stored
 
 DATE = "2024-01-01T00:00:00Z"
 LEVEL, CHUNK = 3, 1 << 16
@@ -118,11 +119,13 @@ def write(pages: DataFrame, path: str) -> None:
     value with one byte, and that byte is the last zero of the member, so the files hold nothing but members.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("same", F.sha2("html", 256))
-    first = rows.groupBy("same").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "same").select(
+    rows = rows.withColumn("same", F.unhex(F.sha2("html", 256)))
+    # Stored, so that the join reads both sides from a shuffle and can split a frequent payload.
+    groups = rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
+    first = stored(pages.sparkSession, groups.where("times > 1").select("same", "first"), "warc-first")
+    joined = rows.join(first, "same", "left").select(
         "page_id", "url", F.col("html").cast("binary").alias("html"),
-        F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
+        F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),  # null if there is none
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
