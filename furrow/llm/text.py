@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it lies there on their machine too.
+
+    On a cluster where it does not, ship it as usual, with ``--py-files`` or in the image.
+    """
+    home = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, *paths]))
+
+
 def with_text(df: DataFrame, text: str, *keep) -> DataFrame:
     """Only the columns named in ``keep`` and the text as ``text``, null as empty."""
+    reach(df.sparkSession)
     return df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
@@ -87,6 +101,7 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

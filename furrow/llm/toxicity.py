@@ -2,13 +2,17 @@
 
 The kernel of two words sums, over all strings of three characters, the weights with which each word holds the string
 as a subsequence; every character skipped costs a factor ``DECAY``, and at most three are skipped. Inserted and gapped
-characters therefore leave most of an insult's kernel value in place. The machine sees labels of documents; a document
-is as toxic as its most toxic word, and the words that tell toxic documents apart are its landmarks and positives.
+characters therefore leave most of an insult's kernel value in place. Only documents have labels; the words that tell
+toxic ones apart are the positives of the machine, and with the clean words most like them its landmarks. A document's
+score comes from its two most toxic words, as an insult's stem can occur once by chance.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import string
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -30,15 +34,17 @@ CLASSES = 128
 CODES = CLASSES**3
 #: Words of more characters are cut into pieces of this length that overlap by half.
 PIECE = 24
-#: Landmarks, and the training words of the machine.
+#: Landmarks of either kind, and the training words of the machine.
 LANDMARKS, POSITIVES, NEGATIVES = 128, 600, 6000
+#: Words whose features are made together.
+TOGETHER = 20_000
 #: Rounds in which the clean words the machine finds most toxic join the negatives.
 HARD_ROUNDS, HARD = 2, 2000
 #: Words a task remembers before it starts anew.
 REMEMBERED = 400_000
 
 SPELLED = re.compile(r"(?<!\S)(?:\w[ .*_-]){2,}\w(?!\w)")
-EDGES = ".,;:!?\"'()[]{}<>|/\\«»“”„"
+EDGES = string.punctuation + "«»“”„…–—¿¡"
 
 
 def words_of(text: str) -> list[str]:
@@ -103,23 +109,27 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weights`` by code, so that a word's margin is one sum; the last two turn a document's margin into a score."""
+    """``weights`` by code, so that a word's margin is one sum; the last two turn a document's margins into a score."""
 
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
     def margins(self, words: list[str]) -> np.ndarray:
-        x = subsequences(words)
-        return np.bincount(x.word, x.weight * self.weights[x.code], len(words)) + self.bias
+        parts = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            x = subsequences(some)
+            parts.append(np.bincount(x.word, x.weight * self.weights[x.code], len(some)) + self.bias)
+        return np.concatenate(parts) if parts else np.empty(0)
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.offset, -500, 500)))
 
 
 def constant(rate: float) -> Model:
-    return Model(np.zeros(CODES, np.float32), 0.0, 0.0, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
+    return Model(np.zeros(CODES, np.float32), 0.0, np.zeros(2), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
 
 
 def machine(z: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -137,19 +147,24 @@ def machine(z: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) ->
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with targets moved off 0 and 1 as for Platt scaling."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic curve, with targets moved off 0 and 1 as for Platt scaling."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.column_stack([x, np.ones_like(x)])
-    w = np.zeros(2)
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2), a.T @ (target - p) - 1e-6 * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(len(w)), a.T @ (target - p) - 1e-3 * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    if len(w) > 2 and (w[:-1] < 0).any():  # more toxic words never make a document less toxic
+        kept = w[:-1] > 0
+        slopes, offset = _logistic(x[:, kept], y)
+        w = np.zeros(len(w))
+        w[:-1][kept], w[-1] = slopes, offset
+    return w[:-1], float(w[-1])
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -174,41 +189,49 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def _document_margins(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns named and ``margin``, that of the most toxic word; a text without words has the bias of the model."""
+    """The columns named, and the margins of the two most toxic words and the score they make."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in slices(batches, "text"):
-            columns = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(judge.margins(texts(batch)))], [*keep, "margin"])
+            margins = judge.margins(texts(batch))
+            figures = [pa.array(x) for x in (margins[:, 0].copy(), margins[:, 1].copy(), shared.value.score(margins))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *figures], [*keep, "margin", "second", "score"])
 
     types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{types}, margin double")
+    return rows.select(*keep, "text").mapInArrow(run, f"{types}, margin double, second double, score double")
 
 
 class Judge:
-    """Margins of documents within one task, remembering those of words."""
+    """Margins of documents within one task, remembering those of words.
+
+    A word that occurs twice is both of the two; a word that is missing has the bias of the model as its margin.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.known: dict[str, float] = {}
 
     def margins(self, docs: list[str]) -> np.ndarray:
-        pieces = [set(words_of(t)) for t in docs]
+        pieces = [Counter(words_of(t)) for t in docs]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*pieces) - self.known.keys())
         if new:
             self.known.update(zip(new, self.model.margins(new).tolist()))
-        return np.array([max(map(self.known.__getitem__, p), default=self.model.bias) for p in pieces], float)
+        return np.array([self._two(p) for p in pieces], float).reshape(-1, 2)
+
+    def _two(self, words: Counter) -> tuple[float, float]:
+        best = heapq.nlargest(2, words, self.known.__getitem__)
+        values = [self.known[w] for w in best for _ in range(min(2, words[w]))]
+        return (*values, self.model.bias, self.model.bias)[:2]
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model from ``labels.toxic`` of at most ``bound`` training documents, which are read by broadcast join.
 
-    What reaches the driver is bounded: LANDMARKS + POSITIVES + NEGATIVES words, HARD per round, and one margin per
-    training document. Without labels, with one class only or without telling words the score is the rate of toxic labels.
+    What reaches the driver is bounded: POSITIVES + NEGATIVES words, HARD per round, and two margins per training document. Without labels, with one class only or without telling words the score is the rate of toxic labels.
     """
     spark = docs.sparkSession
     rows = stored(spark, training_rows(with_text(docs, "text", "doc_id"), labels, "toxic", "text", bound), "toxic-rows")
@@ -233,21 +256,23 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     some = clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2)
     bad = sorted({r["word"] for r in often.union(some).collect()})
     marks = good[:LANDMARKS]
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    sure = values > 1e-6
-    root = vectors[:, sure] / np.sqrt(values[sure])
-    model = _fit(good, weight, bad, marks, root)
+    model = _fit(good, weight, bad, marks)
     for _ in range(HARD_ROUNDS):
         hard = _document_margins(clean.select(F.col("word").alias("text"), "word"), model, "word")
-        hard = hard.orderBy(F.desc("margin"), "word").limit(HARD)
-        bad = sorted({*bad, *(r["word"] for r in hard.collect())})
-        model = _fit(good, weight, bad, marks, root)
+        hardest = [r["word"] for r in hard.orderBy(F.desc("margin"), "word").limit(HARD).collect()]
+        bad = sorted({*bad, *hardest})
+        marks += [w for w in hardest[:LANDMARKS] if w not in marks]
+        model = _fit(good, weight, bad, marks)
     seen = _document_margins(rows, model, "label").toPandas()
-    model.slope, model.offset = _logistic(seen["margin"].to_numpy(), seen["label"].to_numpy(float))
+    model.slopes, model.offset = _logistic(seen[["margin", "second"]].to_numpy(), seen["label"].to_numpy(float))
     return model
 
 
-def _fit(good: list[str], weight: np.ndarray, bad: list[str], marks: list[str], root: np.ndarray) -> Model:
+def _fit(good: list[str], weight: np.ndarray, bad: list[str], marks: list[str]) -> Model:
+    """The machine on Nyström features: kernel values with the landmarks times the inverse root of theirs with each other."""
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    sure = values > 1e-6
+    root = vectors[:, sure] / np.sqrt(values[sure])
     z = kernel(good + bad, marks) @ root
     z = np.column_stack([z, np.ones(len(z))])
     y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
@@ -255,7 +280,7 @@ def _fit(good: list[str], weight: np.ndarray, bad: list[str], marks: list[str],
     w = machine(z, y, share)
     beta = root @ w[:-1]
     x = subsequences(marks)
-    return Model(np.bincount(x.code, x.weight * beta[x.word], CODES).astype(np.float32), float(w[-1]), 1.0, 0.0)
+    return Model(np.bincount(x.code, x.weight * beta[x.word], CODES).astype(np.float32), float(w[-1]), np.zeros(2), 0.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
@@ -265,11 +290,8 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     ``text`` of the documents are looked at, so other columns may have any name.
     """
     model = train(docs, labels, bound)
-    margins = _document_margins(with_text(docs, "text", "doc_id"), model, "doc_id")
-    value = 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.offset)))
-    return margins.select("doc_id", held_out().alias("held_out"), value.alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    scored = _document_margins(with_text(docs, "text", "doc_id"), model, "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .text import stored
+from .text import reach, stored
 
 DATE = "2024-01-01T00:00:00Z"
 LEVEL, CHUNK = 3, 1 << 16
@@ -118,6 +118,7 @@ def write(pages: DataFrame, path: str) -> None:
     of its payload has none; of rows with one page_id and one payload all are responses if any is. The sink ends each
     value with one byte, and that byte is the last zero of the member, so the files hold nothing but members.
     """
+    reach(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("same", F.unhex(F.sha2("html", 256)))
     # Stored, so that the join reads both sides from a shuffle and can split a frequent payload.
@@ -168,6 +169,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
+    reach(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, ", ".join(f"{c} {sql[t]}" for c, t in columns.items()))
 
