@@ -289,6 +289,34 @@ def consistency_checks(spark, sf_dir):
     return farming.violations(rows, checks, ["l_orderkey", "l_linenumber"])
 
 
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity AS production, l_discount * 100 AS area,
+                    l_quantity / nullif(l_discount * 100, 0) * 100 + l_tax * 6 AS yield FROM lineitem),
+c AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS cost_c2, l_quantity AS yield_quintal,
+             l_extendedprice / l_quantity + l_tax / 7 AS cost_per_quintal FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'yield_is_production_over_area' AS "check", round(yield, 6) AS actual,
+       round(production / nullif(area, 0) * 100, 6) AS expected FROM m WHERE abs(yield - production / nullif(area, 0) * 100) > 0.2
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'cost_per_quintal_at_most_cost_over_yield', round(cost_per_quintal, 6), round(cost_c2 / yield_quintal, 6)
+FROM c WHERE cost_per_quintal - cost_c2 / yield_quintal > 0.005""")
+def named_checks(spark, sf_dir):
+    """Order lines as areas and costs: the tax is by how much a figure is off."""
+    rows = table(spark, sf_dir, "lineitem")
+    area = F.col("l_discount") * 100
+    measures = rows.select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("production"), area.alias("area"),
+        (F.try_divide(F.col("l_quantity"), area) * 100 + F.col("l_tax") * 6).alias("yield"),
+    )
+    costs = rows.select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("cost_c2"), F.col("l_quantity").alias("yield_quintal"),
+        (F.col("l_extendedprice") / F.col("l_quantity") + F.col("l_tax") / 7).alias("cost_per_quintal"),
+    )
+    keys_ = ["l_orderkey", "l_linenumber"]
+    found = farming.violations(measures, farming.measure_checks(), keys_).unionByName(
+        farming.violations(costs, farming.cost_checks(), keys_)
+    )
+    return found.withColumns({c: F.round(c, 6) for c in ("actual", "expected")})
+
+
 _WATERS = ", ".join(f"('{w}', {i})" for i, w in enumerate(WATER_LEVELS))
 
 

@@ -16,6 +16,15 @@ FROM e WHERE event_type = 'error'
 UNION ALL SELECT event_id, false, 0, event_type, props FROM e WHERE event_type <> 'error'
 UNION ALL SELECT event_id, false, 1, 'note', u || u FROM e WHERE event_type <> 'error'""")
 def json_unwrap(spark, sf_dir):
+    return _unwrapped(spark, sf_dir)
+
+
+@query("SELECT count(*) AS n_bad FROM events WHERE event_type = 'error'")
+def json_bad_documents(spark, sf_dir):
+    return documents.bad_documents(_unwrapped(spark, sf_dir))
+
+
+def _unwrapped(spark, sf_dir):
     user = F.col("user_id").cast("string")
     cells = F.array(
         F.struct(F.col("event_type").alias("cell_type"), F.array("props").alias("source")),
@@ -44,15 +53,21 @@ def csv_round_trip(spark, sf_dir):
     return clean.to_numeric(files.read_csv(spark, path, customers.columns), ["c_custkey", "c_acctbal"])
 
 
-@query("""SELECT 'customer' AS name, count(*) AS n_rows FROM customer
-          UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part""")
+@query("""SELECT c_custkey AS id, c_name AS name, c_acctbal AS amount FROM customer
+          UNION ALL SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
+          UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part""")
 def table_bundle(spark, sf_dir):
-    names = ("customer", "orders", "part")
+    """Three tables written as one bundle; the content that comes back."""
+    columns = {
+        "customer": ("c_custkey", "c_name", "c_acctbal"),
+        "orders": ("o_orderkey", "o_orderpriority", "o_totalprice"),
+        "part": ("p_partkey", "p_name", "p_retailprice"),
+    }
     base = scratch_path(spark, "bundle")
-    files.write_tables({name: table(spark, sf_dir, name) for name in names}, base)
-    back = files.read_tables(spark, base, names)
-    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in back.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    files.write_tables({name: table(spark, sf_dir, name) for name in columns}, base)
+    back = files.read_tables(spark, base, list(columns))
+    customers, orders, parts = (back[name].select(*c).toDF("id", "name", "amount") for name, c in columns.items())
+    return customers.unionByName(orders).unionByName(parts)
 
 
 @query("""SELECT CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS type, count(*) AS n_messages,
