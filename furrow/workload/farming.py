@@ -293,10 +293,10 @@ def consistency_checks(spark, sf_dir):
                     l_quantity / nullif(l_discount * 100, 0) * 100 + l_tax * 6 AS yield FROM lineitem),
 c AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS cost_c2, l_quantity AS yield_quintal,
              l_extendedprice / l_quantity + l_tax / 7 AS cost_per_quintal FROM lineitem)
-SELECT l_orderkey, l_linenumber, 'yield_is_production_over_area' AS "check", round(yield, 6) AS actual,
-       round(production / nullif(area, 0) * 100, 6) AS expected FROM m WHERE abs(yield - production / nullif(area, 0) * 100) > 0.2
+SELECT l_orderkey, l_linenumber, 'yield_is_production_over_area' AS "check", round(yield, 8) AS actual,
+       round(production / nullif(area, 0) * 100, 8) AS expected FROM m WHERE abs(yield - production / nullif(area, 0) * 100) > 0.2
 UNION ALL
-SELECT l_orderkey, l_linenumber, 'cost_per_quintal_at_most_cost_over_yield', round(cost_per_quintal, 6), round(cost_c2 / yield_quintal, 6)
+SELECT l_orderkey, l_linenumber, 'cost_per_quintal_at_most_cost_over_yield', round(cost_per_quintal, 8), round(cost_c2 / yield_quintal, 8)
 FROM c WHERE cost_per_quintal - cost_c2 / yield_quintal > 0.005""")
 def named_checks(spark, sf_dir):
     """Order lines as areas and costs: the tax is by how much a figure is off."""
@@ -314,7 +314,7 @@ def named_checks(spark, sf_dir):
     found = farming.violations(measures, farming.measure_checks(), keys_).unionByName(
         farming.violations(costs, farming.cost_checks(), keys_)
     )
-    return found.withColumns({c: F.round(c, 6) for c in ("actual", "expected")})
+    return found.withColumns({c: F.round(c, 8) for c in ("actual", "expected")})
 
 
 _WATERS = ", ".join(f"('{w}', {i})" for i, w in enumerate(WATER_LEVELS))
