@@ -3,7 +3,8 @@
 A document is the sequence of its shingles of five words, each labelled with how often it has occurred before. Every one
 of SKETCHES random orders picks the three least labelled shingles and keeps them in text order, so that documents agree
 in a sketch if they share those shingles and their order. Documents with one sketch value form a group; its members are
-compared with two of them, never with each other.
+compared with two of them, and where that does not connect the group, with each other: a bound from bit signatures that
+loses nothing comes first, and only pairs that are not yet connected are aligned.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .text import BASES, mix, slices, stored, texts, window_hashes, with_text, w
 SHINGLE, SIMILARITY = 5, 0.8
 #: Random orders, and shingles that each of them picks.
 SKETCHES, PICKED = 24, 3
-#: Later sketches that split a group whose members are not all alike.
-FINER = 2
+#: Members of a group, and their words, that a task compares with as many others; most bits of a signature.
+BLOCK, BLOCK_WORDS, MOST_BITS = 1024, 1 << 20, 1 << 16
 
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * BASES[1])
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -155,8 +156,9 @@ def _leaders(members: DataFrame) -> DataFrame:
     """(bucket, key, n, leader, size of leader): each member with the least and the greatest key of its bucket."""
     low, high = F.min(F.struct("key", "n")), F.max(F.struct("key", "n"))
     groups = members.groupBy("bucket").agg(low.alias("low"), high.alias("high")).where("low.key <> high.key")
-    both = members.join(groups, "bucket").select("bucket", "place", "key", "n", F.explode(F.array("low", "high")).alias("lead"))
-    return both.select("bucket", "place", "key", "n", F.col("lead.key").alias("leader"), F.col("lead.n").alias("m")).where("key <> leader")
+    lead = F.posexplode(F.array("low", "high")).alias("rank", "lead")
+    both = members.join(groups, "bucket").select("bucket", "place", "key", "n", lead)
+    return both.select("bucket", "place", "key", "n", "rank", F.col("lead.key").alias("leader"), F.col("lead.n").alias("m")).where("key <> leader")
 
 
 def _could_match() -> Column:
@@ -169,11 +171,79 @@ def _pairs(candidates: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
+def signatures(grams: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per document, each the parity of the shingles that fall on it.
+
+    Two rows differ in no more bits than the documents have shingles that only one of them holds.
+    """
+    bits = min(max(512, 1 << (8 * max(map(len, grams)) - 1).bit_length()), MOST_BITS)
+    out = np.zeros((len(grams), bits // 64), np.uint64)
+    for row, g in zip(out, grams):
+        odd = np.bincount((mix(g) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        row[:] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def _rest(group: pa.Table) -> pa.Table:
+    """Links between the members of one block, or of two different ones, that are not connected by others."""
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    keys, own = group.column("key").to_pylist(), group.column("block").to_numpy()
+    grams = [_shingles_of(raw) for raw in group.column("words").to_pylist()]
+    sizes = np.array([len(g) for g in grams])
+    parts = group.column("part").to_numpy().copy()  # 0 and 1: connected by a leader
+    parts[parts > 1] = np.arange(2, 2 + (parts > 1).sum())
+    signs = signatures(grams)
+    out = []
+    for r in range(len(keys)):
+        total = sizes[r] + sizes[r + 1 :]
+        other = (parts[r + 1 :] != parts[r]) & (np.minimum(sizes[r], sizes[r + 1 :]) >= SIMILARITY * np.maximum(sizes[r], sizes[r + 1 :]))
+        if i != j:
+            other &= own[r + 1 :] != own[r]
+        at = np.flatnonzero(other)
+        differ = np.bitwise_count(signs[r + 1 + at] ^ signs[r]).sum(axis=1, dtype=np.int64)
+        # At the threshold, (1 - s) / (1 + s) of all shingles are in one document only.
+        for x in (at[differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * total[at] + 1e-6] + r + 1).tolist():
+            if parts[x] != parts[r] and (alike := aligned(grams[r], grams[x])) >= SIMILARITY:
+                out.append((min(keys[r], keys[x]), max(keys[r], keys[x]), alike))
+                parts[parts == parts[x]] = parts[r]
+    columns = list(zip(*out)) or [(), (), ()]
+    return pa.table([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def rest(candidates: DataFrame, first: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b, similarity): what connects the members of the groups that the leaders leave in several parts.
+
+    All members meet, in pairs of bounded blocks. Part 0 and 1 are those connected with the least and the greatest key
+    (0 for both where something connects these), part 2 stands for a member of its own.
+    """
+    pair = candidates.select("bucket", "place", "key", "n", "rank", F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+    matched = pair.join(first.select("a", "b", F.lit(1).alias("ok")), ["a", "b"], "left").groupBy("bucket", "place", "key")
+    # A leader is not compared with itself: without a row for a rank it is the leader of that rank.
+    is_with = lambda rank: F.count(F.when(F.col("rank") == rank, F.coalesce("ok", F.lit(0)))) == F.count(F.when((F.col("rank") == rank) & (F.col("ok") == 1), 1))
+    spark = candidates.sparkSession
+    members = stored(spark, matched.agg(F.first("n").alias("n"), is_with(0).alias("low"), is_with(1).alias("high")), "near-members")
+    groups = members.groupBy("bucket", "place").agg(
+        F.count("*").alias("size"), F.sum("n").alias("sum"), F.max(F.col("low") & F.col("high")).alias("one"),
+        F.max(~F.col("low") & ~F.col("high")).alias("lone"),
+    )
+    # The leaders have met all others, so that three members leave nothing to compare.
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("sum") / BLOCK_WORDS)).cast("int")
+    open_ = stored(spark, groups.where("size > 3 and (lone or not one)").select("bucket", "place", "one", blocks.alias("blocks")), "near-open")
+    part = F.when(F.col("low"), 0).when(F.col("high"), F.when(F.col("one"), 0).otherwise(1)).otherwise(2)
+    dealt = members.join(open_, ["bucket", "place"]).select(
+        "bucket", "place", "key", part.alias("part"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    )
+    met = dealt.join(words, "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "place", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "part", "block", "words"
+    )
+    return met.groupBy("bucket", "place", "i", "j").applyInArrow(_rest, "a binary, b binary, similarity double")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): pairs of different texts found alike, by key. ``docs`` has columns key and text.
 
-    First every member of a group is compared with its two leaders. Members of a group that match neither are compared
-    again with the leaders of finer groups, which agree in further sketches.
+    They connect, directly or through others, all texts that are alike and agree in a sketch. First every member of
+    a group is compared with its two leaders; in groups that this leaves in parts, all members of different parts are.
     """
     spark = docs.sparkSession
     known = stored(spark, sketch(docs).groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")), "near-sketches")
@@ -183,19 +253,7 @@ def links(docs: DataFrame) -> DataFrame:
     texts_needed = docs.join(needed, "key", "left_semi")
     words = stored(spark, _words(texts_needed).groupBy("key").agg(F.first("words").alias("words")), "near-words")
     first = stored(spark, verified(_pairs(candidates), words).where(F.col("similarity") >= SIMILARITY), "near-links")
-    # Which members matched a leader, in each group.
-    pair = candidates.select("bucket", "place", "key", F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
-    matched = pair.join(first.select("a", "b", F.lit(1).alias("ok")), ["a", "b"], "left").groupBy("bucket", "place", "key")
-    lone = matched.agg(F.max("ok").alias("ok")).where(F.col("ok").isNull()).select("key", "place", "bucket")
-    again = lone.join(known, "key").select(
-        "key", "n", "place",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.lit(FINER)),
-            lambda k: F.xxhash64("bucket", k, F.transform(F.sequence(F.lit(1), k), lambda i: F.element_at("sketches", (F.col("place") + i) % SKETCHES + 1))),
-        )).alias("bucket"),
-    )
-    more = _pairs(_leaders(again)).join(first, ["a", "b"], "left_anti")
-    return first.unionByName(verified(more, words).where(F.col("similarity") >= SIMILARITY))
+    return first.unionByName(rest(candidates, first, words).distinct())
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import collections
 import hashlib
 import itertools
+import random
+
+import numpy as np
 
 from furrow.llm import decontaminate, near_dedup, substring_dedup
 from furrow.llm.substring_dedup import WIDTH
@@ -64,6 +67,31 @@ def test_near_classes_as_by_brute_force(odd_docs, no_docs):
     assert near_dedup.report(no_docs).count() == 0 and near_dedup.keep_one(no_docs).count() == 0
 
 
+def test_copies_alike_only_to_their_original_are_one_class(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(300)]
+    rows = [" ".join(base)]
+    for c in range(300):
+        w = list(base)
+        for k in rng.sample(range(300), 5):
+            w[k] = f"c{c}x{k}"
+        rows.append(" ".join(w))
+    sets = [shingle_set(t) for t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[0], s) for s in sets) and not all(alike(a, b) for a, b in itertools.combinations(sets[1:40], 2))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = lambda: {(r["class_id"], r["class_size"]) for r in near_dedup.report(docs).collect()}
+    assert found() == {(0, 301)}
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    assert found() == {(0, 301)}
+
+
+def test_signatures_bound_what_differs():
+    values = near_dedup.mix(np.arange(1, 1001, dtype=np.uint64))
+    a, b, c = near_dedup.signatures([values[:900], values[50:950], values[:0]])
+    assert 90 <= int(np.bitwise_count(a ^ b).sum()) <= 100 and int(np.bitwise_count(a ^ c).sum()) <= 900
+
+
 def test_chains_become_one_component(spark):
     edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([101]))]
     found = near_dedup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()
