@@ -1,10 +1,11 @@
-"""Language model scores: a log-frequency Bloom filter of quantised bigram counts, and exact add-one word probabilities.
-
-Counts come from the whole training part. The words of the filter are the most frequent ones, at most VOCABULARY; counts
-of pairs are added up by range of their hash, in packed arrays, and pairs seen once are pruned. The filter has a fixed
-number of bits whatever the corpus: a pair's count is the number of its levels that the filter holds, each found by a
-membership probe, and if the pairs are too many for the bits, the lowest levels are pruned. Exact counts of frequent
-words are held by every task; all other words meet their counts in a join.
+"""Language model scores: log-frequency Bloom filters of quantised bigram counts, and exact add-one word probabilities.
+
+Counts come from the whole training part, all words and all pairs. Texts are dealt into slices of bounded size. The pairs
+of all slices are added up by range of their hash, in packed arrays, and each range has a filter of its own: with a fixed
+number of bits per level of a pair, so that filters grow with the corpus and errors do not. A pair's count is the number
+of its levels that the filter of its range holds, each found by a membership probe; the task that has built a filter
+probes it for all slices and sends the levels back. Exact counts of frequent words are held by every task; all other
+words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -25,15 +26,13 @@ from .text import BASES, mix, remainder, slices, stored, texts, with_text, word_
 FOLDS, HELD_OUT = 7, 2
 #: Stands for the end of a text; white space is never a word.
 END = "\n"
-#: Most words whose counts every task holds, bits of the filter, hash functions, and share of bits it may have set.
+#: Most words whose counts every task holds, most bits of one range's filter, hash functions, and share of bits set in it.
 VOCABULARY, BITS, PROBES, LOAD = 200_000, 1 << 28, 3, 0.25
-#: Pairs are counted by range of their hash, and each range has its own part of the filter. There are as many ranges, a
+#: Pairs are counted by range of their hash, and each range has its own filter. There are as many ranges, a
 #: power of two between these, as leave each about so many tokens of the corpus.
 LEAST_RANGES, MOST_RANGES, RANGE_TOKENS = 1 << 8, 1 << 20, 2_000_000
-#: Pairs seen less often are pruned; weight of the pair's share of its first word, against the word probability.
-LEAST, SHARE = 2, 0.15
-#: Pairs a task gathers before it sends them on.
-GATHERED = 4_000_000
+#: Least count of a pair; weight of the pair's share of its first word, against the word probability.
+LEAST, SHARE = 1, 0.15
 MOST_LEVELS = 48
 
 
@@ -105,16 +104,13 @@ def frequent(counts: DataFrame, most: int = VOCABULARY) -> Frequent:
     return Frequent(pd.Index(some["token"].astype(object)), some["n"].to_numpy(np.int64), total, types)
 
 
-def pair_hashes(codes: np.ndarray, distinct: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """A hash for each token and the one before it; 0 unless both are known."""
+def pair_hashes(codes: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """A hash, never 0, for each token but the first and the one before it."""
     h = word_hashes(list(distinct))[codes]
-    out = np.zeros(len(codes), np.uint64)
-    both = known[1:] & known[:-1]
-    out[1:][both] = mix(h[:-1] * BASES[0] + h[1:])[both] | np.uint64(1)
-    return out
+    return mix(h[:-1] * BASES[0] + h[1:]) | np.uint64(1)
 
 
-def sequence(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+def sequence(batch: pa.RecordBatch | pa.Table) -> tuple[list[str], np.ndarray]:
     """All tokens of a slice with an end in front of the first text, and the number of tokens of each text."""
     flat, sizes = [END], []
     for text in texts(batch):
@@ -144,49 +140,6 @@ def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - n.bit_length())).astype(np.int64)
 
 
-def pair_levels(docs: DataFrame, table, n_ranges: int) -> DataFrame:
-    """(segment, hashes, levels, histogram): packed arrays of all pairs counted at least LEAST times, by range."""
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
-            rows = [(s, values[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                ["segment", "hashes", "counts"],
-            )
-
-        for batch in slices(batches, "text"):
-            flat, _ = sequence(batch)
-            place, codes, distinct = table.value.places(flat)
-            pairs = pair_hashes(codes, distinct, place >= 0)
-            held.append(pairs[pairs > 0])
-            if sum(map(len, held)) > GATHERED:
-                yield packed()
-                held.clear()
-        if held:
-            yield packed()
-
-    def add(group: pa.Table) -> pa.Table:
-        values = np.frombuffer(b"".join(group.column("hashes").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(values)
-        values, n = values[order], n[order].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        n = np.add.reduceat(n, starts)
-        keep = n >= LEAST
-        level = levels(n[keep])
-        data = [group.column("segment")[0].as_py(), values[starts][keep].tobytes(), level.astype(np.uint8).tobytes(), np.bincount(level, minlength=MOST_LEVELS).tolist()]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array([v], k) for v, k in zip(data, kinds)], names=["segment", "hashes", "levels", "histogram"])
-
-    blocks = docs.select("text").mapInArrow(gather, "segment int, hashes binary, counts binary")
-    return blocks.groupBy("segment").applyInArrow(add, "segment int, hashes binary, levels binary, histogram array<bigint>")
-
-
 def bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
     """Bit of a hash at a level, inside the ``size`` bits of its range."""
     salt = np.uint64((level * 64 + probe + 1) * int(BASES[1]) % 2**64)
@@ -205,8 +158,8 @@ def fill(part: np.ndarray, hashes: np.ndarray, level: np.ndarray) -> None:
 @dataclass
 class Filter:
     bits: np.ndarray
-    ranges: int
-    first: int  # levels of pairs below this one were pruned
+    ranges: int = 1
+    first: int = 1  # the level that probing begins with
 
     def level(self, hashes: np.ndarray, top: int = MOST_LEVELS) -> np.ndarray:
         """The last level up to which every probe finds the hash; 0 for a hash of 0."""
@@ -215,7 +168,7 @@ class Filter:
         h = hashes[at]
         size = 8 * len(self.bits) // self.ranges
         start = range_of(h, self.ranges) * size
-        for step in range(1, top):
+        for step in range(self.first, top):
             for probe in range(PROBES):
                 bit = start + bits_of(h, step, probe, size)
                 found = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
@@ -226,86 +179,142 @@ class Filter:
         return out
 
 
-def build(pairs: DataFrame, n_ranges: int) -> Filter:
-    """Each range's bits are set by the task that holds its pairs; only the bits, BITS / 8 bytes, reach the driver."""
-    each = pairs.select(F.posexplode("histogram").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
-    histogram = np.zeros(MOST_LEVELS)
-    histogram[[r["level"] for r in each]] = [r["n"] for r in each]
-    size = BITS // 8 // n_ranges
-    room = -np.log(1 - LOAD) * BITS / PROBES
-    keys = histogram * np.arange(MOST_LEVELS)
-    first = next((t for t in range(1, MOST_LEVELS) if keys[t:].sum() <= room), MOST_LEVELS)
+def build(values: np.ndarray, counts: np.ndarray, load: float = LOAD) -> Filter:
+    """The filter of one range from the counts of its pairs; a pair may come several times, which is added up."""
+    order = np.argsort(values)
+    values, n = values[order], counts[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    n = np.add.reduceat(n, starts) if len(values) else n
+    keep = n >= LEAST
+    level = levels(n[keep])
+    size = int(np.ceil(level.sum() * PROBES / -np.log(1 - load) / 8)) + 8
+    if 8 * size > BITS:
+        raise ValueError(f"a range of pairs needs {8 * size} bits of filter; at most {BITS} are held")
+    part = np.zeros(size, np.uint8)
+    fill(part, values[starts][keep], level)
+    return Filter(part)
+
+
+ROW = "slice long, doc_id {kind}, held_out boolean, text string"
+LEVELS = "slice long, segment int, levels binary"
+
+
+def sliced(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows, each with the number of a slice; a slice has bounded bytes, or one text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                level = np.frombuffer(batch.column("levels")[r].as_py(), np.uint8).astype(np.int64)
-                hashes = np.frombuffer(batch.column("hashes")[r].as_py(), np.uint64)
-                part = np.zeros(size, np.uint8)
-                fill(part, hashes[level >= first], level[level >= first])
-                yield pa.RecordBatch.from_arrays([batch.column("segment").slice(r, 1), pa.array([part.tobytes()], pa.binary())], ["segment", "bits"])
+        number = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, number)), *(batch.column(c) for c in ("doc_id", "held_out", "text"))], ["slice", "doc_id", "held_out", "text"]
+            )
+            number += 1
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, ROW.format(kind=kind))
+
+
+def slice_pairs(group: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, tokens per text, distinct pairs in order, place of each token's pair among them, is the text held out)."""
+    flat, sizes = sequence(group)
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    values, place = np.unique(pair_hashes(codes, distinct), return_inverse=True)
+    return flat, sizes, values, place, np.array(group.column("held_out").to_pylist(), bool)
 
-    bits = np.zeros(BITS // 8, np.uint8)
-    for row in pairs.select("segment", "hashes", "levels").mapInArrow(run, "segment int, bits binary").toLocalIterator():
-        bits[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits, n_ranges, first)
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte, so that the leading zeros compress."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    each = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(each, dtype=np.uint64)
+
+
+def pair_levels(parts: DataFrame, n_ranges: int) -> DataFrame:
+    """(slice, segment, levels): per slice and range the levels of its distinct pairs, in the order of their hashes."""
+    load = LOAD
+
+    def gather(group: pa.Table) -> pa.Table:
+        _, sizes, values, place, held_out = slice_pairs(group)
+        n = np.bincount(place[np.repeat(~held_out, sizes)], minlength=len(values)).astype(np.uint32)
+        cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
+        rows = [(s, packed(values[a:b]), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        number = group.column("slice")[0].as_py()
+        columns = [pa.array([number] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))]
+        return pa.table(columns, names=["slice", "segment", "hashes", "counts"])
+
+    def probe(group: pa.Table) -> pa.Table:
+        each = [unpacked(x) for x in group.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
+        values = np.concatenate(each)
+        filter_ = build(values[counts > 0], counts[counts > 0], load)
+        found = [filter_.level(x).astype(np.uint8).tobytes() for x in each]
+        return pa.table([group.column("slice"), group.column("segment"), pa.array(found, pa.binary())], names=["slice", "segment", "levels"])
+
+    pairs = parts.groupBy("slice").applyInArrow(gather, "slice long, segment int, hashes binary, counts binary")
+    return pairs.groupBy("segment").applyInArrow(probe, LEVELS)
+
+
+def rare_counts(parts: DataFrame, table, counts: DataFrame) -> DataFrame:
+    """(slice, token, n): the counts of the words of each slice that ``table`` does not hold; none for unknown ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            numbers = batch.column("slice").to_numpy()
+            for number in np.unique(numbers):
+                flat, _ = sequence(batch.filter(pa.array(numbers == number)))
+                place, codes, distinct = table.value.places(flat)
+                rare = list(distinct[np.unique(codes[place < 0])])
+                if rare:
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rare), pa.int64()), pa.array(rare, pa.string())], ["slice", "token"])
+
+    # A word comes again where a slice is read in several batches, which is harmless.
+    asked = parts.select("slice", "text").mapInArrow(run, "slice long, token string")
+    return asked.join(counts, "token").select("slice", "token", "n")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Null and empty texts are one token, the end. Repeated rows count as often as they occur and get equal scores.
-    The model's probability of a word after a frequent one is SHARE * pair count / count of the first word + (1 - SHARE)
+    The model's probability of a word after a known one is SHARE * pair count / count of the first word + (1 - SHARE)
     * add-one probability of the word, the pair count from the filter; after any other word it is the latter alone.
     """
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_text(docs, "text", "doc_id").select("doc_id", "text", is_held_out().alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = stored(spark, word_counts(training), "lm-words")
+    parts = stored(spark, sliced(rows, kind), "lm-slices")
+    counts = stored(spark, word_counts(parts.where(~F.col("held_out"))), "lm-words")
     words = frequent(counts)
     table = spark.sparkContext.broadcast(words)
-    n = ranges(words.total)
-    model = spark.sparkContext.broadcast(build(stored(spark, pair_levels(training, table, n), "lm-pairs"), n))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filter_ = table.value, model.value
-        base = np.log10((known.counts + 1) / known.room)
-        number = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
-            flat, sizes = sequence(batch)
-            place, codes, distinct = known.places(flat)
-            held = place >= 0
-            level = filter_.level(pair_hashes(codes, distinct, held))[1:]
-            pair = np.where(level >= filter_.first, middle(level), 0.0)
-            before, held, at = held[:-1], held[1:], place[1:]
-            context = np.ones(len(held))
-            context[before] = known.counts[place[:-1][before]]
-            plain = np.zeros(len(held))
-            plain[held] = base[at[held]]
-            # A word that is not frequent has no pairs; the log of its own probability is added after the join.
-            own = np.where(before, 1 - SHARE, 1.0) * 10.0**plain
-            value = np.log10(own + np.where(before & held, SHARE * np.minimum(pair / context, 1), 0.0))
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            rare = np.array(flat[1:], dtype=object)
-            lists = [rare[a : a + n][~held[a : a + n]].tolist() for a, n in zip(starts, sizes)]
-            ids = pa.array(number + np.arange(len(sizes)), pa.int64())
-            number += len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat(held.astype(np.int64), starts)),
-                 pa.array(np.add.reduceat(plain, starts)), pa.array(np.add.reduceat(value, starts)), pa.array(lists, pa.list_(pa.string()))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>"
-    part = stored(spark, rows.mapInArrow(run, schema), "lm-scored")
-    asked = part.select("row", F.explode("rare").alias("token"))
-    met = asked.join(counts, "token", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
-    more = met.groupBy("row").agg(
-        F.sum(F.log10((F.col("n") + 1) / F.lit(float(words.room)))).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("found")
-    )
-    zero, none = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return part.drop("rare").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + none).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero).alias("base_score"), (F.col("score") + zero).alias("score"),
-    )
+    pairs = pair_levels(parts, ranges(words.total)).select("slice", "segment", "levels", F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("n"))
+    rare = rare_counts(parts, table, counts).select("slice", F.lit(None).cast("int").alias("segment"), F.lit(None).cast("binary").alias("levels"), "token", "n")
+
+    def run(group: pa.Table, facts: pa.Table) -> pa.Table:
+        known = table.value
+        flat, sizes, _, pair, held_out = slice_pairs(group)
+        place, codes, distinct = known.places(flat)
+        is_pair = facts.column("levels").is_valid()
+        found = facts.filter(is_pair).sort_by("segment").column("levels").to_pylist()
+        level = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)[pair]
+        others = facts.filter(facts.column("token").is_valid())
+        n_of = dict(zip(others.column("token").to_pylist(), others.column("n").to_pylist()))
+        n = np.zeros(len(distinct), np.int64)
+        n[codes[place >= 0]] = known.counts[place[place >= 0]]
+        for c in np.unique(codes[place < 0]):
+            n[c] = n_of.get(distinct[c], 0)
+        n = n[codes]
+        before, n = n[:-1], n[1:]
+        own = (n + 1) / known.room
+        value = np.log10(np.where(before > 0, (1 - SHARE) * own + SHARE * np.minimum(middle(level) / np.maximum(before, 1), 1), own))
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        return pa.table(
+            [group.column("doc_id"), pa.array(held_out), pa.array(sizes), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)),
+             pa.array(np.add.reduceat(np.log10(own), starts)), pa.array(np.add.reduceat(value, starts))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = parts.groupBy("slice").cogroup(pairs.unionByName(rare).groupBy("slice")).applyInArrow(run, schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -144,6 +144,41 @@ def test_model_beats_single_words_where_pairs_tell(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
 
 
+def test_scores_hold_all_words_and_pairs(spark, monkeypatch):
+    """By direct counts, whatever the size of the vocabulary: pairs seen once and pairs of rare words count."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(50))) for i in range(300)]
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    words = {i: ["\n", *t.split(), "\n"] for i, t in docs}
+    one, two = Counter(), Counter()
+    for i in words.keys() - held:
+        one.update(words[i][1:])
+        two.update(zip(words[i], words[i][1:]))
+    room, share = sum(one.values()) + len(one) + 1, language_model.SHARE
+    count = lambda n: 0 if n == 0 else 1.5 * 2 ** (n.bit_length() - 1) - 0.5
+    want = {}
+    for i, w in words.items():
+        p = [(1 - share) * (one[b] + 1) / room + share * min(count(two[a, b]) / one[a], 1) if one[a] else (one[b] + 1) / room for a, b in zip(w, w[1:])]
+        want[i] = sum(map(math.log10, p))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for most, load in ((language_model.VOCABULARY, 1e-3), (20, 1e-3), (20, language_model.LOAD)):
+        monkeypatch.setattr(language_model.frequent, "__defaults__", (most,))
+        monkeypatch.setattr(language_model, "LOAD", load)
+        got = {r["doc_id"]: r["score"] for r in language_model.score(frame).collect()}
+        # A filter as full as usual finds some unseen pairs, which only raises scores; an almost empty one finds none.
+        assert got.keys() == want.keys() and all(-1e-6 < got[i] - want[i] for i in want)
+        assert load == language_model.LOAD > 1e-3 or max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_filter_grows_with_its_pairs():
+    import numpy as np
+
+    for n in (1000, 100_000):
+        hashes = language_model.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+        found = language_model.build(hashes, np.ones(n, np.uint32))
+        assert (found.level(hashes) >= 1).all() and (found.level(language_model.mix(hashes)) > 0).mean() < 0.03
+
+
 def test_number_of_ranges():
     assert [language_model.ranges(n) for n in (0, 10**6, 512 * 10**6, 512 * 10**6 + 1, 10**15)] == [256, 256, 256, 512, 1 << 20]
 
