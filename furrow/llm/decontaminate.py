@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, a multi-index over Hamming blocks, exact check.
 
 A window of as many words as an item matches it if the weighted Jaccard similarity of their shingles of five words (an
-item of fewer words is one shingle; weights count repeats) is at least 0.8. Windows too poor in shingles of any item of
+item of fewer words is one shingle; weights count repeats) is at least 0.8. A document of fewer words than an item is one
+window, all of it. Windows too poor in shingles of any item of
 their size to reach that are not fingerprinted, which loses nothing. The others get a 64-bit fingerprint; items that
 agree with it in one of RADIUS + 1 blocks of bits include all within RADIUS, and these are compared exactly.
 """
@@ -111,10 +112,11 @@ class Index:
             places[width] = np.flatnonzero(every[at] == g)
         for size, items in self.sizes.items():
             g, at = grams[items.width], places[items.width]
-            n = size - items.width + 1
-            # common / (2n - common) >= SIMILARITY needs so many shingles of items in the window
-            need = int(np.ceil(2 * n * SIMILARITY / (1 + SIMILARITY) - 1e-9))
-            if len(at) < need or len(g) < n:
+            # Shingles of a window: as many as the items', or all of a shorter document.
+            n = min(size - items.width + 1, len(g))
+            # common / (item + window - common) >= SIMILARITY needs so many shingles of items in the window
+            need = int(np.ceil((size - items.width + 1 + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+            if len(at) < need:
                 continue
             mine = at[np.isin(g[at], items.every)]
             if len(mine) < need:
@@ -134,7 +136,7 @@ class Index:
                         alike = weighted_jaccard(g[start : start + n], items.grams[i])
                         item = items.ids[i]
                         if alike >= SIMILARITY and (item not in best or alike > best[item][3]):
-                            best[item] = (item, start, size, alike)
+                            best[item] = (item, start, min(size, len(words)), alike)
         return sorted(best.values(), key=lambda m: (m[1], str(m[0])))
 
 

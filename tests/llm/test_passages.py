@@ -129,6 +129,18 @@ def test_benchmark_passages(spark, odd_docs, no_docs, passages):
     assert decontaminate.keep_clean(odd_docs, table.where("false")).count() == len(rows)
 
 
+def test_documents_that_are_shortened_items(spark):
+    item = [f"w{k}" for k in range(60)]
+    cut = [item[:-1], item[4:], item[:30] + item[31:], item[:49], item[:40], item[:4], item[:1]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(cut)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = [len(grams(w) & grams(item)) / len(grams(w) | grams(item)) for w in cut]
+    want = {(i, 7, 0, len(w), round(s, 9)) for i, (w, s) in enumerate(zip(cut, alike)) if s >= 0.8}
+    assert {(*r[:4], round(r[4], 9)) for r in decontaminate.matches(docs, items).collect()} == want and len(want) == 4
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()} == {4, 5, 6}
+
+
 def test_items_in_blocks_give_the_same(spark, odd_docs, passages, monkeypatch):
     table = spark.createDataFrame([(i, t) for i, t in enumerate(passages[:30])], "item_id long, text string")
     one = sorted(map(str, decontaminate.matches(odd_docs, table).collect()))
