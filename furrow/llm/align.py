@@ -36,8 +36,8 @@ PART_CHARS = 1 << 18
 WIDE = 1 << 12
 #: Pairs a task counts before it gives them out, and pairs whose counts every task holds at a time.
 COUNTED, HELD = 1 << 20, 4_000_000
-#: Ids of B are below this; a pair of ids is one number.
-ROOM = 1 << 31
+#: Ids are below ROOM, so that a pair of ids is one number, and so is a pair with the place of its text among ROWS.
+ROOM, ROWS = 1 << 24, 1 << 14
 
 
 def bounded(texts: list[str], limit: int = PART_CHARS) -> Iterator[list[str]]:
@@ -210,14 +210,14 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _summed(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pairs of one text added up, by text and pair."""
-    order = np.lexsort((pair, text))
-    text, pair, times = text[order], pair[order], times[order]
-    if not len(text):
-        return text, pair, times
-    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])
-    return text[first], pair[first], np.add.reduceat(times, first)
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys added up, ascending."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    if not len(keys):
+        return keys, times
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(times, first)
 
 
 def linked(found: Merged, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,14 +234,15 @@ def linked(found: Merged, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray,
     run, place = _spread((some[:, 2] - some[:, 1]) * (some[:, 4] - some[:, 3]))
     across = (some[:, 4] - some[:, 3])[run]
     pair = a.ids[some[run, 1] + place // across] * ROOM + b.ids[some[run, 3] + place % across]
-    out = [_summed(some[run, 0], pair, np.ones(len(run), np.int64))]
+    out = [np.unique(some[run, 0] * ROOM**2 + pair, return_counts=True)]
     first = np.vstack([np.zeros((1, 2), np.int64), cuts[:-1, 1:]])
     for g in np.flatnonzero(wide).tolist():
         (a0, b0), (t, a1, b1) = first[g].tolist(), cuts[g].tolist()
         ids_a, n_a = np.unique(a.ids[a0:a1], return_counts=True)
         ids_b, n_b = np.unique(b.ids[b0:b1], return_counts=True)
-        out.append((np.full(len(ids_a) * len(ids_b), t), (ids_a[:, None] * ROOM + ids_b).ravel(), (n_a[:, None] * n_b).ravel()))
-    return _summed(*(np.concatenate(x) for x in zip(*out))) if len(out) > 1 else out[0]
+        out.append((t * ROOM**2 + (ids_a[:, None] * ROOM + ids_b).ravel(), (n_a[:, None] * n_b).ravel()))
+    keys, times = _summed(*(np.concatenate(x) for x in zip(*out))) if len(out) > 1 else out[0]
+    return keys // ROOM**2, keys % ROOM**2, times
 
 
 @lru_cache(maxsize=2)
@@ -295,7 +296,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         kinds = tokenizers(path_a, path_b)
         n_names = max(len(k.bytes) for k in kinds)
         number = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in (s.slice(at, ROWS) for s in slices(batches, "text", SLICE_BYTES) for at in range(0, s.num_rows, ROWS)):
             a, b = encoded(batch.column("text").to_pylist(), *kinds)
             found = merge(a, b)
             n = batch.num_rows
@@ -344,8 +345,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
         def added() -> tuple[np.ndarray, np.ndarray]:
             values, n = np.unique(np.concatenate(held), return_counts=True) if held else total
-            _, pairs, times = _summed(np.zeros(len(values) + len(total[0]), np.int8), np.concatenate([total[0], values]), np.concatenate([total[1], n]))
-            return pairs, times
+            return _summed(np.concatenate([total[0], values]), np.concatenate([total[1], n]))
 
         def given(pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(pairs // ROOM, pa.int64()), pa.array(pairs % ROOM, pa.int64()), pa.array(times)], ["a", "b", "n"])
