@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, decontaminate, fill_middle, language_model, near_dedup, pii, quality, substring_dedup, toxicity, warc
+from . import align, ann, bpe, decontaminate, fill_middle, language_model, near_dedup, pii, quality, substring_dedup, suffix_dedup, toxicity, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# Windows of 400 bytes by their hexadecimal digits; a byte goes if a window over it occurs twice.
+_REPEATED = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, CAST(2 * s + 1 AS BIGINT), 800)) AS m FROM (SELECT r, h, unnest(range(0, strlen(h) // 2 - 399)) AS s FROM d)),
+twice AS (SELECT m FROM w GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT r, s FROM w SEMI JOIN twice USING (m)),
+edge AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM edge),
+span AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM run GROUP BY r, g),
+part AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS k
+    FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN h ELSE k || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
+
+@query(sql=_REPEATED)
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
 # Units are code points, which DuckDB's substr counts as well.
 _FILLED = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
 h AS (SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS b,
