@@ -2,14 +2,15 @@
 
 A window is ``width`` bytes that start somewhere in a text. Each window has an anchor, the place of the least hash of the
 shorter runs inside it, so equal windows have equal anchors at equal distances. Consecutive windows whose anchor is the
-same and whose distance lies in the same half make a piece; all of them hold the same core of bytes, and the hash of the
-core is the key of the piece. Only windows of pieces with one key can be equal. So keys are counted first; equal pieces of a key
-that occurs again are one piece with a number of times, and these meet, a bounded number of bytes together, in a suffix
-array: suffixes that are smaller than their successors are sorted directly, all others are induced by scans over the
+same and whose distance lies in the same cell of distances make a piece; all of them hold the same core of bytes, and the
+hash of the core is the key of the piece. Only windows of pieces with one key can be equal. So keys are counted first; equal
+pieces of a key that occurs again are one piece with a number of times, and these meet, a bounded number of bytes together, in a
+suffix array: suffixes that are smaller than their successors are sorted directly, all others are induced by scans over the
 buckets of first bytes. Common prefixes of neighbours that reach ``width`` show the repeated windows.
 
 A key with more than KINDS different pieces (a passage in very many texts, with other text on either side of each) would
-be too much for one task. Its pieces are taken apart into windows, which are counted by hashes of 128 bits.
+be too much for one task. Its pieces are texts of the same search again, with smaller cells and so with longer cores.
+At the last level a cell is one distance, a core is a window, and a key has one piece.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,15 @@ KINDS, BUCKET_BYTES = 256, 1 << 20
 PART_BYTES = 1 << 20
 #: Between pieces in a suffix array; no byte of UTF-8.
 BETWEEN = 0xFF
+#: Distances in a cell beyond the first level, where it is half of all.
+CELLS = (16, 1)
 
 BYTE_HASHES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def cells(width: int) -> tuple[int, int, int]:
-    """(bytes of a run, distances that share a key, bytes of the core that windows at these distances have in common)."""
-    run = min(RUN, width)
-    cell = -(-(width - run + 1) // 2)
-    return run, cell, width - cell + 1
+def first_cell(width: int) -> int:
+    """Half of the distances that an anchor can have from its window."""
+    return -(-(width - min(RUN, width) + 1) // 2)
 
 
 class Sums:
@@ -57,9 +59,9 @@ class Sums:
         return mix((self.total[end] - self.total[start]) * self.back[start])
 
 
-def pieces(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, ends: np.ndarray, width: int, cell: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, key, digest) of the pieces of consecutive texts; places count within ``data``."""
-    run, cell, core = cells(width)
+    run, core = min(RUN, width), width - cell + 1
     n = len(data) - width + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
@@ -70,12 +72,12 @@ def pieces(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     # The least upper half of a hash, and of equal ones the leftmost: a choice that only the window's bytes decide.
     low = np.uint64(0xFFFFFFFF)
     anchor = (sliding_min((runs & ~low) | np.arange(len(runs), dtype=np.uint64), width - run + 1) & low).astype(np.int64)
-    half = (anchor - at) // cell
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1]) | (owner[1:] != owner[:-1])]
+    number = (anchor - at) // cell
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])]
     first = np.flatnonzero(new & (at + width <= ends[owner]))
     last = np.minimum(np.append(np.flatnonzero(new), n)[np.searchsorted(np.flatnonzero(new), first) + 1], ends[owner[first]] - width + 1)
-    begin = anchor[first] - cell * half[first]
-    key = mix(one.hashes(begin, begin + core) + half[first].astype(np.uint64))
+    begin = anchor[first] - cell * number[first]
+    key = mix(one.hashes(begin, begin + core) + number[first].astype(np.uint64))
     shape = ((last - first) * width + anchor[first] - first).astype(np.uint64)
     digest = mix(Sums(data, BASES[1]).hashes(first, last + width - 1) + mix(shape))
     return owner[first], first, last - first, key, digest
@@ -83,7 +85,7 @@ def pieces(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
 
 def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, bytes before, bytes, ends of rows) for the rows of a batch, or for one part of a long text at a time."""
-    raw = [t.encode() for t in batch.column("text").to_pylist()]
+    raw = batch.column("text").to_pylist()
     ends = np.cumsum([len(r) for r in raw])
     if len(raw) == 1 and len(raw[0]) > 2 * PART_BYTES:
         for at in range(0, max(1, len(raw[0]) - width + 1), PART_BYTES):
@@ -93,20 +95,21 @@ def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.nda
         yield 0, 0, np.frombuffer(b"".join(raw), np.uint8), ends
 
 
-def _cut(rows: DataFrame, width: int) -> DataFrame:
+def _cut(rows: DataFrame, width: int, cell: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART_BYTES):
             for row, before, data, ends in _parts(batch, width):
-                owner, first, n, key, digest = pieces(data, ends, width)
+                owner, first, n, key, digest = pieces(data, ends, width, cell)
                 start = first + before - (ends - np.diff(ends, prepend=0))[owner]
                 if len(owner):
+                    of = pa.array(owner + row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("row").take(pa.array(owner + row)), pa.array(start), pa.array(n, pa.int32()),
+                        [batch.column("row").take(of), batch.column("times").take(of), pa.array(start), pa.array(n, pa.int32()),
                          pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))],
-                        ["row", "start", "n", "key", "digest"],
+                        ["row", "times", "start", "n", "key", "digest"],
                     )
 
-    return rows.select("row", "text").mapInArrow(run, "row long, start long, n int, key long, digest long")
+    return rows.select("row", "times", "text").mapInArrow(run, "row long, times long, start long, n int, key long, digest long")
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -119,25 +122,41 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the suffixes there, by ``depth`` bytes at least; what is equal so far keeps its order."""
-    end = len(words) - 1
+    """Places in the order of the suffixes there, by ``depth`` bytes at least; what is equal so far keeps its order.
+
+    Groups of equal ones look at eight bytes more in each round; only groups that differ there are sorted.
+    """
+    words = np.append(words, np.zeros(depth, np.uint64))
     places = places[np.argsort(words[places], kind="stable")]
-    if not len(places):
-        return places
-    active, group, word = np.arange(len(places)), np.zeros(len(places), np.int64), words[places]
-    step = 0
-    while True:
-        new = np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])]
-        group = np.cumsum(new) - 1
-        tied = np.bincount(group)[group] > 1
-        active, group = active[tied], group[tied]
-        step += 8
-        if not len(active) or step >= depth:
-            return places
-        word = words[np.minimum(places[active] + step, end)]
-        order = np.lexsort((word, group))
-        places[active] = places[active[order]]
-        word = word[order]
+    word = words[places]
+    active, at = np.arange(len(places)), places
+    new = np.append(True, word[1:] != word[:-1])[: len(places)]
+    first = np.flatnonzero(new)
+    for step in range(8, depth, 8):
+        sizes = np.diff(first, append=len(active))
+        if (sizes == 1).any():  # these are in place
+            tied = np.repeat(sizes > 1, sizes)
+            active, new = active[tied], new[tied]
+            at = places[active]
+            first = np.flatnonzero(new)
+            sizes = np.diff(first, append=len(active))
+        if not len(active):
+            break
+        word = words[at + step]
+        breaks = np.flatnonzero((word[1:] != word[:-1]) & ~new[1:])
+        if not len(breaks):
+            continue
+        differs = np.zeros(len(first), bool)
+        differs[np.searchsorted(first, breaks, "right") - 1] = True
+        some = np.flatnonzero(np.repeat(differs, sizes))
+        group = np.repeat(np.arange(len(first)), sizes)[some]
+        order = np.lexsort((word[some], group))
+        places[active[some]] = at[some[order]]
+        at = places[active]
+        group, word = group[order], word[some[order]]
+        new[some] = np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))
+        first = np.flatnonzero(new)
+    return places
 
 
 def suffix_array(data: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
@@ -215,53 +234,21 @@ def repeats(texts: list[bytes], windows: np.ndarray, times: np.ndarray, width: i
     return piece[a], a - begins[piece[a]], b - begins[piece[a]]
 
 
-PIECE = "key long, digest long, times long, n int, bytes binary"
-WINDOW = "key long, digest long, times long, place int, one long, two long"
-
-
-def _first(rows: DataFrame, width: int, kind: str, digest: bool) -> DataFrame:
-    """Rows without a candidate are finished; of the others the text waits. With the bytes of pieces, or their windows' hashes."""
+def _taken(rows: DataFrame, width: int) -> DataFrame:
+    """(key, digest, times, crowded, n, bytes) of each mark in ``rows``: the bytes of a piece."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART_BYTES):
-            found: list[list] = [[], []]
-            columns: list[list] = [[], [], []]
-            for text, hit, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "hit", "marks"))):
-                raw = text.encode()
-                some, apart = [], []
-                for m in marks or ():
-                    same = {k: m[k] for k in ("key", "digest", "times")}
-                    piece = raw[m["start"] : m["start"] + m["n"] + width - 1]
-                    if not m["crowded"]:
-                        some.append(same | {"n": m["n"], "bytes": piece})
-                        continue
-                    data = np.frombuffer(piece, np.uint8)
-                    at = np.arange(m["n"])
-                    one, two = (Sums(data, b).hashes(at, at + width).view(np.int64).tolist() for b in BASES)
-                    apart += [same | {"place": p, "one": x, "two": y} for p, (x, y) in enumerate(zip(one, two))]
-                found[0].append(some)
-                found[1].append(apart)
-                columns[0].append(len(raw))
-                columns[1].append(hashlib.sha256(raw).hexdigest() if digest and not hit else None)
-                columns[2].append(text if hit or not digest else None)
-            kinds = (pa.int64(), pa.string(), pa.string())
-            arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(found[0], lists[0]), pa.array(found[1], lists[1])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("hit"), *arrays],
-                ["doc_id", "row", "hit", "n_bytes", "sha256", "text", "pieces", "windows"],
-            )
-
-    longs = [(c, pa.int64()) for c in ("key", "digest", "times")]
-    lists = (
-        pa.list_(pa.struct([*longs, ("n", pa.int32()), ("bytes", pa.binary())])),
-        pa.list_(pa.struct([*longs, ("place", pa.int32()), ("one", pa.int64()), ("two", pa.int64())])),
-    )
-    typed = [", ".join(f"{n}:{t}" for n, t in (f.split() for f in s.split(", "))).replace("long", "bigint") for s in (PIECE, WINDOW)]
-    schema = (
-        f"doc_id {kind}, row long, hit boolean, n_bytes long, sha256 string, text string, "
-        f"pieces array<struct<{typed[0]}>>, windows array<struct<{typed[1]}>>"
-    )
-    return rows.select("doc_id", "row", "text", "hit", "marks").mapInArrow(run, schema)
+            marks = batch.column("marks")
+            flat = marks.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(marks).to_numpy())
+            starts, n = (pc.struct_field(flat, c) for c in ("start", "n"))
+            raw = batch.column("text").to_pylist()
+            some = [raw[o][a : a + m + width - 1] for o, a, m in zip(owner.tolist(), starts.to_pylist(), n.to_pylist())]
+            kept = [pc.struct_field(flat, c) for c in ("key", "digest", "times", "crowded")]
+            yield pa.RecordBatch.from_arrays([*kept, n, pa.array(some, pa.binary())], ["key", "digest", "times", "crowded", "n", "bytes"])
+
+    return rows.select("text", "marks").mapInArrow(run, "key long, digest long, times long, crowded boolean, n int, bytes binary")
 
 
 def _in_suffix_arrays(some: DataFrame, width: int) -> DataFrame:
@@ -279,46 +266,49 @@ def _in_suffix_arrays(some: DataFrame, width: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "key long, digest long, low int, high int")
 
 
+def find(rows: DataFrame, width: int, cells: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Where windows of ``rows`` (row, times, text) occur again; a text counts ``times`` times.
+
+    The pieces that may hold some, (key, digest, row, start), and the ranges of repeated windows in each kind of them,
+    (key, digest, ranges). Both are stored, as all tables between the steps are, so that joins can split a frequent key.
+    """
+    spark = rows.sparkSession
+    cut = stored(spark, _cut(rows, width, cells[0]), "suffix-pieces")
+    again = stored(spark, cut.groupBy("key").agg(F.sum("times").alias("all")).where("all > 1").select("key"), "suffix-keys")
+    hits = stored(spark, cut.join(again, "key"), "suffix-hits")
+    kinds = hits.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.min(F.struct("row", "start", "n")).alias("one"))
+    kinds = stored(spark, kinds, "suffix-kinds")
+    crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > KINDS if len(cells) > 1 else F.lit(False))
+    crowded = stored(spark, crowded.select("key", F.lit(True).alias("crowded")), "suffix-crowded")
+    mark = F.struct("key", "digest", "times", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.col("one.start").alias("start"), F.col("one.n").alias("n"))
+    marks = kinds.join(crowded, "key", "left").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(mark).alias("marks"))
+    taken = stored(spark, _taken(rows.join(stored(spark, marks, "suffix-marks"), "row"), width), "suffix-taken")
+    found = _in_suffix_arrays(taken.where(~F.col("crowded")), width)
+    if not crowded.isEmpty():
+        apart = taken.where("crowded").select(F.xxhash64("key", "digest").alias("row"), "times", F.col("bytes").alias("text"), "key", "digest")
+        inner, ranges = find(apart, width, cells[1:])
+        spans = inner.join(ranges, ["key", "digest"]).select("row", "start", F.explode("ranges").alias("r"))
+        spans = spans.select("row", (F.col("start") + F.col("r.low")).cast("int").alias("low"), (F.col("start") + F.col("r.high")).cast("int").alias("high"))
+        found = found.unionByName(spans.distinct().join(apart.select("row", "key", "digest").distinct(), "row").drop("row"))
+    ranges = found.groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return hits.select("key", "digest", "row", "start"), stored(spark, ranges, "suffix-ranges")
+
+
 def deduplicate(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that are left (binary).
 
     A byte goes if ``width`` bytes over it occur anywhere else, in its own or any other row, overlaps included; all are
     judged on the input, so no copy stays. Texts are UTF-8; what is left need not be. Null and empty texts have no
-    bytes. A repeated row is a repeat of itself. With ``digest`` the column kept_sha256 takes the place of kept, and texts
-    without repeats are not written anywhere. Rows are told apart by 64 bits of id and text, equal pieces by 128 bits;
-    windows are compared byte by byte, except those of keys with more than KINDS pieces. Of ``docs`` only doc_id and text are looked at.
+    bytes. A repeated row is a repeat of itself. With ``digest`` the column kept_sha256 takes the place of kept. Rows are told
+    apart by 64 bits of id and text, equal pieces by 128 bits; windows are compared byte by byte. Of ``docs`` only doc_id and
+    text are looked at.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = with_text(docs, "text", "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
-    cut = _cut(rows, width)
-    again = stored(spark, cut.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "suffix-keys")
-    hits = stored(spark, cut.join(again, "key"), "suffix-hits")
-    kinds = hits.groupBy("key", "digest").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n")).alias("one"))
-    kinds = stored(spark, kinds, "suffix-kinds")
-    crowded = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > KINDS).select("key", F.lit(True).alias("crowded"))
-    one = kinds.join(stored(spark, crowded, "suffix-crowded"), "key", "left").select(
-        F.col("one.row").alias("row"),
-        F.struct("key", "digest", "times", F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("mark"),
-    )
-    rest = hits.select("row").distinct().select("row", F.lit(None).cast(one.schema["mark"].dataType).alias("mark"))
-    marks = one.unionByName(rest).groupBy("row").agg(F.collect_list("mark").alias("marks"), F.lit(True).alias("hit"))
-    marked = rows.join(marks, "row", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    first = stored(spark, _first(marked, width, kind, digest), "suffix-first")
-    found = _in_suffix_arrays(first.select(F.explode("pieces").alias("p")).select("p.*"), width)
-    windows = first.select(F.explode("windows").alias("w")).select("w.*").distinct()  # a repeated row has its windows once
-    twice = windows.groupBy("one", "two").agg(F.sum("times").alias("all")).where("all > 1").select("one", "two")
-    apart = windows.join(twice, ["one", "two"]).select("key", "digest", F.col("place").alias("low"), (F.col("place") + 1).alias("high"))
-    # One row per piece, so that the join with its occurrences has one partner each.
-    ranges = found.unionByName(apart).groupBy("key", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    ranges = stored(spark, ranges, "suffix-ranges")
+    rows = with_text(docs, "text", "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
+    hits, ranges = find(rows.select("row", F.lit(1).cast("long").alias("times"), "text"), width, (first_cell(width), *CELLS))
     spans = hits.join(ranges, ["key", "digest"]).groupBy("row").agg(F.collect_set(F.struct("start", "ranges")).alias("spans"))
-    waiting = first.where("hit").select("doc_id", "row", "text").join(spans, "row", "left")
-    done = first.where(~F.col("hit")).select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.col("sha256").alias("kept_sha256") if digest else F.col("text").cast("binary").alias("kept"),
-    )
-    return done.unionByName(_second(waiting, width, kind, digest))
+    return _second(rows.join(stored(spark, spans, "suffix-spans"), "row", "left"), width, kind, digest)
 
 
 def removed(size: int, spans: Iterable[tuple[int, int]]) -> tuple[np.ndarray, int]:
@@ -335,8 +325,7 @@ def _second(rows: DataFrame, width: int, kind: str, digest: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART_BYTES):
             columns: list[list] = [[], [], [], []]
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                raw = text.encode()
+            for raw, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 each = ((m["start"] + r["low"], m["start"] + r["high"] + width - 1) for m in marks or () for r in m["ranges"])
                 gone, n = removed(len(raw), each)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()

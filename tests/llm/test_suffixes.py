@@ -36,7 +36,7 @@ def test_removed_bytes_as_by_brute_force(spark, odd_docs, no_docs, monkeypatch):
         want = removed(rows, width)
         plain = lambda found: [x.replace("bytearray(", "").replace("'))", "')").replace('"))', '")') for x in found]
         assert plain(got(width)) == want
-        monkeypatch.setattr(suffix_dedup, "KINDS", 1)  # keys taken apart into windows
+        monkeypatch.setattr(suffix_dedup, "KINDS", 1)  # all levels
         assert plain(got(width)) == want
         monkeypatch.setattr(suffix_dedup, "KINDS", 256)
         monkeypatch.setattr(suffix_dedup, "PART_BYTES", 500)  # long texts in parts
