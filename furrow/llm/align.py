@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from .bpe import byte_letters
 from .text import slices, stored, with_text
 
-#: Bytes of text tokenized together, and tokens of A that one lane of the merge holds.
+#: Bytes of text aligned together, and tokens of A that one lane of the merge holds.
 SLICE_BYTES, LANE = 1 << 20, 512
-#: Longer texts are tokenized in parts; they are cut at single spaces, which no token of either kind reaches across.
-PART_CHARS = 1 << 18
+#: Texts are tokenized by chunks, between single spaces, which no token of either kind reaches across. A task remembers so many
+#: chunks of so many characters at most; what it encodes together has about so many characters.
+REMEMBERED, CHUNK, PART_CHARS = 300_000, 64, 1 << 18
 #: A group with more links is counted by its distinct ids and their numbers, instead of link by link.
 WIDE = 1 << 12
 #: Pairs a task counts before it gives them out, and pairs whose counts every task holds at a time.
@@ -70,8 +73,8 @@ class Bytewise:
         for name, i in names.items():
             self.bytes[i] = bytes(value[c] for c in name) if all(c in value for c in name) else name.encode()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for some in bounded(texts) for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for some in bounded(texts) for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
 
 
 class Piecewise:
@@ -86,8 +89,8 @@ class Piecewise:
             bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)
         ]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for some in bounded(texts) for ids in self.model.encode(some, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids for some in bounded(texts) for ids in self.model.encode(some, num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -95,18 +98,13 @@ def tokenizers(path_a: str, path_b: str) -> tuple[Bytewise, Piecewise]:
     return tuple(kind(p if "/" in p else SparkFiles.get(p)) for kind, p in ((Bytewise, path_a), (Piecewise, path_b)))
 
 
-def parts(text: str, limit: int = PART_CHARS) -> list[str]:
-    """The text in parts that begin at a single space between two other characters, where no token reaches across."""
-    out, at = [], 0
-    while len(text) - at > limit:
-        cut = text.find(" ", at + limit)
-        while cut >= 0 and (cut + 1 == len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+#: A single space between two other characters.
+GAP = re.compile(r" (?=\S)(?<=\S )")
+
+
+def chunks(text: str) -> list[str]:
+    """The text between its gaps: A's tokens of space + text are those of space + chunk in turn, and B's those of the chunks."""
+    return GAP.split(text) if text else []
 
 
 @dataclass
@@ -118,31 +116,76 @@ class Tokens:
     starts: np.ndarray
 
 
-def _row(ids: list[np.ndarray], sizes: np.ndarray) -> Tokens:
-    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
-    return Tokens(flat, np.cumsum(sizes[flat]), starts)
-
-
-def encoded(texts: list[str], a: Bytewise, b: Piecewise) -> tuple[Tokens, Tokens]:
-    """Tokens of space + text; a text whose bytes either tokenizer changes has none, and neither has an empty one."""
-    pieces = [parts(t) if t else [] for t in texts]
-    flat = [(k, p) for k, some in enumerate(pieces) for p in enumerate(some)]
-    by_a = a.encode([p if n else " " + p for _, (n, p) in flat])
-    by_b = b.encode([p[1:] if n else p for _, (n, p) in flat])
-    joined: list[list[list[np.ndarray]]] = [[[], []] for _ in texts]
-    for (k, _), x, y in zip(flat, by_a, by_b):
-        joined[k][0].append(x)
-        joined[k][1].append(y)
-    none = np.empty(0, np.int64)
-    kept: tuple[list, list] = ([], [])
-    for text, both in zip(texts, joined):
-        ids = [np.concatenate(x) if x else none for x in both]
-        want = b" " + text.encode() if text else b""
-        same = all(b"".join(map(kind.bytes.__getitem__, i.tolist())) == want for kind, i in zip((a, b), ids))
-        for out, i in zip(kept, ids):
-            out.append(i if same else none)
-    return tuple(_row(ids, np.array([len(x) for x in kind.bytes], np.int64)) for ids, kind in zip(kept, (a, b)))
+class Side:
+    """The ids of the chunks a task has met, in one row."""
+
+    def __init__(self, kind: Bytewise | Piecewise) -> None:
+        self.kind = kind
+        self.sizes = np.array([len(x) for x in kind.bytes], np.int64)
+        self.ids, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, texts: list[str], want: list[str]) -> np.ndarray:
+        """Adds the ids of the texts; whether they give the bytes wanted."""
+        new = self.kind.encode(texts)
+        n = np.array(list(map(len, new)), np.int64)
+        flat = list(chain.from_iterable(new))
+        ids = np.array(flat, np.int64)
+        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+        raw = [w.encode() for w in want]
+        sizes = np.bincount(np.repeat(np.arange(len(new)), n), self.sizes[ids], len(new))
+        if (sizes == list(map(len, raw))).all() and b"".join(map(self.kind.bytes.__getitem__, flat)) == b"".join(raw):
+            return np.ones(len(new), bool)
+        return np.array([b"".join(map(self.kind.bytes.__getitem__, x)) == w for x, w in zip(new, raw)], bool)
+
+    def row(self, codes: np.ndarray, owner: np.ndarray, n_texts: int) -> Tokens:
+        """The tokens of chunks by their codes; ``owner`` is the text of each."""
+        n = self.n[codes]
+        run, place = _spread(n)
+        ids = self.ids[(np.cumsum(self.n) - self.n)[codes][run] + place]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(owner, n, n_texts))]).astype(np.int64)
+        return Tokens(ids, np.cumsum(self.sizes[ids]), starts)
+
+
+class Encoder:
+    """Both tokenizers, and what a task remembers of them."""
+
+    def __init__(self, a: Bytewise, b: Piecewise) -> None:
+        self.kinds = a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.sides = [Side(kind) for kind in self.kinds]
+        self.same = np.empty(0, bool)
+
+    def tokens(self, texts: list[str | None]) -> tuple[Tokens, Tokens]:
+        """Tokens of space + text; a text whose bytes either tokenizer changes has none, and neither has an empty one."""
+        pieces = [chunks(t or "") for t in texts]
+        if len(self.code) > REMEMBERED:
+            self.forget()
+        flat = list(chain.from_iterable(pieces))
+        new = list(set(flat).difference(self.code))
+        new.sort(key=lambda p: len(p) > CHUNK)  # long ones come last, and are forgotten after this batch
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        if new:
+            spaced = [" " + p for p in new]
+            same = [side.learn(given, spaced) for side, given in zip(self.sides, (spaced, new))]
+            self.same = np.concatenate([self.same, same[0] & same[1]])
+        codes = np.array(list(map(self.code.__getitem__, flat)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), list(map(len, pieces)))
+        changed = np.bincount(owner[~self.same[codes]], minlength=len(texts)) > 0
+        kept = ~changed[owner]
+        a, b = (side.row(codes[kept], owner[kept], len(texts)) for side in self.sides)
+        keep = len(self.code)
+        for chunk in reversed(new):
+            if len(chunk) <= CHUNK:
+                break
+            keep = self.code.pop(chunk)
+        for side in self.sides:
+            side.n = side.n[:keep]
+            side.ids = side.ids[: side.n.sum()]
+        self.same = self.same[:keep]
+        return a, b
 
 
 @dataclass
@@ -289,15 +332,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     ``row`` is a number of the row; ``links`` are its distinct linked pairs of ids with their numbers of links, packed; see
     :func:`link_table` for them as rows. Null and empty texts, and texts that a tokenizer does not give back byte for
     byte (unknown characters, U+2581), have no tokens. Repeated rows stay and are documents of their own. Other columns are not
-    looked at. Texts are tokenized whole: parts of long ones are cut where no token reaches across.
+    looked at. Whole texts are tokenized: their chunks are cut where no token reaches across.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = tokenizers(path_a, path_b)
+        encoder = Encoder(*kinds)
         n_names = max(len(k.bytes) for k in kinds)
         number = TaskContext.get().partitionId() << 40
         for batch in (s.slice(at, ROWS) for s in slices(batches, "text", SLICE_BYTES) for at in range(0, s.num_rows, ROWS)):
-            a, b = encoded(batch.column("text").to_pylist(), *kinds)
+            a, b = encoder.tokens(batch.column("text").to_pylist())
             found = merge(a, b)
             n = batch.num_rows
             owner, pairs, times = linked(found, a, b)

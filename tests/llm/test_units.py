@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from furrow.llm import align, fill_middle
 from furrow.llm.queries import tokenizer
@@ -147,12 +146,18 @@ def test_lanes_and_wide_groups_change_nothing(monkeypatch):
         assert size == sum(found[0][1][2])
 
 
-@pytest.mark.parametrize("limit", [1, 10, 100])
-def test_parts_of_a_text_have_the_tokens_of_the_whole(limit):
+def test_chunks_of_a_text_have_the_tokens_of_the_whole(monkeypatch):
     a, b = align.tokenizers(*PATHS)
     rng = random.Random(2)
-    text = "".join(rng.choice([" ", "  ", "word", "é", "12", "\n", "'s", "x y", ".", "日"]) for _ in range(600)) + " " + " ".join(ODD)
-    pieces = align.parts(text, limit)
-    assert "".join(pieces) == text and len(pieces) > 5
-    assert np.concatenate(a.encode([p if k else " " + p for k, p in enumerate(pieces)])).tolist() == a.encode([" " + text])[0].tolist()
-    assert np.concatenate(b.encode([p[1:] if k else p for k, p in enumerate(pieces)])).tolist() == b.encode([text])[0].tolist()
+    odd = [" ", "  ", "word", "é", "12", "\n", "'s", "x y", ".", "日", "\xa0", "\x1c", "\u3000", "-- ", "l" * 70, "\t "]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(80))) for _ in range(300)] + ODD
+    texts = [t for t in texts if "▁" not in t]
+    assert all(" ".join(align.chunks(t)) == t for t in texts) and max(len(align.chunks(t)) for t in texts) > 5
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+    encoder = align.Encoder(a, b)
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        for side, kind, space in zip(encoder.tokens(some), (a, b), (" ", "")):
+            whole = kind.encode([space + t for t in some if t])
+            got = [side.ids[x:y].tolist() for x, y in zip(side.starts, side.starts[1:])]
+            assert [g for g, t in zip(got, some) if t] == whole
