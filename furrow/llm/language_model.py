@@ -195,25 +195,37 @@ def build(values: np.ndarray, counts: np.ndarray, load: float = LOAD) -> Filter:
     return Filter(part)
 
 
-ROW = "slice long, doc_id {kind}, held_out boolean, text string"
-LEVELS = "slice long, segment int, levels binary"
+ROW = "slice long, place int, doc_id {kind}, held_out boolean, text string"
+#: A part is ``size`` rows of a slice from ``place`` on, as one task has read them together.
+PART = "slice long, place int, size int"
+LEVELS = f"{PART}, segment int, levels binary"
 
 
 def sliced(rows: DataFrame, kind: str) -> DataFrame:
-    """The rows, each with the number of a slice; a slice has bounded bytes, or one text."""
+    """The rows, each with the number of a slice and its place there; a slice has bounded bytes, or one text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(batch.num_rows, number)), *(batch.column(c) for c in ("doc_id", "held_out", "text"))], ["slice", "doc_id", "held_out", "text"]
+                [pa.array(np.full(batch.num_rows, number)), pa.array(np.arange(batch.num_rows, dtype=np.int32)), *(batch.column(c) for c in ("doc_id", "held_out", "text"))],
+                ["slice", "place", "doc_id", "held_out", "text"],
             )
             number += 1
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, ROW.format(kind=kind))
 
 
-def slice_pairs(group: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each slice that a batch holds, which may be a part of the slice."""
+    numbers = batch.column("slice").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def slice_pairs(group: pa.Table | pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, tokens per text, distinct pairs in order, place of each token's pair among them, is the text held out)."""
     flat, sizes = sequence(group)
     codes, distinct = pd.factorize(np.array(flat, dtype=object))
@@ -231,18 +243,20 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(each, dtype=np.uint64)
 
 
-def pair_levels(parts: DataFrame, n_ranges: int) -> DataFrame:
-    """(slice, segment, levels): per slice and range the levels of its distinct pairs, in the order of their hashes."""
+def pair_levels(slices_: DataFrame, n_ranges: int) -> DataFrame:
+    """(slice, place, size, segment, levels): per part and range the levels of its distinct pairs, in the order of their hashes."""
     load = LOAD
 
-    def gather(group: pa.Table) -> pa.Table:
-        _, sizes, values, place, held_out = slice_pairs(group)
-        n = np.bincount(place[np.repeat(~held_out, sizes)], minlength=len(values)).astype(np.uint32)
-        cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
-        rows = [(s, packed(values[a:b]), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        number = group.column("slice")[0].as_py()
-        columns = [pa.array([number] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))]
-        return pa.table(columns, names=["slice", "segment", "hashes", "counts"])
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts_of(batch)):
+            _, sizes, values, place, held_out = slice_pairs(part)
+            n = np.bincount(place[np.repeat(~held_out, sizes)], minlength=len(values)).astype(np.uint32)
+            cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
+            rows = [(s, packed(values[a:b]), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            whose = [(part.column("slice")[0].as_py(), pa.int64()), (part.column("place")[0].as_py(), pa.int32()), (part.num_rows, pa.int32())]
+            columns = [pa.array([v] * len(rows), k) for v, k in whose]
+            columns += [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "place", "size", "segment", "hashes", "counts"])
 
     def probe(group: pa.Table) -> pa.Table:
         each = [unpacked(x) for x in group.column("hashes").to_pylist()]
@@ -250,9 +264,9 @@ def pair_levels(parts: DataFrame, n_ranges: int) -> DataFrame:
         values = np.concatenate(each)
         filter_ = build(values[counts > 0], counts[counts > 0], load)
         found = [filter_.level(x).astype(np.uint8).tobytes() for x in each]
-        return pa.table([group.column("slice"), group.column("segment"), pa.array(found, pa.binary())], names=["slice", "segment", "levels"])
+        return group.select(["slice", "place", "size", "segment"]).append_column("levels", pa.array(found, pa.binary()))
 
-    pairs = parts.groupBy("slice").applyInArrow(gather, "slice long, segment int, hashes binary, counts binary")
+    pairs = slices_.mapInArrow(gather, f"{PART}, segment int, hashes binary, counts binary")
     return pairs.groupBy("segment").applyInArrow(probe, LEVELS)
 
 
@@ -260,16 +274,14 @@ def rare_counts(parts: DataFrame, table, counts: DataFrame) -> DataFrame:
     """(slice, token, n): the counts of the words of each slice that ``table`` does not hold; none for unknown ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            numbers = batch.column("slice").to_numpy()
-            for number in np.unique(numbers):
-                flat, _ = sequence(batch.filter(pa.array(numbers == number)))
-                place, codes, distinct = table.value.places(flat)
-                rare = list(distinct[np.unique(codes[place < 0])])
-                if rare:
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rare), pa.int64()), pa.array(rare, pa.string())], ["slice", "token"])
-
-    # A word comes again where a slice is read in several batches, which is harmless.
+        for part in (p for batch in batches for p in parts_of(batch)):
+            flat, _ = sequence(part)
+            place, codes, distinct = table.value.places(flat)
+            rare = list(distinct[np.unique(codes[place < 0])])
+            if rare:
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("slice")[0].as_py()] * len(rare), pa.int64()), pa.array(rare, pa.string())], ["slice", "token"])
+
+    # A word comes again where a slice is read in several parts, which is harmless.
     asked = parts.select("slice", "text").mapInArrow(run, "slice long, token string")
     return asked.join(counts, "token").select("slice", "token", "n")
 
@@ -285,19 +297,28 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_text(docs, "text", "doc_id").select("doc_id", "text", is_held_out().alias("held_out"))
     parts = stored(spark, sliced(rows, kind), "lm-slices")
-    counts = stored(spark, word_counts(parts.where(~F.col("held_out"))), "lm-words")
+    counts = stored(spark, word_counts(rows.where(~F.col("held_out"))), "lm-words")
     words = frequent(counts)
     table = spark.sparkContext.broadcast(words)
-    pairs = pair_levels(parts, ranges(words.total)).select("slice", "segment", "levels", F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("n"))
-    rare = rare_counts(parts, table, counts).select("slice", F.lit(None).cast("int").alias("segment"), F.lit(None).cast("binary").alias("levels"), "token", "n")
+    pairs = pair_levels(parts, ranges(words.total))
+    rare = rare_counts(parts, table, counts)
+    facts = pairs.unionByName(rare, allowMissingColumns=True)
 
     def run(group: pa.Table, facts: pa.Table) -> pa.Table:
         known = table.value
-        flat, sizes, _, pair, held_out = slice_pairs(group)
+        group = group.sort_by("place")
+        flat, sizes, _, _, held_out = slice_pairs(group)
         place, codes, distinct = known.places(flat)
-        is_pair = facts.column("levels").is_valid()
-        found = facts.filter(is_pair).sort_by("segment").column("levels").to_pylist()
-        level = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)[pair]
+        found = facts.filter(facts.column("levels").is_valid()).sort_by([("place", "ascending"), ("segment", "ascending")])
+        firsts, counted = found.column("place").to_numpy(), found.column("size").to_numpy()
+        level = np.empty(len(flat) - 1, np.int64)
+        end = 0
+        for first in np.unique(firsts):
+            mine = np.flatnonzero(firsts == first)
+            pair = slice_pairs(group.slice(int(first), int(counted[mine[0]])))[3]
+            data = b"".join(found.column("levels").slice(mine[0], len(mine)).to_pylist())
+            level[end : end + len(pair)] = np.frombuffer(data, np.uint8)[pair]
+            end += len(pair)
         others = facts.filter(facts.column("token").is_valid())
         n_of = dict(zip(others.column("token").to_pylist(), others.column("n").to_pylist()))
         n = np.zeros(len(distinct), np.int64)
@@ -316,5 +337,5 @@ def score(docs: DataFrame) -> DataFrame:
         )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = parts.groupBy("slice").cogroup(pairs.unionByName(rare).groupBy("slice")).applyInArrow(run, schema)
+    scored = parts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(run, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
