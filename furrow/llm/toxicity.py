@@ -37,11 +37,13 @@ PIECE = 24
 #: Landmarks of either kind, and the training words of the machine.
 LANDMARKS, POSITIVES, NEGATIVES = 128, 600, 6000
 #: Words whose features are made together.
-TOGETHER = 20_000
+TOGETHER = 2000
+#: Bytes of text that are word lists at a time.
+SLICE_BYTES = 1 << 20
 #: Rounds in which the clean words the machine finds most toxic join the negatives.
 HARD_ROUNDS, HARD = 2, 2000
 #: Words a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 SPELLED = re.compile(r"(?<!\S)(?:\w[ .*_-]){2,}\w(?!\w)")
 EDGES = string.punctuation + "«»“”„…–—¿¡"
@@ -194,7 +196,7 @@ def _document_margins(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             margins = judge.margins(texts(batch))
             figures = [pa.array(x) for x in (margins[:, 0].copy(), margins[:, 1].copy(), shared.value.score(margins))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *figures], [*keep, "margin", "second", "score"])
@@ -300,7 +302,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             yield batch.filter(pa.array(shared.value.score(judge.margins(texts(batch))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
