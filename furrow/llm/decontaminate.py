@@ -3,8 +3,9 @@
 A window of as many words as an item matches it if the weighted Jaccard similarity of their shingles of five words (an
 item of fewer words is one shingle; weights count repeats) is at least 0.8. A document of fewer words than an item is one
 window, all of it. Windows too poor in shingles of any item of
-their size to reach that are not fingerprinted, which loses nothing. The others get a 64-bit fingerprint; items that
-agree with it in one of RADIUS + 1 blocks of bits include all within RADIUS, and these are compared exactly.
+their size to reach that are not fingerprinted, which loses nothing. The others get a 64-bit fingerprint, in which a
+shingle that repeats inside the window counts as another one each time; items that agree with it in one of RADIUS + 1
+blocks of bits include all within RADIUS, and these are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import mix, slices, texts, window_hashes, with_text, word_hashes
+from .text import BASES, mix, slices, stored, texts, window_hashes, with_text, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 fingerprints differ in 10 of 64 bits on average, with a deviation of 3.
 RADIUS, BITS = 24, 64
 #: Items looked for in one pass over the documents, all of which every task holds.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 64 << 20
+#: Windows summed up together, and shingles of windows with repeats that are labelled together.
+WINDOW_SHINGLES = 20_000
 
 WORD = re.compile(r"\w+")
 
@@ -37,12 +41,33 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return window_hashes(words, width)
 
 
+def labelled(rows: np.ndarray) -> np.ndarray:
+    """Each row's shingles, a repeated one changed by how often it came before in the row."""
+    order = np.argsort(rows, axis=1, kind="stable")
+    values = np.take_along_axis(rows, order, axis=1)
+    place = np.arange(rows.shape[1])
+    new = np.concatenate([np.ones((len(rows), 1), bool), values[:, 1:] != values[:, :-1]], axis=1)
+    times = (place - np.maximum.accumulate(np.where(new, place, 0), axis=1)).astype(np.uint64)
+    out = np.empty_like(rows)
+    np.put_along_axis(out, order, np.where(times > 0, mix(values + times * BASES[1]), values), axis=1)
+    return out
+
+
 def signs(values: np.ndarray) -> np.ndarray:
     """Per shingle its 64 bits as -1 and 1."""
     bits = np.unpackbits(mix(values).view(np.uint8).reshape(-1, 8), axis=1)
     return bits.astype(np.int32) * 2 - 1
 
 
+def last_before(values: np.ndarray) -> np.ndarray:
+    """Place of the same value before, or -1."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
 
@@ -63,7 +88,7 @@ class Items:
     grams: list[np.ndarray] = field(default_factory=list)
 
     def finish(self) -> Items:
-        self.prints = np.array([fingerprint(signs(g).sum(axis=0, keepdims=True))[0] for g in self.grams], np.uint64)
+        self.prints = np.array([fingerprint(signs(labelled(g[None])[0]).sum(axis=0, keepdims=True))[0] for g in self.grams], np.uint64)
         cuts = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
         self.tables = []
@@ -126,11 +151,20 @@ class Index:
             starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)] or [lo]))
             if not len(starts):
                 continue
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+            runs = np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1)
+            for part in (run[k : k + WINDOW_SHINGLES] for run in runs for k in range(0, len(run), WINDOW_SHINGLES)):
                 first = part[0]
                 total = np.zeros((part[-1] + n - first + 1, BITS), np.int32)
                 np.cumsum(signs(g[first : part[-1] + n]), axis=0, out=total[1:])
                 prints = fingerprint(total[part - first + n] - total[part - first])
+                # The sums hold a shingle as often as it occurs; windows with repeats are added up anew, labelled.
+                before = last_before(g[first : part[-1] + n])
+                again = np.concatenate([[0], np.cumsum(before >= 0)])
+                mixed = np.flatnonzero(again[part - first + n] > again[part - first])
+                step = max(1, WINDOW_SHINGLES // n)
+                for some in (mixed[k : k + step] for k in range(0, len(mixed), step)):
+                    rows = labelled(g[part[some, None] + np.arange(n)])
+                    prints[some] = fingerprint(signs(rows.ravel()).reshape(len(some), n, BITS).sum(axis=1))
                 for start, print_ in zip(part.tolist(), prints):
                     for i in items.near(print_):
                         alike = weighted_jaccard(g[start : start + n], items.grams[i])
@@ -189,14 +223,18 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                     ["doc_id", "item_id", "start_word", "n_words", "similarity"],
                 )
 
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[items.schema["item_id"].dataType.simpleString()]
+        kind = to_arrow_type(items.schema["item_id"].dataType)
         out = out.unionByName(narrow.mapInArrow(run, schema))
     return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
-    for block in blocks(items):
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    With more items than one block holds, what a block leaves is written before the next, so that tasks hold one block.
+    """
+    parts = blocks(items)
+    for k, block in enumerate(parts):
         index = _index(docs.sparkSession, block)
 
         def run(batches: Iterable[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -204,4 +242,6 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not index.value.matches(words) for words in _hashed(batch)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if k < len(parts) - 1:
+            docs = stored(docs.sparkSession, docs, "clean-so-far")
     return docs

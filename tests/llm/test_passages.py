@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from furrow.llm import decontaminate, near_dedup, substring_dedup
 from furrow.llm.substring_dedup import WIDTH
@@ -141,6 +142,33 @@ def test_documents_that_are_shortened_items(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()} == {4, 5, 6}
 
 
+def test_passages_with_a_filler_are_found(spark):
+    rng = random.Random(8)
+    docs, items, alike = [], [], {}
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        at = (0, 91, 182)[k % 3]
+        changed = words[:at] + ["na"] * (22 if at != 91 else 18) + words[at + (22 if at != 91 else 18) :]
+        grams = [collections.Counter(tuple(w[i : i + 5]) for i in range(200)) for w in (words, changed)]
+        alike[k] = sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values())
+        items.append((k, " ".join(words)))
+        docs.append((k, "before " + " ".join(changed) + " after"))
+    assert 0.8 <= min(alike.values()) < 0.82
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for kind in ("smallint", "decimal(9,0)", "string"):
+        table = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        found = decontaminate.matches(docs, table)
+        assert found.schema["item_id"].dataType.simpleString() == kind
+        assert {(r["doc_id"], int(r["item_id"])) for r in found.collect()} == {(k, k) for k in range(60)}
+
+
+def test_repeats_are_labelled():
+    rows = np.array([[5, 7, 5, 5, 9], [1, 2, 3, 4, 5]], np.uint64)
+    got = decontaminate.labelled(rows)
+    assert got[1].tolist() == rows[1].tolist() and len(set(got[0].tolist())) == 5 and got[0, [0, 1, 4]].tolist() == [5, 7, 9]
+    assert decontaminate.last_before(rows[0]).tolist() == [-1, -1, 0, 2, -1]
+
+
 def test_items_in_blocks_give_the_same(spark, odd_docs, passages, monkeypatch):
     table = spark.createDataFrame([(i, t) for i, t in enumerate(passages[:30])], "item_id long, text string")
     one = sorted(map(str, decontaminate.matches(odd_docs, table).collect()))

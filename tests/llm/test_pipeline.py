@@ -106,7 +106,7 @@ def test_stages_over_no_documents(spark):
 
 def test_registered():
     names = driver.queries().keys()
-    assert {*corpus_pipeline.QUERIES} <= names and len([n for n in names if re.match(r"op\d+_", n)]) == 10 and "pipeline" in names
+    assert {*corpus_pipeline.QUERIES} <= names and len([n for n in names if re.match(r"op\d+_", n)]) == 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", list(corpus_pipeline.SQL))
