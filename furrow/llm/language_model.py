@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .text import BASES, mix, remainder, slices, stored, texts, with_text, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-#: Stands for the end of a text; white space is never a word.
-END = "\n"
+#: Stands for the end of a text; no byte of UTF-8.
+END = b"\xff"
 #: Most words whose counts every task holds, most bits of one range's filter, hash functions, and share of bits set in it.
 VOCABULARY, BITS, PROBES, LOAD = 200_000, 1 << 28, 3, 0.25
 #: Pairs are counted by range of their hash, and each range has its own filter. There are as many ranges, a
@@ -34,14 +35,14 @@ LEAST_RANGES, MOST_RANGES, RANGE_TOKENS = 1 << 8, 1 << 20, 2_000_000
 #: Least count of a pair; weight of the pair's share of its first word, against the word probability.
 LEAST, SHARE = 1, 0.15
 MOST_LEVELS = 48
+#: Bits of a pair's hash beyond those of its range. Two of some million pairs of a range share them once in 10^4 times, much
+#: less often than a probe of the filter errs.
+HASH_BITS = 36
 
 
-SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
-
-def tokens(text: str) -> list[str]:
-    """Words between ASCII white space, A to Z in lower case, and the end."""
-    return [w for w in text.encode().lower().translate(SPACES).decode().split(" ") if w] + [END]
+def tokens(texts_: list[str]) -> list[bytes]:
+    """The tokens of several texts: words between ASCII white space, A to Z in lower case, and after each text the end."""
+    return b" ".join(chain.from_iterable((t.encode(), END) for t in texts_)).lower().split()
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -56,18 +57,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
         total: Counter = Counter()
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
 
         for batch in slices(batches, "text"):
-            for text in texts(batch):
-                total.update(tokens(text))
+            total.update(tokens(texts(batch)))
             if len(total) > 300_000:
                 yield packed()
                 total.clear()
         if total:
             yield packed()
 
-    return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -83,10 +83,9 @@ class Frequent:
     def room(self) -> int:
         return self.total + self.types + 1
 
-    def places(self, tokens_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token its place in the table or -1, its number among the distinct tokens, and these."""
-        codes, distinct = pd.factorize(np.array(tokens_, dtype=object))
-        return self.index.get_indexer(distinct)[codes], codes, distinct
+    def places(self, distinct: np.ndarray) -> np.ndarray:
+        """The place of each token in the table, or -1."""
+        return self.index.get_indexer(distinct)
 
 
 def frequent(counts: DataFrame, most: int = VOCABULARY) -> Frequent:
@@ -104,20 +103,23 @@ def frequent(counts: DataFrame, most: int = VOCABULARY) -> Frequent:
     return Frequent(pd.Index(some["token"].astype(object)), some["n"].to_numpy(np.int64), total, types)
 
 
-def pair_hashes(codes: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """A hash, never 0, for each token but the first and the one before it."""
-    h = word_hashes(list(distinct))[codes]
-    return mix(h[:-1] * BASES[0] + h[1:]) | np.uint64(1)
+@dataclass
+class Sequence:
+    """The tokens of some texts with an end in front, as numbers of the distinct ones, and the number of tokens of each text."""
+
+    codes: np.ndarray
+    distinct: np.ndarray
+    sizes: np.ndarray
+
+    def pair_hashes(self, shift: int) -> np.ndarray:
+        """A hash, never 0, for each token but the first and the one before it; its last ``shift`` bits are 0."""
+        h = word_hashes(list(self.distinct))[self.codes]
+        return (mix(h[:-1] * BASES[0] + h[1:]) >> np.uint64(shift) | np.uint64(1)) << np.uint64(shift)
 
 
-def sequence(batch: pa.RecordBatch | pa.Table) -> tuple[list[str], np.ndarray]:
-    """All tokens of a slice with an end in front of the first text, and the number of tokens of each text."""
-    flat, sizes = [END], []
-    for text in texts(batch):
-        mine = tokens(text)
-        flat += mine
-        sizes.append(len(mine))
-    return flat, np.array(sizes, np.int64)
+def sequence(batch: pa.RecordBatch | pa.Table) -> Sequence:
+    codes, distinct = pd.factorize(np.array([END, *tokens(texts(batch))], dtype=object))
+    return Sequence(codes, distinct, np.diff(np.flatnonzero(codes == 0)))
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -135,6 +137,11 @@ def ranges(tokens_: int) -> int:
     return min(max(LEAST_RANGES, 1 << max(0, -(-tokens_ // RANGE_TOKENS) - 1).bit_length()), MOST_RANGES)
 
 
+def shift_of(n: int) -> int:
+    """Bits of a hash that are left out with ``n`` ranges."""
+    return max(0, 65 - n.bit_length() - HASH_BITS)
+
+
 def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """The range, out of ``n``, from the upper bits of a hash."""
     return (hashes >> np.uint64(65 - n.bit_length())).astype(np.int64)
@@ -225,41 +232,35 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def slice_pairs(group: pa.Table | pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, tokens per text, distinct pairs in order, place of each token's pair among them, is the text held out)."""
-    flat, sizes = sequence(group)
-    codes, distinct = pd.factorize(np.array(flat, dtype=object))
-    values, place = np.unique(pair_hashes(codes, distinct), return_inverse=True)
-    return flat, sizes, values, place, np.array(group.column("held_out").to_pylist(), bool)
-
-
-def packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray, shift: int) -> bytes:
     """Ascending hashes as differences, byte by byte, so that the leading zeros compress."""
-    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.diff(values >> np.uint64(shift), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, shift: int) -> np.ndarray:
     each = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(each, dtype=np.uint64)
+    return np.cumsum(each, dtype=np.uint64) << np.uint64(shift)
 
 
 def pair_levels(slices_: DataFrame, n_ranges: int) -> DataFrame:
     """(slice, place, size, segment, levels): per part and range the levels of its distinct pairs, in the order of their hashes."""
-    load = LOAD
+    load, shift = LOAD, shift_of(n_ranges)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch)):
-            _, sizes, values, place, held_out = slice_pairs(part)
-            n = np.bincount(place[np.repeat(~held_out, sizes)], minlength=len(values)).astype(np.uint32)
+            found = sequence(part)
+            values, place = np.unique(found.pair_hashes(shift), return_inverse=True)
+            trains = np.repeat(~np.array(part.column("held_out").to_pylist(), bool), found.sizes)
+            n = np.bincount(place[trains], minlength=len(values)).astype(np.uint32)
             cuts = np.searchsorted(range_of(values, n_ranges), np.arange(n_ranges + 1))
-            rows = [(s, packed(values[a:b]), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows = [(s, packed(values[a:b], shift), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             whose = [(part.column("slice")[0].as_py(), pa.int64()), (part.column("place")[0].as_py(), pa.int32()), (part.num_rows, pa.int32())]
             columns = [pa.array([v] * len(rows), k) for v, k in whose]
             columns += [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["slice", "place", "size", "segment", "hashes", "counts"])
 
     def probe(group: pa.Table) -> pa.Table:
-        each = [unpacked(x) for x in group.column("hashes").to_pylist()]
+        each = [unpacked(x, shift) for x in group.column("hashes").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
         values = np.concatenate(each)
         filter_ = build(values[counts > 0], counts[counts > 0], load)
@@ -275,14 +276,13 @@ def rare_counts(parts: DataFrame, table, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts_of(batch)):
-            flat, _ = sequence(part)
-            place, codes, distinct = table.value.places(flat)
-            rare = list(distinct[np.unique(codes[place < 0])])
+            distinct = sequence(part).distinct
+            rare = distinct[table.value.places(distinct) < 0].tolist()
             if rare:
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("slice")[0].as_py()] * len(rare), pa.int64()), pa.array(rare, pa.string())], ["slice", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("slice")[0].as_py()] * len(rare), pa.int64()), pa.array(rare, pa.binary())], ["slice", "token"])
 
     # A word comes again where a slice is read in several parts, which is harmless.
-    asked = parts.select("slice", "text").mapInArrow(run, "slice long, token string")
+    asked = parts.select("slice", "text").mapInArrow(run, "slice long, token binary")
     return asked.join(counts, "token").select("slice", "token", "n")
 
 
@@ -300,30 +300,33 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(spark, word_counts(rows.where(~F.col("held_out"))), "lm-words")
     words = frequent(counts)
     table = spark.sparkContext.broadcast(words)
-    pairs = pair_levels(parts, ranges(words.total))
+    n_ranges = ranges(words.total)
+    shift = shift_of(n_ranges)
+    pairs = pair_levels(parts, n_ranges)
     rare = rare_counts(parts, table, counts)
     facts = pairs.unionByName(rare, allowMissingColumns=True)
 
     def run(group: pa.Table, facts: pa.Table) -> pa.Table:
         known = table.value
         group = group.sort_by("place")
-        flat, sizes, _, _, held_out = slice_pairs(group)
-        place, codes, distinct = known.places(flat)
+        tokens_ = sequence(group)
+        codes, distinct, sizes = tokens_.codes, tokens_.distinct, tokens_.sizes
+        hashes = tokens_.pair_hashes(shift)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         found = facts.filter(facts.column("levels").is_valid()).sort_by([("place", "ascending"), ("segment", "ascending")])
         firsts, counted = found.column("place").to_numpy(), found.column("size").to_numpy()
-        level = np.empty(len(flat) - 1, np.int64)
-        end = 0
+        level = np.empty(len(hashes), np.int64)
         for first in np.unique(firsts):
             mine = np.flatnonzero(firsts == first)
-            pair = slice_pairs(group.slice(int(first), int(counted[mine[0]])))[3]
+            where = slice(ends[first], ends[first + counted[mine[0]]])
             data = b"".join(found.column("levels").slice(mine[0], len(mine)).to_pylist())
-            level[end : end + len(pair)] = np.frombuffer(data, np.uint8)[pair]
-            end += len(pair)
+            level[where] = np.frombuffer(data, np.uint8)[np.unique(hashes[where], return_inverse=True)[1]]
         others = facts.filter(facts.column("token").is_valid())
         n_of = dict(zip(others.column("token").to_pylist(), others.column("n").to_pylist()))
+        place = known.places(distinct)
         n = np.zeros(len(distinct), np.int64)
-        n[codes[place >= 0]] = known.counts[place[place >= 0]]
-        for c in np.unique(codes[place < 0]):
+        n[place >= 0] = known.counts[place[place >= 0]]
+        for c in np.flatnonzero(place < 0):
             n[c] = n_of.get(distinct[c], 0)
         n = n[codes]
         before, n = n[:-1], n[1:]
@@ -331,7 +334,7 @@ def score(docs: DataFrame) -> DataFrame:
         value = np.log10(np.where(before > 0, (1 - SHARE) * own + SHARE * np.minimum(middle(level) / np.maximum(before, 1), 1), own))
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         return pa.table(
-            [group.column("doc_id"), pa.array(held_out), pa.array(sizes), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)),
+            [group.column("doc_id"), group.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)),
              pa.array(np.add.reduceat(np.log10(own), starts)), pa.array(np.add.reduceat(value, starts))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
