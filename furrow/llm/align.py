@@ -45,15 +45,11 @@ ROOM, ROWS = 1 << 24, 1 << 14
 
 def bounded(texts: list[str], limit: int = PART_CHARS) -> Iterator[list[str]]:
     """The texts in lists of about ``limit`` characters, as the libraries hold much more than the ids of what they encode."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text)
-        size += len(text)
-        if size >= limit:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+    part = np.cumsum(list(map(len, texts))) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts[a:b]
 
 
 class Bytewise:
@@ -121,21 +117,31 @@ class Side:
 
     def __init__(self, kind: Bytewise | Piecewise) -> None:
         self.kind = kind
+        self.space = " " if isinstance(kind, Bytewise) else ""  # B adds its own
         self.sizes = np.array([len(x) for x in kind.bytes], np.int64)
         self.ids, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def learn(self, texts: list[str], want: list[str]) -> np.ndarray:
-        """Adds the ids of the texts; whether they give the bytes wanted."""
-        new = self.kind.encode(texts)
-        n = np.array(list(map(len, new)), np.int64)
-        flat = list(chain.from_iterable(new))
-        ids = np.array(flat, np.int64)
-        self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
-        raw = [w.encode() for w in want]
-        sizes = np.bincount(np.repeat(np.arange(len(new)), n), self.sizes[ids], len(new))
-        if (sizes == list(map(len, raw))).all() and b"".join(map(self.kind.bytes.__getitem__, flat)) == b"".join(raw):
-            return np.ones(len(new), bool)
-        return np.array([b"".join(map(self.kind.bytes.__getitem__, x)) == w for x, w in zip(new, raw)], bool)
+    def learn(self, plain: list[str], odd: list[str]) -> np.ndarray:
+        """Adds the ids of chunks; whether they give the bytes of space + chunk. Plain ones are encoded as one text."""
+        found = [self._together(some) or self._singly(some) for some in bounded(plain)]
+        found += [self._singly(some) for some in bounded(odd)]
+        ids, n, same = zip(*found)
+        self.ids, self.n = np.concatenate([self.ids, *ids]), np.concatenate([self.n, *n])
+        return np.concatenate(same)
+
+    def _together(self, group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        text = " ".join(group)
+        found = self.kind.encode([self.space + text])[0]
+        if b"".join(map(self.kind.bytes.__getitem__, found)) != b" " + text.encode():
+            return None
+        ids = np.array(found, np.int64)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([1 + len(g.encode()) for g in group])) + 1
+        return ids, np.diff(ends, prepend=0), np.ones(len(group), bool)
+
+    def _singly(self, group: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.kind.encode([self.space + g for g in group])
+        same = [b"".join(map(self.kind.bytes.__getitem__, f)) == b" " + g.encode() for f, g in zip(found, group)]
+        return np.array(list(chain.from_iterable(found)), np.int64), np.array(list(map(len, found)), np.int64), np.array(same, bool)
 
     def row(self, codes: np.ndarray, owner: np.ndarray, n_texts: int) -> Tokens:
         """The tokens of chunks by their codes; ``owner`` is the text of each."""
@@ -164,23 +170,26 @@ class Encoder:
         if len(self.code) > REMEMBERED:
             self.forget()
         flat = list(chain.from_iterable(pieces))
-        new = list(set(flat).difference(self.code))
-        new.sort(key=lambda p: len(p) > CHUNK)  # long ones come last, and are forgotten after this batch
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        if new:
-            spaced = [" " + p for p in new]
-            same = [side.learn(given, spaced) for side, given in zip(self.sides, (spaced, new))]
-            self.same = np.concatenate([self.same, same[0] & same[1]])
+        # Only the first and the last chunk of a text can begin or end with white space, and so be none between spaces.
+        odd = {p for some in pieces if some for p in (some[0], some[-1]) if p.strip() != p}
+        new = set(flat).difference(self.code)
+        brief = [p for p in new if len(p) <= CHUNK]
+        long = list(new.difference(brief)) if len(brief) < len(new) else []  # forgotten after this batch
+        for some in (brief, long):
+            plain = [p for p in some if p not in odd]
+            strange = [p for p in some if p in odd] if len(plain) < len(some) else []
+            if some:
+                self.code.update(zip(plain + strange, range(len(self.code), len(self.code) + len(some))))
+                same = [side.learn(plain, strange) for side in self.sides]
+                self.same = np.concatenate([self.same, same[0] & same[1]])
         codes = np.array(list(map(self.code.__getitem__, flat)), np.int64)
         owner = np.repeat(np.arange(len(texts)), list(map(len, pieces)))
         changed = np.bincount(owner[~self.same[codes]], minlength=len(texts)) > 0
         kept = ~changed[owner]
         a, b = (side.row(codes[kept], owner[kept], len(texts)) for side in self.sides)
+        for chunk in long:
+            del self.code[chunk]
         keep = len(self.code)
-        for chunk in reversed(new):
-            if len(chunk) <= CHUNK:
-                break
-            keep = self.code.pop(chunk)
         for side in self.sides:
             side.n = side.n[:keep]
             side.ids = side.ids[: side.n.sum()]
