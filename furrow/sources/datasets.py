@@ -19,6 +19,7 @@ COST_COLUMNS = ("crop", "state", "cost_a2fl", "cost_c2", "cost_per_quintal", "yi
 VARIETY_COLUMNS = ("crop", "variety", "duration", "zone", "unused")
 NUTRIENTS = ("zn", "fe", "cu", "mn", "b", "s")
 
+# A fixed layout: that of the weather records.
 WEATHER = T.StructType([
     T.StructField("current", T.StructType([
         T.StructField("temp", T.IntegerType()),

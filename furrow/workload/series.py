@@ -214,6 +214,24 @@ def yield_model_categories(spark, sf_dir):
     return fitted.select("l_returnflag", "l_quantity", F.round("prediction", 1).alias("prediction"))
 
 
+# Five folds by order; levels of parts are means of the other folds, slopes come from what is left around them.
+_FOLDS = """WITH d AS (SELECT l_partkey AS c, l_orderkey % 5 AS fold, l_quantity::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem),
+f AS (SELECT DISTINCT fold FROM d),
+means AS (SELECT f.fold, c, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM f JOIN d ON d.fold <> f.fold GROUP BY 1, 2),
+line AS (SELECT m.fold, sum((x - mx) * (y - my)) / sum((x - mx) ** 2) AS b FROM means m JOIN d ON d.c = m.c AND d.fold <> m.fold GROUP BY 1)
+SELECT d.fold, (SELECT count(*) FROM d) - count(*) AS n_train, count(*) AS n_test, count(*) FILTER (m.c IS NULL) AS n_unknown,
+  round(sqrt(avg((y - my - b * (x - mx)) ** 2)), 6) AS rmse
+FROM d JOIN line USING (fold) LEFT JOIN means m ON m.fold = d.fold AND m.c = d.c GROUP BY 1"""
+
+
+@query(_FOLDS)
+def yield_model_folds(spark, sf_dir):
+    """Held-out errors of a regression with a level for every part."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    errors = models.fold_errors(rows, "price", "l_partkey", ["l_quantity"], F.col("l_orderkey") % 5)
+    return errors.withColumn("rmse", F.round("rmse", 6))
+
+
 @query("""SELECT DISTINCT l_linenumber, l_returnflag, CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
 FROM lineitem""")
 def crop_classifier(spark, sf_dir):

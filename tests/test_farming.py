@@ -32,26 +32,26 @@ def test_soil_score(spark):
     )
     scored = farming.soil_rank(farming.soil_score(soil))
     got = {r.district: r for r in scored.collect()}
-    assert got["Half"].soil_score == 30.0 and got["Half"].n_known == 3 and got["Half"].deficient == ["zn", "cu"]
-    assert got["Unknown"].soil_score is None and got["Unknown"].percentile is None
-    assert got["Lower"].deficient == ["fe"]
-    assert [got[d].percentile for d in ("Half", "Upper", "Lower")] == [0.0, 0.5, 1.0]
+    assert got["Partly"].soil_score == 30.0 and got["Partly"].n_known == 3 and got["Partly"].deficient == ["zn", "mn", "s"]
+    assert got["Nowhere"].soil_score is None and got["Nowhere"].percentile is None
+    assert got["Marsh"].deficient == ["zn"] and got["Marsh"].soil_score == 65.0
+    assert [got[d].percentile for d in ("Partly", "Marsh", "Ridge")] == [0.0, 0.5, 1.0]
 
 
 def test_ranking_and_efficiency(costs):
     ranked = {(r.crop, r.state): r.region_rank for r in farming.regional_ranking(costs, "crop", "yield_quintal").collect()}
-    assert ranked["PADDY", "Punjab"] == 1 and ranked["PADDY", "Orissa"] == 2
+    assert ranked["PADDY", "Kerala"] == 1 and ranked["PADDY", "Tripura"] == 2
     ratios = {(r.crop, r.state): r for r in farming.yield_efficiency(costs).collect()}
-    assert ratios["MAIZE", "Karnataka"].efficiency_a2fl == pytest.approx(31.25 / 14000 * 1000)
-    assert ratios["MAIZE", "Karnataka"].efficiency_rank == 1
+    assert ratios["BARLEY", "Rajasthan"].efficiency_a2fl == pytest.approx(4.0)
+    assert ratios["BARLEY", "Rajasthan"].efficiency_rank == 1
     sides = farming.best_and_worst(costs, "crop", "state", "yield_quintal", 1).where("crop = 'PADDY'")
-    assert sorted((r.side, r.state) for r in sides.collect()) == [("high", "Punjab"), ("low", "Orissa")]
+    assert sorted((r.side, r.state) for r in sides.collect()) == [("high", "Kerala"), ("low", "Tripura")]
 
 
 def test_varieties_by_state(varieties):
     got = {(r.state, r.crop): (r.n_varieties, r.min_days, r.max_days) for r in farming.variety_by_state(varieties).collect()}
-    assert got["Orissa", "Paddy"] == (2, 130, 140)
-    assert got["Kerala", "Horse Gram"] == (1, 105, 105)
+    assert got["Tripura", "Paddy"] == (2, 100, 110)
+    assert got["Kerala", "Millet"] == (1, 95, 95)
     assert ("Goa", "Paddy") not in got
 
 
@@ -65,30 +65,30 @@ def test_keys(spark):
 def test_joins_keep_rows(spark, costs, varieties):
     index = spark.createDataFrame([("Rice", 100.0), ("Rice", 110.0), ("Wheat", 1.0)], "Crop string, Index_Value double")
     measures = spark.createDataFrame(
-        [("Maize", 10.0, 20.0, 50.0), ("Maize", 20.0, 20.0, 100.0)], "crop string, production double, area double, yield double"
+        [("Barley", 10.0, 20.0, 50.0), ("Barley", 20.0, 20.0, 100.0)], "crop string, production double, area double, yield double"
     )
     table = unify.unified(costs, index, measures, varieties)
     assert table.count() == len(COST_ROWS)
     got = {(r.crop, r.state): r for r in table.collect()}
-    assert got["PADDY", "Orissa"].mean_index == 105.0 and got["PADDY", "Orissa"].n_varieties == 2
-    assert got["MAIZE", "Karnataka"].yield_index == 75.0 and got["MAIZE", "Karnataka"].n_varieties is None
+    assert got["PADDY", "Tripura"].mean_index == 105.0 and got["PADDY", "Tripura"].n_varieties == 2
+    assert got["BARLEY", "Haryana"].yield_index == 75.0 and got["BARLEY", "Haryana"].n_varieties is None
     assert farming.yield_by_geography(costs, varieties).count() == len(COST_ROWS)
     assert farming.crop_performance(costs, measures.limit(1)).where("production IS NOT NULL").count() == 2
     missing = keys.unmatched_keys(keys.with_key(costs, "crop"), keys.with_key(measures, "crop"), ["crop_key"])
-    assert sorted(map(tuple, missing.collect())) == [("arhar", 1), ("cotton", 1), ("rice", 2)]
+    assert sorted(map(tuple, missing.collect())) == [("lentil", 1), ("onion", 1), ("rice", 2)]
 
 
 def test_soil_by_crop_leaves_ambiguous_names_out(spark, costs):
     soil = spark.createDataFrame(
-        [("Aurangabad", 10.0), ("Puri ", 40.0), ("Cuttack", 60.0)], "district string, zn double"
+        [("Twinford", 10.0), ("Lakeside ", 40.0), ("Hilltop", 60.0)], "district string, zn double"
     ).select("*", *[F.lit(None).cast("double").alias(c) for c in ("fe", "cu", "mn", "b", "s")])
     districts = spark.createDataFrame(
-        [("aurangabad", "Orissa"), ("Aurangabad", "Maharashtra"), ("PURI", "Orissa"), ("Puri", "Orissa"), ("Cuttack", "Orissa")],
+        [("twinford", "Kerala"), ("Twinford", "Goa"), ("LAKESIDE", "Kerala"), ("Lakeside", "Kerala"), ("Hilltop", "Kerala")],
         "district string, state string",
     )
     got = {(r.crop, r.state): (r.soil_score, r.n_districts) for r in farming.soil_by_crop(soil, districts, costs).collect()}
     assert len(got) == len(COST_ROWS)
-    assert got["PADDY", "Orissa"] == (50.0, 2) and got["COTTON", "Maharashtra"] == (None, None)
+    assert got["PADDY", "Kerala"] == (50.0, 2) and got["ONION", "Goa"] == (None, None)
 
 
 def test_checks(spark, costs):
@@ -157,6 +157,36 @@ def test_models(spark):
     assert set(models.predict(forest, df).columns) == {*df.columns, "prediction"}
 
 
+def test_values_that_training_lacked_have_no_prediction(spark):
+    rows = [(c, float(x), 3.0 * x + k) for k, c in enumerate("abc") for x in range(5)]
+    df = spark.createDataFrame(rows, "crop string, cost double, y double")
+    model = models.yield_regression(df, "y", ["crop"], ["cost"])
+    asked = spark.createDataFrame([("b", 7.0), ("z", 7.0), (None, 7.0)], "crop string, cost double")
+    assert [r.prediction if r.prediction is None else round(r.prediction, 6) for r in models.predict(model, asked).collect()] == [22.0, None, None]
+    alone = models.yield_regression(df.where("crop = 'a'"), "y", ["crop"], ["cost"])  # one value: nothing to tell apart
+    assert round(models.predict(alone, asked.withColumn("crop", F.lit("a"))).first().prediction, 6) == 21.0
+
+
+def test_folds_as_by_fitting_each(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abcdefgh"), float(rng.randrange(9)), rng.random(), rng.randrange(3)) for _ in range(90)]
+    rows = [(c, x, z, 2 * x - z + ord(c) + rng.random(), f) for c, x, z, f in rows] + [("lone", 1.0, 1.0, 5.0, 1), (None, 1.0, 1.0, 1.0, 0), ("a", None, 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "crop string, x double, z double, y double, fold int")
+    got = {r.fold: r for r in models.fold_errors(df, "y", "crop", ["x", "z"], F.col("fold")).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for fold, r in got.items():
+        known = df.dropna()
+        train, test = known.where(F.col("fold") != fold), known.where(F.col("fold") == fold)
+        fitted = models.predict(models.yield_regression(train, "y", ["crop"], ["x", "z"]), test).collect()
+        errors = [(p.prediction - p.y) ** 2 for p in fitted if p.prediction is not None]
+        assert (r.n_train, r.n_test, r.n_unknown) == (train.count(), len(fitted), len(fitted) - len(errors))
+        assert r.rmse == pytest.approx((sum(errors) / len(errors)) ** 0.5, rel=1e-6)
+    assert got[1].n_unknown == 1
+    one = spark.createDataFrame([("a", 1.0, 2.0, 0)], "crop string, x double, y double, fold int")
+    assert tuple(models.fold_errors(one, "y", "crop", ["x"], F.col("fold")).first())[:4] == (0, 0, 1, 1)
+    assert models.fold_errors(one.where("false"), "y", "crop", ["x"], F.col("fold")).count() == 0
+
+
 def test_performance_keeps_the_rows_of_the_left(spark):
     left = spark.createDataFrame([(1, "Rice"), (2, " PADDY"), (3, "oat"), (4, None)], "yield int, crop string")
     right = spark.createDataFrame([("rice", 2.0, "x"), ("Paddy ", 4.0, "y"), ("RICE", None, "z")], "crop string, yield double, note string")

@@ -94,7 +94,7 @@ def test_raw_tables(spark, tmp_path):
 
     header = ["District ", "Zn %", "Fe%", "Cu %", "Mn %", "B %", "S %"]
     soil = datasets.read_soil(spark, write_quoted(tmp_path / "s.csv", header, SOIL_ROWS))
-    assert tuple(soil.where("district = 'Unknown'").first())[1:] == (None,) * 6
+    assert tuple(soil.where("district = 'Nowhere'").first())[1:] == (None,) * 6
 
     header = ["Crop   ", *[f"{m} {y}" for m in datasets.MEASURES for y in datasets.MEASURE_YEARS]]
     row = ["Arhar ", *[str(v) for v in range(14)], "98.09999999999999"]
@@ -108,13 +108,13 @@ def test_raw_tables(spark, tmp_path):
     rows = [(*r, "") for r in VARIETY_ROWS]
     varieties = datasets.read_varieties(spark, write_quoted(tmp_path / "v.csv", header, rows))
     got = {r.variety: (r.min_days, r.max_days, r.states) for r in varieties.collect()}
-    assert got["one"] == (None, None, ["Andhra Pradesh", "Gujarat", "Orissa", "Tamil Nadu", "West Bengal"])
-    assert got["two"] == (None, None, [])
-    assert got["three"][:2] == (130, 140)
-    assert got["four"] == (160, 175, ["Himachal Pradesh", "Jammu and Kashmir", "Sikkim", "Uttarakhand"])
-    assert got["five"][2] == ["Karnataka", "Maharashtra"]
-    assert got["six"][2] == ["Gujarat", "Madhya Pradesh", "Tamil Nadu", "Uttar Pradesh"]
-    assert got["eight"][2] == ["Andhra Pradesh", "Karnataka", "Kerala", "Tamil Nadu"]
+    assert got["wet"] == (None, None, ["Kerala", "Manipur", "Mizoram", "Tripura"])
+    assert got["blank"] == (None, None, [])
+    assert got["late"][:2] == (100, 110)
+    assert got["hill"] == (150, 165, ["Jammu and Kashmir", "Meghalaya", "Nagaland"])
+    assert got["plain"] == (None, None, ["Maharashtra", "Punjab"])
+    assert got["short"][2] == ["Goa", "Madhya Pradesh", "Tamil Nadu", "Uttar Pradesh"]
+    assert got["dry"][2] == ["Andhra Pradesh", "Karnataka", "Kerala", "Tamil Nadu"]
 
 
 def test_dashboard(spark):
