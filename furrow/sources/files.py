@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.functions.values import WHITE_SPACE
 from furrow.operators.clean import blank_to_null, trim_headers
 
 # Columns that give back the order of rows in a set of files.
@@ -29,7 +30,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every column as text, missing cells as NULL.
 
-    ``columns`` names the columns by position, so Spark need not look at the files for them.
+    ``columns`` names the columns by position, so Spark need not look at the files for them; where files may differ in
+    the order of their columns, or lines in their number of cells, use :func:`read_csv_by_header`.
     ``with_order`` adds :data:`FILE_ORDER`. ``multi_line`` allows line ends inside quotes; such
     files cannot be split among tasks.
     """
@@ -55,6 +57,56 @@ def read_csv(
     return blank_to_null(trim_headers(ordered))
 
 
+#: A cell of a line: in quotes, which are doubled inside, or up to the next comma.
+_CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, without quotes."""
+    def bare(cell: Column) -> Column:
+        return F.when(cell.startswith('"'), F.replace(F.substr(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+    return F.transform(F.regexp_extract_all(line, F.lit(_CELL), 1), bare)
+
+
+def read_csv_by_header(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns named, found by each file's own header, and the lines that do not fit.
+
+    Files of one folder may have their columns in different order, and further ones, which are not read. Cells come out as by
+    :func:`read_csv`: text, trimmed header names, missing ones NULL. The second table has (file, line, n_cells, n_header, text), one row
+    per line with more or fewer cells than its header, and for files whose header lacks a column that header, with the
+    columns it lacks in ``missing``; the lines of such a file are in neither table. Lines are numbered from 1, blank ones
+    included, which are in neither table. Line ends inside quotes are not supported here.
+    """
+    place = {"__file": "_metadata.file_path", "__block": "_metadata.file_block_start"}
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("__text"), *[F.col(c).alias(a) for a, c in place.items()], F.monotonically_increasing_id().alias("__id")
+    )
+    # One row per block of a file; lines within a block have consecutive numbers.
+    blocks = lines.groupBy("__file", "__block").agg(
+        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"), F.min_by("__text", "__id").alias("__top")
+    )
+    of_file = Window.partitionBy("__file").orderBy("__block")
+    header = _cells(F.first("__top").over(of_file))
+    blocks = blocks.select(
+        "__file", "__block", "__first", F.coalesce(F.sum("__n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.transform(header, lambda c: F.btrim(c, F.lit(WHITE_SPACE))).alias("__header"),
+    )
+    found = lines.join(blocks, ["__file", "__block"]).select(
+        "*", (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("__line"), _cells(F.col("__text")).alias("__cells"),
+        F.array_except(F.lit(list(columns)), "__header").alias("__missing"),
+    )
+    is_header, is_whole = F.col("__line") == 1, F.size("__missing") == 0
+    fits = F.size("__cells") == F.size("__header")
+    body = found.where(~is_header & is_whole & (F.trim("__text") != ""))
+    rows = body.where(fits).select(*[F.element_at("__cells", F.array_position("__header", c).cast("int")).alias(c) for c in columns])
+    rejected = found.where(F.when(is_header, ~is_whole).otherwise(is_whole & ~fits & (F.trim("__text") != ""))).select(
+        F.col("__file").alias("file"), F.col("__line").alias("line"), F.size("__cells").alias("n_cells"), F.size("__header").alias("n_header"),
+        F.col("__text").alias("text"), F.when(is_header, F.col("__missing")).alias("missing"),
+    )
+    return blank_to_null(rows), rejected
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; missing cells are empty, text keeps its white space."""
     (

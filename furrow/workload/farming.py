@@ -372,3 +372,25 @@ def recommend(spark, sf_dir):
     )
     answers = R.recommend(requests, crops, 3, "cost")
     return answers.select("c_custkey", "name", "profit_low", "profit_high", F.round("score", 4).alias("score"), "place")
+
+
+_NEAR = """WITH r AS (SELECT DISTINCT p_name || ' ' || lower(p_type) || ' ' || right(p_brand, 2) AS name FROM part),
+l AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN left(name, 2) || substr(name, 4) WHEN 1 THEN 'x' || name ELSE left(name, 4) || 'oo' || substr(name, 6) END AS name
+      FROM (SELECT p_partkey, p_name || ' ' || lower(p_type) || ' ' || right(p_brand, 2) AS name FROM part) WHERE p_partkey % 4 = 0)
+SELECT l.name, r.name AS match, levenshtein(l.name, r.name) AS distance FROM l JOIN r ON levenshtein(l.name, r.name) <= 2
+WHERE NOT EXISTS (SELECT 1 FROM r AS same WHERE same.name = l.name)"""
+
+
+@query(_NEAR)
+def near_keys(spark, sf_dir):
+    """Partners for misspelt names that have none."""
+    name = F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.right(F.col("p_brand"), F.lit(2)))
+    parts = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    tail = F.substr(F.col("name"), F.lit(4))
+    misspelt = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.left(F.col("name"), F.lit(2)), tail))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("x"), "name"))
+        .otherwise(F.concat(F.left(F.col("name"), F.lit(4)), F.lit("oo"), F.substr(F.col("name"), F.lit(6))))
+    )
+    asked = parts.where(F.col("p_partkey") % 4 == 0).select(misspelt.alias("name"))
+    return keys.near_keys(keys.unmatched_keys(asked, parts, ["name"]), parts, "name", 2)

@@ -115,6 +115,30 @@ def market_stream(spark, sf_dir):
     return closed.withColumns({"avg_price": F.round("avg_price", 8), "bucket": F.col("bucket").cast("timestamp_ntz")})
 
 
+_CUT = "2024-01-12 09:30:00"
+
+
+@query(f"""WITH w AS (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, event_type, min(value) AS min_price, max(value) AS max_price,
+         round(avg(value), 8) AS avg_price, count(value) AS n_prices, count(value) FILTER (ts < TIMESTAMP '{_CUT}') AS n_late,
+         CAST(bool_or(ts < TIMESTAMP '{_CUT}') AS BIGINT) AS n_corrections
+  FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def market_late_rows(spark, sf_dir):
+    """The later rows arrive first; everything before the cut comes when its windows are closed already, but for the last ones."""
+    target = scratch_path(spark, "market-late")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    cut = F.lit(_CUT).cast("timestamp")
+    for feed in (F.col("ts") >= cut, F.col("ts") < cut):
+        events.where(feed).write.mode("append").parquet(f"{target}/events")
+        prices = market.read_stream(spark, f"{target}/events", events.schema)
+        market.write_arrivals(prices, f"{target}/arrivals", f"{target}/checkpoint").awaitTermination()
+    arrivals = spark.read.parquet(f"{target}/arrivals")
+    revised = market.revisions(arrivals, ["event_type"], "ts", "value")
+    windows = market.settled(revised, ["event_type"], arrivals.agg(F.max("ts")).scalar())
+    return windows.withColumns({"avg_price": F.round("avg_price", 8), "bucket": F.col("bucket").cast("timestamp_ntz")})
+
+
 @query(f"""WITH {YEARLY}, scaled AS (SELECT priority, (year - 1995)::DOUBLE AS t, total / 1000000 AS y FROM yearly)
 SELECT priority, round(regr_slope(y, t), 4) AS slope, round(regr_intercept(y, t), 4) AS intercept, max(t) + 1 AS at,
        round(regr_intercept(y, t) + regr_slope(y, t) * (max(t) + 1), 4) AS forecast

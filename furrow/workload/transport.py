@@ -53,6 +53,25 @@ def csv_round_trip(spark, sf_dir):
     return clean.to_numeric(files.read_csv(spark, path, customers.columns), ["c_custkey", "c_acctbal"])
 
 
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, false AS is_rejected, NULL::INTEGER AS n_cells FROM customer WHERE c_custkey % 10 > 1
+          UNION ALL SELECT NULL, NULL, NULL, true, CASE c_custkey % 10 WHEN 0 THEN 4 ELSE 2 END FROM customer WHERE c_custkey % 10 <= 1""")
+def csv_by_header(spark, sf_dir):
+    """Two folders of files with their columns in different order; a tenth of the lines has a cell more, a tenth one less."""
+    path = scratch_path(spark, "csv-by-header")
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit('"'), "c_name", F.lit('"')).alias("c_name"), "c_mktsegment")
+    last = F.col("c_custkey").cast("long") % 10
+    for part, order in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"])):
+        line = F.when(last == 0, F.concat_ws(",", *order, F.lit("extra"))).when(last == 1, F.concat_ws(",", *order[:2])).otherwise(F.concat_ws(",", *order))
+        # A table of one column, whose name is the header of each file.
+        lines = cells.where(F.col("c_custkey").cast("long") % 2 == part).select(line.alias(",".join(f" {c} " for c in order)))
+        lines.write.option("header", True).option("quote", "").option("sep", "\x01").csv(f"{path}/{part}")
+    rows, rejected = files.read_csv_by_header(spark, f"{path}/*", ["c_custkey", "c_name", "c_mktsegment"])
+    none = [F.lit(None).cast("string").alias(c) for c in ("c_custkey", "c_name", "c_mktsegment")]
+    return rows.select("*", F.lit(False).alias("is_rejected"), F.lit(None).cast("int").alias("n_cells")).unionByName(
+        rejected.select(*none, F.lit(True).alias("is_rejected"), "n_cells")
+    )
+
+
 @query("""SELECT c_custkey AS id, c_name AS name, c_acctbal AS amount FROM customer
           UNION ALL SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
           UNION ALL SELECT p_partkey, p_name, p_retailprice FROM part""")

@@ -233,3 +233,21 @@ def test_recommend_by_region_and_soil(spark):
     for r in sorted(result.collect(), key=lambda r: (r.id, r.place)):
         got.setdefault(r.id, []).append(r.name)
     assert got == {1: ["A", "B"], 2: ["C", "B"], 3: ["B"], 4: ["A", "C"], 5: ["B"]}
+
+
+def test_near_keys_as_by_all_pairs(spark):
+    rng = random.Random(12)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    names = ["".join(rng.choice("abc ") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9, 14]))) for _ in range(160)] + ["aaaaaaa", "aaaaaaaaa"]
+    left, right = (spark.createDataFrame([(n,) for n in some] + [(None,)], "name string") for some in (names[::2], names[1::2] + names[:9]))
+    for distance in (1, 2, 3):
+        want = {(a, b, edits(a, b)) for a in names[::2] for b in names[1::2] + names[:9] if edits(a, b) <= distance}
+        assert {tuple(r) for r in keys.near_keys(left, right, "name", distance).collect()} == want

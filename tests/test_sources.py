@@ -137,3 +137,25 @@ def test_dashboard(spark):
     schemes = spark.createDataFrame([("MSP", "x", "2023-09-30")], "title string, description string, deadline string")
     now = F.lit("2023-09-20 12:00:00").cast("timestamp")
     assert tuple(dashboard.scheme_table(schemes, now).first()) == ("MSP", "x", "2023-09-30", 10, "10 days left", "normal")
+
+
+def test_columns_are_found_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('crop ,state,x\nRice,Goa,1\nRice,Goa,1,9,extra\n\nOat\n"Eggs, ""big""",Goa,NA\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffstate,x,crop,more\nBihar,2,Oat,m\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("state,crop\nBihar,Oat\n", encoding="utf-8")
+    rows, rejected = files.read_csv_by_header(spark, str(tmp_path), ["crop", "state", "x"])
+    assert sorted(map(tuple, rows.collect()), key=str) == [("Eggs, \"big\"", "Goa", None), ("Oat", "Bihar", "2"), ("Rice", "Goa", "1")]
+    got = sorted((r.file[-5:], r.line, r.n_cells, r.n_header, r.text, r.missing) for r in rejected.collect())
+    assert got == [("a.csv", 3, 5, 3, "Rice,Goa,1,9,extra", None), ("a.csv", 5, 1, 3, "Oat", None), ("c.csv", 1, 2, 2, "state,crop", ["x"])]
+
+
+def test_lines_of_files_in_many_blocks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,v\n" + "".join(f"{i},{'x' if i % 100 else 'x,y'}\n" for i in range(2, 20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows, rejected = files.read_csv_by_header(spark, str(tmp_path), ["v", "n"])
+        assert rows.count() == 19_998 - 199
+        assert all(r.line == int(r.text.split(",")[0]) and r.n_cells == 3 for r in rejected.collect()) and rejected.count() == 199
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

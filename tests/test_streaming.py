@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.operators import timeseries
 from furrow.streaming import market
@@ -70,3 +71,40 @@ def test_rows_behind_the_watermark_are_told(spark, tmp_path):
     windows = market.price_windows(prices, ["crop"], "ts", "price")
     with pytest.raises(RuntimeError, match="late rows"):
         market.finish(market.write_windows(windows, f"{tmp_path}/out", f"{tmp_path}/state"))
+
+
+def test_rows_that_come_late_are_corrections(spark, tmp_path):
+    """Any order of the files gives the batch figures; what comes after its window closed is counted as late."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(hours=5 * i), "ab"[i % 2], float(i % 7)) for i in range(60)] + [(None, "a", 1.0)]
+    df = spark.createDataFrame(rows, "ts timestamp, crop string, price double")
+    batch = {(r.bucket, r.crop): (r.min_price, r.max_price, r.avg_price, r.n_prices)
+             for r in timeseries.price_buckets(df.dropna(), ["crop"], "ts", "price", change=False).collect()}
+    latest = max(r[0] for r in rows if r[0])
+    closed = {k: v for k, v in batch.items() if k[0] + datetime.timedelta(hours=25) <= latest}
+    late = {}
+    for name, order in (("up", [0, 1, 2]), ("down", [2, 1, 0]), ("mixed", [1, 2, 0])):
+        for part in order:
+            some = spark.createDataFrame(rows[20 * part : 20 * part + 20] + rows[60:] * (part == 1), df.schema)
+            some.write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            prices = market.read_stream(spark, f"{tmp_path}/{name}/in", df.schema)
+            market.write_arrivals(prices, f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/state").awaitTermination()
+        arrivals = spark.read.parquet(f"{tmp_path}/{name}/out")
+        assert arrivals.count() == 61 and arrivals.select("arrival").distinct().count() == 3
+        revised = market.revisions(arrivals, ["crop"], "ts", "price")
+        got = market.settled(revised, ["crop"], F.lit(latest)).collect()
+        assert {(r.bucket, r.crop): (r.min_price, r.max_price, pytest.approx(r.avg_price), r.n_prices) for r in got} == closed
+        late[name] = sum(r.n_late for r in got)
+    assert late["up"] == 0 < late["mixed"] < late["down"]
+
+
+def test_a_query_with_more_batches_than_progress_is_an_error(spark, tmp_path):
+    schema = _feeds(spark, f"{tmp_path}/in", 3)
+    prices = market.read_stream(spark, f"{tmp_path}/in", schema, files_per_batch=1)
+    windows = market.price_windows(prices, ["crop"], "ts", "price", lateness="30 days")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with pytest.raises(RuntimeError, match="progress"):
+            market.finish(market.write_windows(windows, f"{tmp_path}/out", f"{tmp_path}/state"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
