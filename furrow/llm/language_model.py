@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASES, mix, remainder, slices, stored, texts, with_text, word_hashes
+from .text import BASES, mix, remainder, slices, stored, texts, with_text
 
 FOLDS, HELD_OUT = 7, 2
 #: Stands for the end of a text; no byte of UTF-8.
@@ -113,7 +113,7 @@ class Sequence:
 
     def pair_hashes(self, shift: int) -> np.ndarray:
         """A hash, never 0, for each token but the first and the one before it; its last ``shift`` bits are 0."""
-        h = word_hashes(list(self.distinct))[self.codes]
+        h = pd.util.hash_array(self.distinct, categorize=False)[self.codes]
         return (mix(h[:-1] * BASES[0] + h[1:]) >> np.uint64(shift) | np.uint64(1)) << np.uint64(shift)
 
 
@@ -150,16 +150,17 @@ def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
 def bits_of(hashes: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
     """Bit of a hash at a level, inside the ``size`` bits of its range."""
     salt = np.uint64((level * 64 + probe + 1) * int(BASES[1]) % 2**64)
-    return (mix(hashes + salt) % np.uint64(size)).astype(np.int64)
+    return ((mix(hashes + salt) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
 
 def fill(part: np.ndarray, hashes: np.ndarray, level: np.ndarray) -> None:
     """Sets the bits of all levels up to each hash's own."""
+    flags = np.unpackbits(part, bitorder="little")
     for step in range(1, int(level.max(initial=0)) + 1):
-        has = level >= step
+        hashes, level = hashes[level >= step], level[level >= step]
         for probe in range(PROBES):
-            bit = bits_of(hashes[has], step, probe, 8 * len(part))
-            np.bitwise_or.at(part, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+            flags[bits_of(hashes, step, probe, len(flags))] = 1
+    part[:] = np.packbits(flags, bitorder="little")
 
 
 @dataclass
