@@ -7,6 +7,8 @@ Requests and crops are never paired one by one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from furrow.functions.values import (
     SOIL_TYPES,
     WATER_LEVELS,
 )
+from furrow.operators import intervals
 from furrow.operators.ranking import best_per_group
 
 CASE = ["season", "water", "investment"]
@@ -126,3 +129,37 @@ def recommend(requests: DataFrame, crops: DataFrame, n: int = 3, cost: str | Non
     # n crops for each combination of levels, seasons, regions and soils that crops name.
     joined = cased.join(answers, match, "left")
     return joined.select(*requests.columns, "name", "profit_low", "profit_high", "score", "place")
+
+
+def within_budget(
+    requests: DataFrame,
+    crops: DataFrame,
+    n: int = 3,
+    budget: str = "budget",
+    least: str | None = None,
+    low: str = "cost_low",
+    high: str = "cost_high",
+    same: Sequence[str] = (),
+) -> DataFrame:
+    """The n crops of the highest sure profit whose cost limits hold a request's budget, with their place.
+
+    The sure profit is the lower end of the crop's ``profit`` text; ties go to the lesser name, and a crop without one is left
+    out. A missing cost limit is none. ``least`` names the requests' column of the least profit asked for: as crops come by
+    profit, those that reach it are the first of the n, so no crop further down could take their place. ``same`` names
+    columns that must be equal on both sides. A request without an answer comes once, with NULL.
+    """
+    profit = X.money_range(F.col("profit"))
+    known = crops.select(
+        "name", profit["low"].alias("profit_low"), profit["high"].alias("profit_high"),
+        F.col(low).alias("__low"), F.col(high).alias("__high"), *same,
+    ).where(F.col("profit_low").isNotNull())
+    order = [F.desc("profit_low"), F.asc("name")]
+    found = intervals.best_containing(requests, known, budget, "__low", "__high", order, n, same=same)
+    answer = [F.col(c) for c in ("name", "profit_low", "profit_high", "place")]
+    if least is None:
+        return found.select(*requests.columns, *answer)
+    # A place above 1 that falls short goes; the first stays as a row without an answer.
+    enough = F.col(least).isNull() | F.coalesce(F.col("profit_low") >= F.col(least), F.lit(False))
+    return found.where(enough | F.coalesce(F.col("place") == 1, F.lit(True))).select(
+        *requests.columns, *[F.when(enough, c).alias(a) for c, a in zip(answer, ("name", "profit_low", "profit_high", "place"))]
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from furrow.functions import text as X
 from furrow.functions.numbers import round_half_even
+from furrow.functions.zones import zones_but
 from furrow.operators import clean, reshape
 from furrow.sources.files import read_csv
 
@@ -74,14 +75,19 @@ def read_varieties(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_varieties(df: DataFrame, duration: str = "duration", zone: str = "zone", patterns=None) -> DataFrame:
-    """Duration text as least and greatest days, zone text as a list of states."""
+    """Duration text as least and greatest days, zone text as a list of states.
+
+    States that a bracket excepts are taken off; excepted parts of states are in ``excepted``, see :func:`zones_but`.
+    """
     others = [c for c in df.columns if c not in (duration, zone)]
     days = X.duration_days(F.col(duration))
+    found = zones_but(F.col(zone), patterns)
     return df.select(
         *others,
         days["min_days"].alias("min_days"),
         days["max_days"].alias("max_days"),
-        X.zones(F.col(zone), patterns).alias("states"),
+        found["states"].alias("states"),
+        found["parts"].alias("excepted"),
     )
 
 

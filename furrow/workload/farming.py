@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.functions.values import SEASONS, WATER_LEVELS
-from furrow.operators import farming, keys, recommend as R
+from furrow.operators import farming, intervals, keys, recommend as R
 from furrow.plans import unify
 from furrow.sources.datasets import parse_varieties
 from furrow.workload.registry import query, table
@@ -394,3 +394,72 @@ def near_keys(spark, sf_dir):
     )
     asked = parts.where(F.col("p_partkey") % 4 == 0).select(misspelt.alias("name"))
     return keys.near_keys(keys.unmatched_keys(asked, parts, ["name"]), parts, "name", 2)
+
+
+@query("""WITH crops AS (
+  SELECT p_name || ' ' || p_partkey AS name, p_partkey % 3 AS season, CASE WHEN p_size % 10 > 0 THEN p_size * 20 END AS cost_low,
+         CASE WHEN p_size % 7 > 0 THEN p_size * 20 + p_retailprice END AS cost_high,
+         floor(p_retailprice) * 50 AS low, floor(p_retailprice) * 50 + p_size * 100 AS high FROM part),
+asked AS (SELECT doc_id, doc_id % 3 AS season, n_chars / 4.0::DOUBLE AS budget, CASE WHEN doc_id % 4 > 0 THEN doc_id % 100 * 1100 END AS least FROM documents),
+cases AS (SELECT DISTINCT season, budget FROM asked),
+placed AS (
+  SELECT s.*, name, low, high, row_number() OVER (PARTITION BY s.season, budget ORDER BY low DESC, name) AS place
+  FROM cases s JOIN crops c ON s.season = c.season AND round(coalesce(cost_low, 0) * 100) <= round(budget * 100)
+    AND (cost_high IS NULL OR round(budget * 100) <= round(cost_high * 100))
+  QUALIFY place <= 3)
+SELECT doc_id, name, low AS profit_low, high AS profit_high, CAST(place AS INTEGER) AS place
+FROM asked a LEFT JOIN placed p ON a.season = p.season AND a.budget = p.budget AND (least IS NULL OR low >= least)""")
+def recommend_by_amount(spark, sf_dir):
+    """Documents as requests with an amount to spend and a least profit, parts as crops with cost limits, some of them open."""
+    low, size = F.floor("p_retailprice") * 50, F.col("p_size")
+    crops = table(spark, sf_dir, "part").select(
+        F.concat("p_name", F.lit(" "), "p_partkey").alias("name"),
+        (F.col("p_partkey") % 3).alias("season"),
+        F.concat(F.lit("₹"), F.format_number(low, 0), F.lit(" - ₹"), F.format_number(low + size * 100, 0)).alias("profit"),
+        F.when(size % 10 > 0, size * 20).alias("cost_low"),
+        F.when(size % 7 > 0, size * 20 + F.col("p_retailprice")).alias("cost_high"),
+    )
+    asked = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") % 3).alias("season"), (F.col("n_chars") / 4).alias("budget"),
+        F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 100 * 1100).alias("least"),
+    )
+    found = R.within_budget(asked, crops, 3, least="least", same=["season"])
+    return found.select("doc_id", "name", "profit_low", "profit_high", "place")
+
+
+@query("""SELECT c_custkey, count(*) AS n_parts, min(p_retailprice) AS cheapest FROM customer
+JOIN part ON 900 + c_custkey % 1200 BETWEEN p_retailprice AND p_retailprice + p_size / 4.0::DOUBLE GROUP BY 1""")
+def amounts_in_ranges(spark, sf_dir):
+    """For each customer's amount the parts whose range of prices holds it."""
+    parts = table(spark, sf_dir, "part").select("p_retailprice", (F.col("p_retailprice") + F.col("p_size") / 4).alias("upto"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", (900 + F.col("c_custkey") % 1200).alias("amount"))
+    met = intervals.containing(asked, parts, "amount", "p_retailprice", "upto")
+    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_parts"), F.min("p_retailprice").alias("cheapest"))
+
+
+@query(f"""WITH d AS (
+  SELECT doc_id, doc_id % 6 AS kind,
+         list_filter([{", ".join(f"CASE WHEN doc_id % {m} = {r} THEN '{z}' END" for z, (m, r) in _ZONES.items())}], lambda z: z IS NOT NULL) AS named
+  FROM documents)
+SELECT doc_id, array_to_string(CASE kind WHEN 0 THEN list_filter(named, lambda z: z NOT IN ('ASIA', 'EUROPE'))
+         WHEN 3 THEN list_sort(list_distinct(list_append(list_filter(named, lambda z: z <> 'AMERICA'), 'ASIA'))) ELSE named END, ',') AS states,
+       coalesce(CASE WHEN kind = 1 THEN named[-1] || ':hills,' || named[-1] || ':ASIA valleys'
+         WHEN kind = 3 AND named[-1] <> 'AMERICA' THEN named[-1] || ':AFRICA (dry)' END, '') AS excepted
+FROM d""")
+def variety_exceptions(spark, sf_dir):
+    """Zones with brackets, in which exceptions name whole zones, parts of zones, or nothing."""
+    names = [F.when(F.col("doc_id") % m == r, F.lit(z)) for z, (m, r) in _ZONES.items()]
+    kind = F.col("doc_id") % 6
+    tail = (
+        F.when(kind == 0, " (except ASIA and EUROPE) in late rains")
+        .when(kind == 1, " (Except hills, ASIA valleys).")
+        .when(kind == 2, " (irrigated)")
+        .when(kind == 3, " [excluding AFRICA (dry), AMERICA], and ASIA")
+        .otherwise("")
+    )
+    texts = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("10-20").alias("duration"), F.concat(F.concat_ws(", ", *names), tail).alias("zone")
+    )
+    found = parse_varieties(texts, patterns={z: z for z in _ZONES})
+    excepted = F.transform("excepted", lambda e: F.concat(e["state"], F.lit(":"), e["part"]))
+    return found.select("doc_id", F.array_join("states", ",").alias("states"), F.array_join(excepted, ",").alias("excepted"))
