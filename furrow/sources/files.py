@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.values import WHITE_SPACE
 from furrow.operators.clean import blank_to_null, trim_headers
+from furrow.session import shared_dir
 
 # Columns that give back the order of rows in a set of files.
 FILE_ORDER = ("file_path", "file_block", "file_row")
@@ -147,3 +149,80 @@ def append_log(messages: DataFrame, path: str, kind: str = "type", message: str
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+#: Rows of a file of the event log once it has been compacted.
+ROWS_PER_FILE = 1_000_000
+
+
+def _log_schema(events: DataFrame, day: str) -> T.StructType:
+    return T.StructType([f for f in events.schema.fields if f.name != day] + [T.StructField(day, T.DateType())])
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The log at a path; empty where none has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _dealt(rows: DataFrame, day: str, key: Sequence[str], rows_per_file: int) -> DataFrame:
+    """Each day dealt by a hash of the key into as many pieces as its rows need; a piece lies in one task, so it makes one file."""
+    sizes = rows.groupBy(day).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__pieces")).withColumnRenamed(day, "__day")
+    dealt = rows.join(sizes, F.col(day).eqNullSafe(F.col("__day"))).select(
+        *rows.columns, F.pmod(F.xxhash64(*key), F.col("__pieces")).alias("__piece")
+    )
+    return dealt.repartition(day, "__piece").drop("__piece")
+
+
+def append_events(
+    events: DataFrame, path: str, key: Sequence[str], day: str = "day", rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """Add the events that a log, partitioned by a date column, does not hold yet.
+
+    Events with equal ``key`` and day are one event: of several in a batch one is kept (the least of all its columns), and one
+    that the log holds stays as it is. So a batch that is sent again, whole or in part, or whose job was run anew after a
+    loss, changes nothing. Only the days of the batch are read from the log. Two jobs must not append at the same time.
+    """
+    spark = events.sparkSession
+    shared_dir(spark)
+    events = events.withColumn(day, F.col(day).cast("date"))
+    others = [c for c in events.columns if c not in (day, *key)]
+    least = F.min(F.struct(*[F.col(c) for c in others])) if others else F.lit(None)
+    one = events.groupBy(day, *key).agg(least.alias("__least")).select(day, *key, *[F.col("__least")[c].alias(c) for c in others])
+    fresh = one.select(*events.columns).checkpoint()
+    log = _stored(spark, path, _log_schema(events, day)).select(*[F.col(c).alias(f"__log_{c}") for c in (day, *key)])
+    # Days are folders: only those of the batch are listed and read.
+    known = log.join(fresh.select(day).distinct(), F.col(f"__log_{day}").eqNullSafe(F.col(day)), "left_semi")
+    match = F.lit(True)
+    for c in (day, *key):
+        match = match & F.col(c).eqNullSafe(F.col(f"__log_{c}"))
+    # Written to the shared folder first: the log must not change under the query that reads it.
+    fresh = fresh.join(known, match, "left_anti").checkpoint()
+    _dealt(fresh, day, key, rows_per_file).write.mode("append").partitionBy(day).parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: T.StructType, day: str = "day") -> DataFrame:
+    """The events of a log; ``schema`` names its columns, the day last or not at all."""
+    fields = [f for f in schema.fields if f.name != day] + [T.StructField(day, T.DateType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def compact_events(
+    spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], day: str = "day", rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """Rewrite the days of a log whose files are more than their rows need; no event is added or lost.
+
+    A day then has at most rows / ``rows_per_file`` files, rounded up. Its rows are complete in the shared folder before they
+    take the place of the old ones. No job may append at the same time.
+    """
+    shared_dir(spark)
+    log = read_events(spark, path, schema, day)
+    crowded = log.groupBy(day).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_distinct(F.col("_metadata.file_path")).alias("__files")
+    ).where(F.col("__files") > F.ceil(F.col("__rows") / rows_per_file)).withColumnRenamed(day, "__day")
+    rows = log.join(crowded, F.col(day).eqNullSafe(F.col("__day")), "left_semi").checkpoint()
+    _dealt(rows, day, key, rows_per_file).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import profile, stats
+from furrow.operators import profile, sketches, stats
+from furrow.session import scratch_path
 from furrow.workload.registry import GAPS, gaps, query, table
 
 _REPORT = " UNION ALL ".join(
@@ -108,3 +109,37 @@ def outliers_by_group(spark, sf_dir):
 def group_stats(spark, sf_dir):
     figures = stats.group_stats(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
     return figures.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+# Exact figures next to the bounds that the estimates must keep.
+_GROWN = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_missing, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest,
+        true AS distinct_is_near, true AS median_is_near FROM d"""
+    for c in ("n_chars", "words")
+)
+
+
+@query(f"WITH d AS (SELECT n_chars, CASE WHEN doc_id % 7 > 0 THEN length(text) - length(replace(text, ' ', '')) END AS words FROM documents) {_GROWN}")
+def profile_by_sketches(spark, sf_dir):
+    """A profile kept up over parts that arrive one after another, one of them twice; estimates against exact figures."""
+    documents = table(spark, sf_dir, "documents").select(
+        "n_chars", (F.col("doc_id") % 4).alias("part"),
+        F.when(F.col("doc_id") % 7 > 0, F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("words"),
+    )
+    path = scratch_path(spark, "sketches")
+    for parts in ("part < 2", "part = 2", "part > 1"):
+        sketches.keep(sketches.sketch(documents.where(parts), ["n_chars", "words"], "part"), path)
+    found = sketches.profile(sketches.kept(spark, path), [0.5])
+    exact = documents.agg(*[
+        F.struct(
+            F.count_distinct(c).alias("distinct"),
+            F.percentile_approx(c, [0.45, 0.55], 10000).alias("middle"),
+        ).alias(c) for c in ("n_chars", "words")
+    ]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in ("n_chars", "words")])))
+    median = F.col("quantiles")[0]
+    return found.join(exact, "column").select(
+        "column", "n_rows", "n_missing", "least", "greatest",
+        # Five standard errors, and 5 % of the rows.
+        (F.abs(F.col("n_distinct") - F.col("exact.distinct")) <= 5 * 0.016 * F.col("exact.distinct") + 1).alias("distinct_is_near"),
+        median.between(F.col("exact.middle")[0], F.col("exact.middle")[1]).alias("median_is_near"),
+    )

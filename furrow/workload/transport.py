@@ -101,3 +101,25 @@ def append_log(spark, sf_dir):
         F.sum(F.length("message")).alias("n_chars"),
         F.bool_and(F.col("timestamp").isNotNull()).alias("is_stamped"),
     )
+
+
+@query("""SELECT CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS type, count(*) AS n_messages,
+                 CAST(sum(length(text)) AS BIGINT) AS n_chars, true AS few_files FROM conversations GROUP BY 1""")
+def event_log(spark, sf_dir):
+    """Two batches that overlap, one of them sent twice, and the log compacted: every event once, one file per day."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 5).cast("int")).alias("day"), "conv_id", "turn",
+        F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), F.col("text").alias("message"),
+    )
+    path = scratch_path(spark, "event-log")
+    key = ["conv_id", "turn"]
+    first, second = turns.where("conv_id % 3 <> 0"), turns.where("conv_id % 3 <> 1")
+    for batch in (first, second, first):
+        files.append_events(batch, path, key)
+    files.compact_events(spark, path, turns.schema, key)
+    log = files.read_events(spark, path, turns.schema)
+    per_day = log.groupBy("day").agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"), F.count(F.lit(1)).alias("n"))
+    few = per_day.agg(F.coalesce(F.bool_and(F.col("files") <= F.ceil(F.col("n") / files.ROWS_PER_FILE)), F.lit(True))).scalar()
+    return log.groupBy("type").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.sum(F.length("message")).alias("n_chars")
+    ).withColumn("few_files", few)
