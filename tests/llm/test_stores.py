@@ -116,3 +116,22 @@ def test_graph_survives_packing():
     q = ann.unit(base[:20])
     assert [graph.search(x, 30) for x in q] == [again.search(x, 30) for x in q]
     assert [graph.search(x, 30)[0] for x in q] == list(range(20))
+
+
+def test_vectors_that_differ_past_single_precision(spark):
+    off = {i: (i * 37 % 59 + 1) * 2e-8 for i in range(1, 60)}
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0 + d, 1.0]) for i, d in off.items()]
+    found = sorted(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 5).collect(), key=lambda r: r.rank)
+    best = sorted(off, key=lambda i: -off[i])[:5]
+    assert [r.vec_id for r in found] == best
+    for r in found:
+        x = np.array(rows[r.vec_id][1])
+        assert abs(r.score - x[0] / np.sqrt(x @ x)) < 1e-15
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e300, 1e300]), (2, [1e-300, 2e-300]), (3, [-1e308, 1e308]), (4, [5e-324, 0.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 5).collect()
+    assert [(r.rank, r.vec_id, round(r.score, 9)) for r in sorted(found, key=lambda r: r.rank)] == [
+        (1, 1, 1.0), (2, 2, 0.948683298), (3, 4, 0.707106781), (4, 3, 0.0)
+    ]
