@@ -119,6 +119,52 @@ def violations(df: DataFrame, checks: Sequence[Check], keep: Sequence[str]) -> D
     return df.select(*keep, F.inline(F.array_compact(F.array(*found))))
 
 
+def crop_year(moment: Column) -> Column:
+    """The year in which a crop year from July to June began: that of a label such as ``2004-05``."""
+    return F.year(F.add_months(moment, -6))
+
+
+@dataclass(frozen=True)
+class CrossCheck:
+    """A rule between two tables: ``actual`` is read from a row of the left one, ``expected`` is an aggregate of the rows of
+    the right one with the same keys and period, times ``factor``, which brings it to the unit of the left."""
+
+    name: str
+    actual: Column
+    expected: Column
+    tolerance: float
+    factor: float = 1.0
+    upper_bound: bool = False
+
+
+def cross_violations(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    period: tuple[Column, Column],
+    checks: Sequence[CrossCheck],
+    keep: Sequence[str],
+) -> DataFrame:
+    """One row per row of the left table and check that it breaks against the right table.
+
+    ``on`` maps key columns of the left to those of the right, ``period`` gives the period of a row of either, such as
+    :func:`crop_year` of a date and the first year of a label. The right table comes to one row per key and period before
+    the join, so it multiplies nothing. A row without a counterpart, without a key or with a missing value breaks none.
+    """
+    names = [f"__key{i}" for i in range(len(on))]
+    sums = right.groupBy(*[named(c).alias(k) for k, c in zip(names, on.values())], period[1].alias("__period")).agg(
+        *[(check.expected.cast("double") * check.factor).alias(f"__expected{i}") for i, check in enumerate(checks)]
+    )
+    rows = left.select(
+        *keep, *[named(c).alias(k) for k, c in zip(names, on)], period[0].alias("__period"),
+        *[check.actual.cast("double").alias(f"__actual{i}") for i, check in enumerate(checks)],
+    )
+    rules = [
+        Check(check.name, F.col(f"__actual{i}"), F.col(f"__expected{i}"), check.tolerance, check.upper_bound) for i, check in enumerate(checks)
+    ]
+    return violations(keys.join_on_key(rows, sums, [*names, "__period"], "inner"), rules, keep)
+
+
 def crop_performance(
     left: DataFrame,
     right: DataFrame,

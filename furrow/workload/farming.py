@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.values import SEASONS, WATER_LEVELS
 from furrow.operators import farming, intervals, keys, recommend as R
+from furrow.operators.timeseries import start_year
 from furrow.plans import unify
 from furrow.sources.datasets import parse_varieties
 from furrow.workload.registry import query, table
@@ -317,6 +318,28 @@ def named_checks(spark, sf_dir):
     return found.withColumns({c: F.round(c, 8) for c in ("actual", "expected")})
 
 
+@query("""WITH orders_ AS (SELECT o_orderkey, CAST(year(o_orderdate - INTERVAL 6 MONTH) AS INTEGER) AS season, o_totalprice / 1000 AS total FROM orders),
+lines AS (SELECT l_orderkey, CAST(year(l_shipdate - INTERVAL 6 MONTH) AS INTEGER) AS season, sum(l_extendedprice) / 1000 AS value, sum(l_quantity) * 2.0::DOUBLE AS most
+          FROM lineitem GROUP BY 1, 2),
+j AS (SELECT * FROM orders_ o JOIN lines l ON o_orderkey = l_orderkey AND o.season = l.season)
+SELECT o_orderkey, 'total_is_sum_of_lines' AS "check", round(total, 6) AS actual, round(value, 6) AS expected FROM j WHERE abs(total - value) > 100
+UNION ALL SELECT o_orderkey, 'total_at_most_two_per_unit', round(total, 6), round(most, 6) FROM j WHERE total - most > 1""")
+def checks_across_tables(spark, sf_dir):
+    """Orders, in thousands and with the label of their season, against the lines shipped in that season, with plain prices and dates."""
+    year = farming.crop_year(F.col("o_orderdate"))
+    label = F.concat(year, F.lit("-"), F.lpad((year + 1) % 100, 2, "0"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("season"), (F.col("o_totalprice") / 1000).alias("total"))
+    checks = [
+        farming.CrossCheck("total_is_sum_of_lines", F.col("total"), F.sum("l_extendedprice"), 100.0, factor=0.001),
+        farming.CrossCheck("total_at_most_two_per_unit", F.col("total"), F.sum("l_quantity"), 1.0, factor=2.0, upper_bound=True),
+    ]
+    found = farming.cross_violations(
+        orders, table(spark, sf_dir, "lineitem"), {"o_orderkey": "l_orderkey"},
+        (start_year(F.col("season")), farming.crop_year(F.col("l_shipdate"))), checks, ["o_orderkey"],
+    )
+    return found.withColumns({c: F.round(c, 6) for c in ("actual", "expected")})
+
+
 _WATERS = ", ".join(f"('{w}', {i})" for i, w in enumerate(WATER_LEVELS))
 
 

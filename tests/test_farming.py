@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.operators import farming, keys, models, recommend
+from furrow.operators.timeseries import start_year
 from furrow.plans import unify
 from furrow.sources import datasets
 from tests.data import COST_ROWS, SOIL_ROWS, VARIETY_ROWS
@@ -251,3 +252,25 @@ def test_near_keys_as_by_all_pairs(spark):
     for distance in (1, 2, 3):
         want = {(a, b, edits(a, b)) for a in names[::2] for b in names[1::2] + names[:9] if edits(a, b) <= distance}
         assert {tuple(r) for r in keys.near_keys(left, right, "name", distance).collect()} == want
+
+
+def test_checks_across_tables_align_units_and_periods(spark):
+    yields = spark.createDataFrame(
+        [("Oat", "2006-07", 2.0), ("Oat", "2007-08", 2.0), ("Rye", "2006-07", 9.0), (None, "2006-07", 9.0), ("Oat", None, 9.0), ("Flax", "2006-07", 1.0)],
+        "crop string, year string, tonnes double",
+    )
+    # In quintals by date; the crop year turns on the first of July.
+    lots = spark.createDataFrame(
+        [("Oat", "2006-07-01", 12.0), ("Oat", "2007-06-30", 8.0), ("Oat", "2007-07-01", 30.0), ("Rye", "2006-12-01", None), (None, "2006-12-01", 1.0)],
+        "name string, day string, quintals double",
+    ).withColumn("day", F.to_date("day"))
+    rules = [
+        farming.CrossCheck("sum", F.col("tonnes"), F.sum("quintals"), 0.01, factor=0.1),
+        farming.CrossCheck("most", F.col("tonnes"), F.max("quintals"), 0.0, factor=0.1, upper_bound=True),
+    ]
+    periods = (start_year(F.col("year")), farming.crop_year(F.col("day")))
+    found = farming.cross_violations(yields, lots, {"crop": "name"}, periods, rules, ["crop", "year"])
+    assert sorted((r.crop, r.year, r.check, r.actual, round(r.expected, 6)) for r in found.collect()) == [
+        ("Oat", "2006-07", "most", 2.0, 1.2), ("Oat", "2007-08", "sum", 2.0, 3.0)
+    ]
+    assert farming.cross_violations(yields, lots.where("false"), {"crop": "name"}, periods, rules, ["crop"]).count() == 0
