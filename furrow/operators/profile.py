@@ -28,7 +28,11 @@ def preview(df: DataFrame, order_by: Sequence[str | Column], n: int = 5) -> Data
 
 
 def columns_report(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Type, rows, missing cells and distinct values of each column, in one pass."""
+    """Type, rows, missing cells and distinct values of each column.
+
+    Approximate figures take one pass. Exact distinct values are counted column by column: several in one aggregate would send
+    each row once per column, with all columns. So files are read once more, each time one column; store a computed table first.
+    """
     names = list(columns or df.columns)
     types = dict(df.dtypes)
     figures = [F.count(F.lit(1)).alias("__rows")]
@@ -36,14 +40,18 @@ def columns_report(df: DataFrame, columns: Sequence[str] | None = None, approxim
     for i, name in enumerate(names):
         gone = is_missing(df, name)
         known = F.when(~gone, named(name))
-        distinct = F.approx_count_distinct(known) if approximate else F.count_distinct(known)
-        figures += [F.count_if(gone).alias(f"__missing{i}"), distinct.alias(f"__distinct{i}")]
+        figures.append(F.count_if(gone).alias(f"__missing{i}"))
+        if approximate:
+            figures.append(F.approx_count_distinct(known).alias(f"__distinct{i}"))
+            distinct = F.col(f"__distinct{i}")
+        else:
+            distinct = df.select(known.alias("v")).distinct().agg(F.count("v")).scalar()
         records.append(F.struct(
             F.lit(name).alias("column"),
             F.lit(types[name]).alias("data_type"),
             F.col("__rows").alias("n_rows"),
             F.col(f"__missing{i}").alias("n_missing"),
-            F.col(f"__distinct{i}").alias("n_distinct"),
+            distinct.alias("n_distinct"),
         ))
     return df.agg(*figures).select(F.inline(F.array(*records)))
 

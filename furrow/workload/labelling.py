@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import labels as L
 from furrow.functions import text as X
-from furrow.operators import timeseries
+from furrow.operators import text_index, timeseries
 from furrow.plans import assistant, dashboard
+from furrow.session import scratch_path
 from furrow.workload.registry import YEARLY, query, table, yearly
 
 _NOW = "1998-06-01 06:00:00"
@@ -109,6 +113,20 @@ def text_search(spark, sf_dir):
     return documents.where(X.search([F.col("text"), F.col("source")], "License")).select("doc_id")
 
 
+# A part of a word, whole words, repeated spaces, the end and the start of words, and text that is nowhere.
+_NEEDLES = ("License", " of the ", "e. th", "ing the a", "the  ", "no such text")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS query, doc_id FROM documents
+  WHERE contains(lower(text), lower('{n}')) OR contains(lower(source), lower('{n}'))""" for n in _NEEDLES))
+def indexed_search(spark, sf_dir):
+    path = scratch_path(spark, "words")
+    text_index.build(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"], path)
+    index = text_index.opened(spark, path)
+    found = [text_index.find(index, n).select(F.lit(n).alias("query"), F.col("id").alias("doc_id")) for n in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("""WITH d AS (
   SELECT p_name AS name, sum(l_quantity) AS demand,
          round((sum(l_quantity) FILTER (year(l_shipdate) = 2000)

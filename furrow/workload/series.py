@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import models, stats, timeseries
+from furrow.operators import models, smoothing, stats, timeseries
 from furrow.plans import crop_index
 from furrow.session import scratch_path, shared_dir
 from furrow.streaming import market
@@ -151,6 +151,34 @@ def index_forecast(spark, sf_dir):
     return line.withColumns({c: F.round(c, 4) for c in ("slope", "intercept", "forecast")})
 
 
+# The level of each series step by step, for every rate.
+_SMOOTHED = """RECURSIVE s AS MATERIALIZED (
+  SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS no FROM events),
+r AS (
+  SELECT event_type, rate / 10.0::DOUBLE AS rate, no, x AS level, 0::DOUBLE AS squares FROM s, generate_series(1, 9) AS g(rate) WHERE no = 1
+  UNION ALL
+  SELECT event_type, rate, s.no, level + rate * (x - level), squares + (x - level) * (x - level)
+  FROM r JOIN s USING (event_type) WHERE s.no = r.no + 1),
+f AS (
+  SELECT event_type, rate, arg_max(level, no) AS forecast, max(no) AS n_values, sqrt(arg_max(squares, no) / nullif(max(no) - 1, 0)) AS rmse
+  FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SMOOTHED} SELECT event_type, rate, n_values, round(forecast, 6) AS forecast, round(rmse, 6) AS rmse FROM f""")
+def smoothing_errors(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    errors = smoothing.rolling_errors(events, ["event_type"], ["ts", "event_id"], "value")
+    return errors.withColumns({c: F.round(c, 6) for c in ("forecast", "rmse")})
+
+
+@query(f"""WITH {_SMOOTHED}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY rmse, rate) AS place FROM f)
+SELECT event_type, rate, n_values, round(forecast, 6) AS forecast, round(rmse, 6) AS rmse FROM k WHERE place = 1""")
+def smoothed_forecast(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    best = smoothing.smoothed(events, ["event_type"], ["ts", "event_id"], "value")
+    return best.withColumns({c: F.round(c, 6) for c in ("forecast", "rmse")})
+
+
 @query("""WITH line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
                         FROM lineitem)
 SELECT DISTINCT l_quantity, round(b + a * l_quantity, 2) AS prediction FROM lineitem, line""")

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from furrow.operators import ordered, profile, ranking, stats
@@ -90,6 +91,12 @@ def test_both_series_figures_share_one_window(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and len(re.findall(r"\bWindow \[", plan)) == 1
 
 
+@needs_data
+def test_distinct_values_expand_no_rows(spark):
+    df = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    assert "Expand" not in plan_of(profile.columns_report(df)) and "Expand" in plan_of(df.agg(*[F.count_distinct(c) for c in df.columns]))
+
+
 @needs_data
 def test_entry(spark):
     assert driver.entry(spark).count() == 35
