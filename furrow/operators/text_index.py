@@ -23,17 +23,18 @@ FOLDERS = 256
 def build(df: DataFrame, id_column: str, columns: Sequence[str], path: str, folders: int = FOLDERS) -> None:
     """Write the index of text columns to ``path``: the places of all words, and the words with their numbers.
 
-    Rows with equal ids count as one; rows without an id are left out, as are missing texts; an empty text has one empty word.
+    Ids tell rows apart: of rows with one id, a query may match words of several. Rows without an id are left out, as are missing texts; an empty text has one empty word.
     Places are in the order of folder, word, id and position, so a frequent word is spread over files.
     """
     texts = [F.struct(F.lit(i).alias("column"), F.split(F.lower(named(c).cast("string")), " ", -1).alias("words")) for i, c in enumerate(columns)]
     cells = df.where(named(id_column).isNotNull()).select(named(id_column).alias("id"), F.inline(F.array(*texts)))
     places = cells.select("id", "column", (F.size("words") - 1).alias("last"), F.posexplode("words").alias("position", "word"))
-    order = ["folder", "word", "id", "column", "position"]
+    # The folder is calculated again after the shuffle: it follows from the word.
+    folder = F.pmod(F.xxhash64("word"), F.lit(folders)).cast("int")
     (
-        places.withColumn("folder", F.pmod(F.xxhash64("word"), F.lit(folders)).cast("int"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        places.repartitionByRange(folder, "word", "id", "column", "position")
+        .withColumn("folder", folder)
+        .sortWithinPartitions("folder", "word", "id", "column", "position")
         .write.partitionBy("folder")
         .parquet(f"{path}/places")
     )
