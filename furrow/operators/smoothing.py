@@ -2,7 +2,8 @@
 
 The level starts at the first value and moves by ``rate`` of each error. That is linear in the level a stretch of values starts
 from, and the squared errors are quadratic in it. So each stretch is folded once, in its own group, to the coefficients of both;
-a second fold puts the stretches of a series in order. No task holds a series.
+a second fold puts the stretches of a series in order. Series above
+``rows_per_task`` (see :mod:`furrow.operators.ordered`) are numbered in ranges and folded by many tasks; smaller ones stay in one.
 """
 
 from __future__ import annotations
