@@ -3,6 +3,9 @@
 A range of whole units is cut into the fewest cells of a binary grid: cell ``c`` of level ``k`` holds the units from ``c * 2**k``
 up to ``(c + 1) * 2**k - 1``. There are at most two cells per level, however wide the range is, and they do not overlap. An
 amount lies in one cell of each level, so it meets every range that holds it exactly once, and no other.
+
+Ranges are first cut to the span of the amounts, so that they have only cells that can be met, and spread over tasks by their
+number: a row becomes tens of rows, so a small file would otherwise be a large task.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators import ordered, ranking
+from furrow.operators.columns import named
 
 #: Levels of the grid; a range without a bound ends at plus or minus 2 ** (LEVELS - 1) units.
 LEVELS = 62
+#: Ranges that one task cuts into cells.
+RANGES_PER_TASK = 20_000
 
 
 def units(amount: Column, scale: int) -> Column:
@@ -23,52 +29,59 @@ def units(amount: Column, scale: int) -> Column:
     return F.round(F.nanvl(amount.cast("double"), F.lit(None)) * scale).cast("long")
 
 
-def _half(number: Column) -> Column:
-    return F.call_function("shiftright", number, F.lit(1))
-
-
 def cells(low: Column, high: Column) -> Column:
-    """The cells of the units from ``low`` to ``high``, both included; a NULL bound is none. Nothing where low is above high."""
+    """The cells of the units from ``low`` to ``high``, both included; a NULL bound is none. Nothing where low is above high.
+
+    At each level the cells from the first whole one to the last are open; of these an odd first and an even last one
+    are taken, and the others make whole cells of the next level.
+    """
     edge = 1 << (LEVELS - 1)
-    start = F.struct(
-        F.coalesce(low, F.lit(-edge)).alias("low"),
-        (F.coalesce(high, F.lit(edge - 1)) + 1).alias("end"),
-        F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"),
-    )
+    low, end = F.coalesce(low, F.lit(-edge)), F.coalesce(high, F.lit(edge - 1)) + 1
+
+    def taken(level: Column) -> Column:
+        first, behind = -F.call_function("shiftright", -low, level), F.call_function("shiftright", end, level)
+        return F.array(*[
+            F.when((first < behind) & (c.bitwiseAND(F.lit(1)) == 1), F.struct(level.alias("level"), cell.alias("cell")))
+            for c, cell in ((first, first), (behind, behind - 1))
+        ])
+
+    found = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), _levels(low, end)), taken)))
+    return F.when(low < end, found).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+
+def _levels(low: Column, end: Column) -> Column:
+    """The highest level that a cell of the units from ``low`` up to ``end`` can have: each level halves what is left."""
+    return F.coalesce(F.length(F.bin(F.try_subtract(end, low))), F.lit(LEVELS + 1)) - 1
 
-    def step(state: Column, level: Column) -> Column:
-        is_open = state["low"] < state["end"]
-        first = is_open & (state["low"].bitwiseAND(F.lit(1)) == 1)
-        last = is_open & (state["end"].bitwiseAND(F.lit(1)) == 1)
-        taken = [
-            F.when(first, F.struct(level.alias("level"), state["low"].alias("cell"))),
-            F.when(last, F.struct(level.alias("level"), (state["end"] - 1).alias("cell"))),
-        ]
-        return F.struct(
-            _half(state["low"] + first.cast("long")).alias("low"),
-            _half(state["end"] - last.cast("long")).alias("end"),
-            F.concat(state["cells"], F.array_compact(F.array(*taken))).alias("cells"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda state: state["cells"])
-
-
-def _ranged(ranges: DataFrame, low: str, high: str, scale: int, same: Sequence[str]) -> DataFrame:
-    """(__row, __s0.., __level, __cell): each range once per cell."""
-    # An empty range has no cells; a range that lacks one of the equal columns meets nothing.
+
+def _keyed(points: DataFrame, point: str, scale: int, same: Sequence[str]) -> DataFrame:
+    """The points with (__s0.., __unit)."""
+    return points.select("*", *[F.col(c).alias(f"__s{i}") for i, c in enumerate(same)], units(F.col(point), scale).alias("__unit"))
+
+
+def _ranged(ranges: DataFrame, low: str, high: str, scale: int, same: Sequence[str], keyed: DataFrame) -> tuple[DataFrame, int]:
+    """The ranges with (__s0.., __level, __cell), each once per cell within the span of the points, and the highest level."""
+    least, most = keyed.agg(F.min("__unit"), F.max("__unit")).first()
+    # A range that lacks one of the equal columns meets nothing; nor does one that is empty or beside the span.
+    bounds = [F.greatest(units(F.col(low), scale), F.lit(least).cast("long")), F.least(units(F.col(high), scale), F.lit(most).cast("long"))]
     known = ranges.dropna(subset=list(same)) if same else ranges
-    found = known.select(
-        F.struct("*").alias("__row"),
+    known = known.withColumns({"__low": bounds[0], "__high": bounds[1]}).where(F.coalesce(F.col("__low") <= F.col("__high"), F.lit(True)))
+    span = (F.coalesce(c, F.lit(e)) for c, e in ((F.col("__low"), -(1 << (LEVELS - 1))), (F.col("__high") + 1, 1 << (LEVELS - 1))))
+    n, top = known.agg(F.count(F.lit(1)), F.max(_levels(*span))).first()
+    # By a hash of the row: no sorting, and the deal is the same when a task is repeated.
+    dealt = known.repartition(max(1, -(-n // RANGES_PER_TASK)), *[c for c, kind in known.dtypes if "map<" not in kind and "variant" not in kind])
+    found = dealt.select(
+        *[F.col(c) for c in ranges.columns],
         *[F.col(c).alias(f"__s{i}") for i, c in enumerate(same)],
-        F.explode(cells(units(F.col(low), scale), units(F.col(high), scale))).alias("__at"),
+        F.inline(cells(F.col("__low"), F.col("__high"))).alias("__level", "__cell"),
     )
-    return found.select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
+    return found, top or 0
 
 
-def _placed(points: DataFrame, point: Column, levels: DataFrame) -> DataFrame:
-    """Each point once per level that any range uses; there are at most LEVELS + 1 of them."""
-    used = points.select("*", F.explode(levels.agg(F.collect_set("__level")).scalar()).alias("__level"))
-    return used.withColumn("__cell", F.call_function("shiftright", point, F.col("__level")))
+def _placed(points: DataFrame, top: int) -> DataFrame:
+    """Each point once per level up to the highest; there are at most LEVELS + 1 of them."""
+    used = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("__level"))
+    return used.withColumn("__cell", F.call_function("shiftright", F.col("__unit"), F.col("__level")))
 
 
 def _check_names(points: DataFrame, ranges: DataFrame, same: Sequence[str]) -> None:
@@ -78,7 +91,13 @@ def _check_names(points: DataFrame, ranges: DataFrame, same: Sequence[str]) -> N
 
 
 def containing(
-    points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, scale: int = 100, same: Sequence[str] = ()
+    points: DataFrame,
+    ranges: DataFrame,
+    point: str,
+    low: str,
+    high: str,
+    scale: int = 100,
+    same: Sequence[str] = (),
 ) -> DataFrame:
     """Every pair of a point and a range that holds it, with the columns of both.
 
@@ -87,9 +106,10 @@ def containing(
     """
     _check_names(points, ranges, same)
     on = [f"__s{i}" for i in range(len(same))]
-    cut = _ranged(ranges, low, high, scale, same)
-    rows = points.select(F.struct("*").alias("__point"), *[F.col(c).alias(s) for c, s in zip(same, on)], units(F.col(point), scale).alias("__unit"))
-    met = _placed(rows.where("__unit IS NOT NULL"), F.col("__unit"), cut).join(cut, [*on, "__level", "__cell"])
+    keyed = _keyed(points, point, scale, same)
+    cut, top = _ranged(ranges, low, high, scale, same, keyed)
+    rows = keyed.where("__unit IS NOT NULL").select(F.struct(*map(named, points.columns)).alias("__point"), *on, "__unit")
+    met = _placed(rows, top).join(cut.select(F.struct(*map(named, ranges.columns)).alias("__row"), *on, "__level", "__cell"), [*on, "__level", "__cell"])
     return met.select("__point.*", *[F.col("__row")[c].alias(c) for c in ranges.columns if c not in same])
 
 
@@ -112,14 +132,13 @@ def best_containing(
     """
     _check_names(points, ranges, same)
     on = [f"__s{i}" for i in range(len(same))]
-    cut = _ranged(ranges, low, high, scale, same)
-    inner = cut.select("__row.*", *on, "__level", "__cell", "__row")
-    kept = ranking.best_per_group(inner, [*on, "__level", "__cell"], order_by, n, "__place").select("__row", *on, "__level", "__cell")
-    keyed = points.select("*", *[F.col(c).alias(s) for c, s in zip(same, on)], units(F.col(point), scale).alias("__unit"))
+    keyed = _keyed(points, point, scale, same)
+    cut, top = _ranged(ranges, low, high, scale, same, keyed)
+    kept = ranking.best_per_group(cut, [*on, "__level", "__cell"], order_by, n, "__place").drop("__place")
     key = [*on, "__unit"]
-    met = _placed(keyed.select(*key).dropna().distinct(), F.col("__unit"), cut).join(kept, [*on, "__level", "__cell"])
-    found = ranking.best_per_group(met.select("__row.*", *key, "__row"), key, order_by, n, place)
+    met = _placed(keyed.select(*key).dropna().distinct(), top).join(kept, [*on, "__level", "__cell"])
+    found = ranking.best_per_group(met, key, order_by, n, place)
     others = [c for c in ranges.columns if c not in same]
-    answers = found.select(*[F.col(k).alias(f"__a{k}") for k in key], *[F.col("__row")[c].alias(c) for c in others], place)
+    answers = found.select(*[F.col(k).alias(f"__a{k}") for k in key], *others, place)
     joined = keyed.join(answers, ordered.same(key, [f"__a{k}" for k in key]), "left")
     return joined.select(*points.columns, *others, place)

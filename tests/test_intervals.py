@@ -72,3 +72,21 @@ def test_within_budget(spark):
     for r in sorted(recommend.within_budget(asked, crops, 3, least="least").collect(), key=lambda r: (r.id, r.place or 0)):
         got.setdefault(r.id, []).append(r.name)
     assert got == {1: ["Fair", "Fine", "Poor"], 2: [None], 3: ["Rich"], 4: [None], 5: ["Fair", "Fine"]}
+
+
+def test_ranges_are_spread_over_tasks_and_cut_to_the_span_of_the_points(spark, rows, monkeypatch):
+    points, ranges = rows
+    monkeypatch.setattr(intervals, "RANGES_PER_TASK", 10)
+    few = [p for p in points if p[2] is None or p[2] < 1e9]
+    dealt = spark.createDataFrame(ranges, RANGES).coalesce(1)
+    found = intervals.best_containing(spark.createDataFrame(few, POINTS), dealt, "x", "lo", "hi", [F.desc("w"), F.asc("j")], 3, same=["k"])
+    assert "Exchange hashpartitioning" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    want = []
+    for p in few:
+        want += [(p[0], r[0]) for r in sorted((r for r in ranges if holds(p, r)), key=lambda r: (-r[4], r[0]))[:3]] or [(p[0], None)]
+    key = lambda x: (x[0], x[1] or -1)
+    assert sorted(((r.id, r.j) for r in found.collect()), key=key) == sorted(want, key=key)
+    keyed = intervals._keyed(spark.createDataFrame(few, POINTS), "x", 100, ["k"])
+    cut, top = intervals._ranged(dealt, "lo", "hi", 100, ["k"], keyed)
+    assert cut.rdd.getNumPartitions() >= 5 and top <= 13  # the span is below 6000 units
+    assert cut.where("lo IS NULL AND hi IS NULL").groupBy("j").count().agg(F.max("count")).first()[0] <= 26
