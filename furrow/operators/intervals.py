@@ -10,7 +10,7 @@ number: a row becomes tens of rows, so a small file would otherwise be a large t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from furrow.operators.columns import named
 LEVELS = 62
 #: Ranges that one task cuts into cells.
 RANGES_PER_TASK = 20_000
+#: Kinds of figures over ranges: how a cell's is calculated and how those of several cells are put together.
+FIGURES = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
 
 def units(amount: Column, scale: int) -> Column:
@@ -98,19 +100,36 @@ def containing(
     high: str,
     scale: int = 100,
     same: Sequence[str] = (),
+    figures: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Every pair of a point and a range that holds it, with the columns of both.
 
     Amounts are compared in whole units, by default hundredths; both bounds belong to the range, a NULL bound is no bound, a
     NULL point lies in no range. ``same`` names columns that must also be equal and not NULL; they come from the points.
+
+    Pairs are as many as points times ranges in the worst case. With ``figures``, by name a kind of FIGURES and a column of
+    the ranges, each point that lies in a range comes once instead, with these figures over all the ranges that hold it.
+    They are calculated per pair of bounds, put together per cell and then per amount, so that no step makes the pairs.
     """
-    _check_names(points, ranges, same)
     on = [f"__s{i}" for i in range(len(same))]
     keyed = _keyed(points, point, scale, same)
-    cut, top = _ranged(ranges, low, high, scale, same, keyed)
-    rows = keyed.where("__unit IS NOT NULL").select(F.struct(*map(named, points.columns)).alias("__point"), *on, "__unit")
-    met = _placed(rows, top).join(cut.select(F.struct(*map(named, ranges.columns)).alias("__row"), *on, "__level", "__cell"), [*on, "__level", "__cell"])
-    return met.select("__point.*", *[F.col("__row")[c].alias(c) for c in ranges.columns if c not in same])
+    if figures is None:
+        _check_names(points, ranges, same)
+        cut, top = _ranged(ranges, low, high, scale, same, keyed)
+        rows = keyed.where("__unit IS NOT NULL").select(F.struct(*map(named, points.columns)).alias("__point"), *on, "__unit")
+        met = _placed(rows, top).join(cut.select(F.struct(*map(named, ranges.columns)).alias("__row"), *on, "__level", "__cell"), [*on, "__level", "__cell"])
+        return met.select("__point.*", *[F.col("__row")[c].alias(c) for c in ranges.columns if c not in same])
+    if both := {c.lower() for c in points.columns} & {c.lower() for c in figures}:
+        raise ValueError(f"columns of the points and figures: {sorted(both)}")
+    names = [f"__f{i}" for i in range(len(figures))]
+    first = [FIGURES[kind][0](column).alias(n) for n, (kind, column) in zip(names, figures.values())]
+    together = [FIGURES[kind][1](n).alias(n) for n, (kind, _) in zip(names, figures.values())]
+    cut, top = _ranged(ranges.groupBy(*dict.fromkeys([low, high, *same])).agg(*first), low, high, scale, same, keyed)
+    per_cell = cut.groupBy(*on, "__level", "__cell").agg(*together)
+    key = [*on, "__unit"]
+    met = _placed(keyed.select(*key).dropna().distinct(), top).join(per_cell, [*on, "__level", "__cell"])
+    answers = met.groupBy(*key).agg(*together)
+    return keyed.join(answers, key).select(*map(named, points.columns), *[F.col(n).alias(f) for n, f in zip(names, figures)])
 
 
 def best_containing(

@@ -456,8 +456,9 @@ def amounts_in_ranges(spark, sf_dir):
     """For each customer's amount the parts whose range of prices holds it."""
     parts = table(spark, sf_dir, "part").select("p_retailprice", (F.col("p_retailprice") + F.col("p_size") / 4).alias("upto"))
     asked = table(spark, sf_dir, "customer").select("c_custkey", (900 + F.col("c_custkey") % 1200).alias("amount"))
-    met = intervals.containing(asked, parts, "amount", "p_retailprice", "upto")
-    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_parts"), F.min("p_retailprice").alias("cheapest"))
+    figures = {"n_parts": ("count", F.lit(1)), "cheapest": ("min", F.col("p_retailprice"))}
+    met = intervals.containing(asked, parts, "amount", "p_retailprice", "upto", figures=figures)
+    return met.groupBy("c_custkey").agg(F.sum("n_parts").alias("n_parts"), F.min("cheapest").alias("cheapest"))
 
 
 @query(f"""WITH d AS (

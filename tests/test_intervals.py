@@ -90,3 +90,28 @@ def test_ranges_are_spread_over_tasks_and_cut_to_the_span_of_the_points(spark, r
     cut, top = intervals._ranged(dealt, "lo", "hi", 100, ["k"], keyed)
     assert cut.rdd.getNumPartitions() >= 5 and top <= 13  # the span is below 6000 units
     assert cut.where("lo IS NULL AND hi IS NULL").groupBy("j").count().agg(F.max("count")).first()[0] <= 26
+
+
+def test_figures_as_by_all_pairs(spark, rows):
+    points, ranges = rows
+    want = []
+    for p in points:
+        if fit := [r for r in ranges if holds(p, r)]:
+            weights = [r[4] for r in fit]
+            want.append((p[0], len(fit), min(weights), max(weights), sum(weights), sum(r[2] is not None for r in fit)))
+    figures = {"n": ("count", F.lit(1)), "least": ("min", F.col("w")), "most": ("max", F.col("w")), "all": ("sum", F.col("w")), "bounded": ("count", F.col("lo"))}
+    points, ranges = spark.createDataFrame(points, POINTS), spark.createDataFrame(ranges, RANGES)
+    found = intervals.containing(points, ranges, "x", "lo", "hi", same=["k"], figures=figures)
+    assert sorted(tuple(r) for r in found.select("id", *figures).collect()) == sorted(want) and len(want) > 50
+    assert intervals.containing(points, ranges.where("false"), "x", "lo", "hi", same=["k"], figures=figures).count() == 0
+    with pytest.raises(ValueError, match="points and figures"):
+        intervals.containing(points, ranges, "x", "lo", "hi", figures={"ID": ("count", F.lit(1))})
+
+
+def test_figures_make_no_pairs(spark):
+    """4 million pairs of few amounts and ranges: no operator may put out as many rows."""
+    points = spark.range(2000).select("id", (F.col("id") % 7 + 10).alias("x"))
+    ranges = spark.range(2000).select(F.col("id").alias("j"), (F.col("id") % 10).alias("lo"), (F.col("id") % 11 + 16).alias("hi"))
+    found = intervals.containing(points, ranges, "x", "lo", "hi", figures={"n": ("count", F.lit(1))})
+    assert found.agg(F.sum("n"), F.count("*")).first()[:] == (4_000_000, 2000)
+    assert not {"j", "lo"} & set(found.columns) and "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
