@@ -65,3 +65,23 @@ def test_empty_tables_repeated_and_missing_ids(spark, tmp_path):
     assert [r.id for r in text_index.find(text_index.opened(spark, str(tmp_path / "a")), "RED").collect()] == ["k"]
     text_index.build(rows.where("false"), "word", ["folder"], str(tmp_path / "b"))
     assert text_index.find(text_index.opened(spark, str(tmp_path / "b")), "red").count() == 0
+
+
+def test_few_rows_are_dealt_for_many_places(spark, tmp_path, monkeypatch):
+    texts = [f"the rice of row {k % 3} the" for k in range(400)]
+    rows = spark.createDataFrame([(k, t, "the") for k, t in enumerate(texts)], "key long, text string, note string").coalesce(1)
+    for cut, block in ((text_index.CUT_BYTES, text_index.BLOCK_WORDS), (100, 7)):  # the second in runs that end inside texts
+        monkeypatch.setattr(text_index, "CUT_BYTES", cut)
+        monkeypatch.setattr(text_index, "BLOCK_WORDS", block)
+        path = str(tmp_path / f"words{block}")
+        text_index.build(rows, "key", ["text", "note"], path, folders=4)
+        index = text_index.opened(spark, path)
+        assert {r.word: r.n for r in index.words.collect()} == {"the": 1200, "rice": 400, "of": 400, "row": 400, "0": 134, "1": 133, "2": 133}
+        want = sorted((k, c, p, w) for k, t in enumerate(texts) for c, x in enumerate((t, "the")) for p, w in enumerate(x.split(" ")))
+        assert sorted((r.id, r.column, r.position, r.word) for r in index.places.collect()) == want
+        for query in ("the", "row 2 the", "the ", " the", "2 the "):
+            scan = {r.key for r in rows.where(X.search([F.col("text"), F.col("note")], query)).collect()}
+            assert {r.id for r in text_index.find(index, query).collect()} == scan
+        stored = spark.read.parquet(f"{path}/places").count()
+        # A row per word and column of a run, not per place: of these there are 2800.
+        assert stored == 8 if block > 7 else 8 < stored < 2800
