@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.llm import ann, warc
 from furrow.session import scratch_path
@@ -109,6 +110,21 @@ def test_few_or_no_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in two] == [(0, 1, 1, 0.707107)]
 
 
+@pytest.mark.parametrize("most", [10_000, 4])
+def test_shards_are_dealt_without_a_sample_on_the_driver(spark, monkeypatch, most):
+    monkeypatch.setattr(ann, "SHARD", 20)
+    monkeypatch.setattr(ann, "TASKS", most)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3 if i % 5 else 2).tolist()) for i in range(300)]
+    shards = ann.index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 6)
+    assert "rangepartitioning" not in shards._jdf.queryExecution().toString()
+    found = shards.select("dim", "shard", "ids", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.dim, r.shard) for r in found) == [(2, s) for s in range(3)] + [(3, s) for s in range(12)]
+    assert sorted(x for r in found for x in np.frombuffer(r.ids, np.int64).tolist()) == list(range(300))
+    tasks = [r.task for r in found]
+    assert len(set(tasks)) == min(15, most) and max(map(tasks.count, tasks)) == -(-15 // most)
+
+
 def test_graph_survives_packing():
     base = np.random.default_rng(1).normal(size=(500, 8)).astype(np.float32)
     graph = ann.Graph(base).build()
